@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cfgveil.functions.text import decode_text, file_name
+from cfgveil.operators.chain import pinned
 from cfgveil.operators.sanitize import sanitize
 
 # Archive suffixes in the order they are tried.
@@ -158,9 +159,8 @@ def expand_archives(archives: DataFrame, *, max_bytes: int = MAX_CELL) -> DataFr
     few archives hold most of the data.
     """
     size = F.col("length") if "length" in archives.columns else F.octet_length("content")
-    typed = archives.select("path", "content", size.alias("length")).withColumn(
-        "kind", archive_type(F.col("path"), F.col("content"))
-    )
+    kind = {"length": size, "kind": archive_type(F.col("path"), F.col("content"))}
+    typed = pinned(archives, ["path", "content"], kind)
     fits = F.col("length") <= max_bytes
     able = F.coalesce(F.col("kind").isin(*EXPANDABLE), F.lit(False)) & fits
     opened = typed.filter(able).select("path", "kind", "content").mapInPandas(_expand, MEMBER_SCHEMA)
@@ -212,6 +212,8 @@ def repack_archives(
     An archive larger than `volume_bytes` is spread over several volumes, each a complete
     archive of its own with whole members, so no task ever holds a whole large archive.
     Only those large archives, few by their size, take part in the volume lookup.
+    The members are read twice, for their sizes and for their bytes: pass a written table,
+    not a long chain of work.
     """
     if fmt not in ARCHIVE_FORMATS:
         raise ValueError(f"Unsupported archive format for creation: {fmt}")

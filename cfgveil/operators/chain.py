@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cfgveil.rules import Rule, any_of, odd_folding
 
+FINDINGS_TYPE = "array<struct<ordinal:int,rule:string,label:string,n:bigint>>"
 ODD = "__odd_folding"
 GATE = "__gate"
 
@@ -27,9 +28,12 @@ class Chain:
     text: str
     counts: list[tuple[Rule, str]]
 
+    @property
+    def next_text(self) -> str:
+        return f"__text_{int(self.text.rsplit('_', 1)[1]) + 1}"
+
     def with_text(self, column: Column) -> Chain:
-        name = f"__text_{int(self.text.rsplit('_', 1)[1]) + 1}"
-        return Chain(self.df.withColumn(name, column), name, self.counts)
+        return Chain(self.df.withColumn(self.next_text, column), self.next_text, self.counts)
 
 
 def start_chain(df: DataFrame, content: str, rules: Sequence[Rule], when: Column | None = None) -> Chain:
@@ -61,57 +65,65 @@ def pack_gate(folded: Column, rules: Iterable[Rule]) -> Column:
 
 
 def apply_rule(chain: Chain, rule: Rule, *, counts: bool = True, where: Column | None = None) -> Chain:
-    """One rule: count its matches on the current text, rewrite only where there are some."""
+    """One rule, one projection: count its matches on the current text and rewrite it."""
     text = F.col(chain.text)
     guard = rule.guard(text, F.lower(text), F.col(ODD))
     able = F.col(GATE) if where is None else F.col(GATE) & where
     if guard is not None:
         able = able & guard
+    rewritten = F.when(able, rule.rewrite(text)).otherwise(text)
     if not counts:
-        return chain.with_text(F.when(able, rule.rewrite(text)).otherwise(text))
+        return chain.with_text(rewritten)
     name = f"__n_{len(chain.counts)}"
-    df = chain.df.withColumn(name, F.when(able, rule.count(text)).otherwise(F.lit(0)).cast("bigint"))
-    after = Chain(df, chain.text, chain.counts).with_text(
-        F.when(F.col(name) > 0, rule.rewrite(text)).otherwise(text)
-    )
+    count = F.when(able, rule.count(text)).otherwise(F.lit(0)).cast("bigint")
+    df = chain.df.withColumns({name: count, chain.next_text: rewritten})
     if rule.only_if_changed:
-        same = F.col(after.text) == text
-        after.df = after.df.withColumn(name, F.when(same, F.lit(0)).otherwise(F.col(name)))
-    return Chain(after.df, after.text, [*chain.counts, (rule, name)])
+        same = F.col(chain.next_text) == text
+        df = df.withColumn(name, F.when(same, F.lit(0)).otherwise(F.col(name)))
+    return Chain(df, chain.next_text, [*chain.counts, (rule, name)])
+
+
+# Separates the entries of a constant list of names (see `_names`).
+_SEPARATOR = "\u0001"
+
+
+def _names(values: Sequence[str]) -> Column:
+    """A constant array of strings, folded by the optimizer, in two calls instead of one per name."""
+    return F.split(F.lit(_SEPARATOR.join(values)), _SEPARATOR)
 
 
 def findings_array(counts: Sequence[tuple[Rule, str]]) -> Column:
     """The rules that matched, in order, as array<struct<ordinal, rule, label, n>>."""
-    entries = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(rule.name).alias("rule"),
-            F.lit(rule.change_label).alias("label"),
-            F.col(name).alias("n"),
-        )
-        for i, (rule, name) in enumerate(counts, 1)
-    ]
-    if not entries:
-        return F.array().cast("array<struct<ordinal:int,rule:string,label:string,n:bigint>>")
-    return F.filter(F.array(*entries), lambda e: e["n"] > 0)
+    if not counts:
+        return F.array().cast(FINDINGS_TYPE)
+    rules, labels = _names([r.name for r, _ in counts]), _names([r.change_label for r, _ in counts])
+    every = F.transform(
+        F.array(*[name for _, name in counts]),
+        lambda n, i: F.struct(
+            (i + 1).alias("ordinal"), F.get(rules, i).alias("rule"), F.get(labels, i).alias("label"), n.alias("n")
+        ),
+    )
+    return F.filter(every, lambda e: e["n"] > 0)
 
 
 def messages_array(counts: Sequence[tuple[Rule, str]]) -> Column:
     """`label: N replaced` per label in order of first appearance, zero totals left out."""
-    totals: dict[str, tuple[str, Column]] = {}
-    for rule, name in counts:
-        seen = totals.get(rule.change_label)
-        totals[rule.change_label] = (rule.verb, F.col(name) if seen is None else seen[1] + F.col(name))
-    if not totals:
+    if not counts:
         return F.array().cast("array<string>")
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(n > 0, F.concat(F.lit(f"{label}: "), n.cast("string"), F.lit(f" {verb}")))
-                for label, (verb, n) in totals.items()
-            ]
-        )
+    columns: dict[str, list[str]] = {}
+    verbs: dict[str, str] = {}
+    for rule, name in counts:
+        columns.setdefault(rule.change_label, []).append(name)
+        verbs.setdefault(rule.change_label, rule.verb)
+    labels, ends = _names(list(columns)), _names(list(verbs.values()))
+    totals = F.array(*[F.expr(" + ".join(names)) for names in columns.values()])
+    every = F.transform(
+        totals,
+        lambda n, i: F.when(
+            n > 0, F.concat(F.get(labels, i), F.lit(": "), n.cast("string"), F.lit(" "), F.get(ends, i))
+        ),
     )
+    return F.array_compact(every)
 
 
 def pinned(df: DataFrame, keep: Sequence[str], computed: dict[str, Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cfgveil.operators import accounts as acc
 from cfgveil.operators.chain import (
+    FINDINGS_TYPE,
     Chain,
     apply_rule,
     findings_array,
@@ -20,7 +21,6 @@ from cfgveil.packs import BUILTIN, LIBRARY, vendor_pack
 from cfgveil.rules import Rule, RulePack
 
 USER_RULE = "user_secret"
-FINDING_TYPE = "array<struct<ordinal:int,rule:string,label:string,n:bigint>>"
 
 
 def _user_lines(builtin: RulePack) -> Rule | None:
@@ -100,8 +100,8 @@ def _results(chain: Chain, keep: Sequence[str], content: str) -> DataFrame:
                 F.lit("unknown").alias("label"),
                 F.lit(1).cast("bigint").alias("n"),
             ),
-        ).cast(FINDING_TYPE)
-        findings = F.concat(findings.cast(FINDING_TYPE), renames)
+        ).cast(FINDINGS_TYPE)
+        findings = F.concat(findings.cast(FINDINGS_TYPE), renames)
         messages = F.concat(messages, acc.rename_messages(hits))
     modified = ~F.col(content).eqNullSafe(F.col(chain.text))
     df = df.withColumn("__modified", modified)
@@ -115,7 +115,7 @@ def _results(chain: Chain, keep: Sequence[str], content: str) -> DataFrame:
             "modified": F.col("__modified"),
             "changes": F.col("__changes"),
             "change_count": F.size("__changes"),
-            "findings": F.when(F.col("__modified"), findings).otherwise(F.array().cast(FINDING_TYPE)),
+            "findings": F.when(F.col("__modified"), findings).otherwise(F.array().cast(FINDINGS_TYPE)),
         },
     )
 

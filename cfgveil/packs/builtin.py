@@ -74,10 +74,13 @@ BUILTIN_RULES = (
          label="Juniper auth keys", literals=("authentication-key", "shared-secret")),
     Rule("juniper_9_quoted", r'"\$9\$[^"]*"', "<removed-encrypted>",
          label="Juniper $9$ encrypted", literals=('"$9$',)),
+    # The engine forms of these two look behind only where the literal was found.
     Rule("juniper_9_bare", r"(?<!\w)\$9\$[A-Za-z0-9./:@_\-]+", "<removed-encrypted>",
-         label="Juniper $9$ encrypted", literals=("$9$",)),
+         label="Juniper $9$ encrypted", literals=("$9$",),
+         engine_pattern=r"\$9\$(?<!\w\$9\$)[A-Za-z0-9./:@_\-]+"),
     Rule("password_hash", r"(?<!\w)\$[156]\$[^\s]+", "<removed-hash>",
-         label="Password hashes", literals=("$1$", "$5$", "$6$")),
+         label="Password hashes", literals=("$1$", "$5$", "$6$"),
+         engine_pattern=r"\$[156]\$(?<!\w\$[156]\$)[^\s]+"),
     Rule("ospf_auth_key", r"(ip\s+ospf\s+authentication-key\s+)(\S+)", r"\1<removed-key>", I,
          label="OSPF auth keys", literals=("authentication-key",)),
     Rule("ospf_md5_key", r"(ip\s+ospf\s+message-digest-key\s+\d+\s+md5\s+)(\d+\s+)?(\S+)", r"\1\2<removed-key>", I,
@@ -87,11 +90,12 @@ BUILTIN_RULES = (
          label="NTP keys", literals=("ntp authentication-key ",)),
     Rule("bgp_password", r"(neighbor \S+ password )(\d+)( )(\S+)", r"\1<removed-bgp-password>",
          label="BGP passwords", literals=("neighbor ",)),
-    # The engine form tries a line once, from its start or from the previous match,
-    # instead of once per character.
+    # Greedy `.*` picks the last key of a line; the engine form finds it by its literal
+    # instead of trying the whole line from every character.
     Rule("ospf_password", r"(.*message-digest-key \d+ md5 )(\d+)( )(\S+)", r"\1<removed-ospf-key>",
          label="OSPF passwords", literals=("message-digest-key ",),
-         engine_pattern=r"(?m:^|\G)(.*message-digest-key \d+ md5 )(\d+)( )(\S+)", secret_group=4),
+         engine_pattern=r"(message-digest-key (?!.*message-digest-key \d+ md5 \d+ \S)\d+ md5 )(\d+)( )(\S+)",
+         secret_group=4),
     Rule("auth_key_string", r"(authentication mode md5.*key-string )(\d+)( )(\S+)", r"\1<removed-auth-key>",
          label="AUTH passwords", literals=("authentication mode md5",)),
 )
