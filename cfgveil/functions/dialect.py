@@ -83,17 +83,17 @@ def java_pattern(pattern: str, flags: Iterable[str] = (), *, any_case: bool = Tr
 
 def java_replacement(template: str, pattern: str = "") -> str:
     """The replacement template with ``$n`` references and literal ``$`` and ``\\`` escaped."""
-    names = re.compile(pattern).groupindex
+    compiled = re.compile(pattern)
     pieces: list[str] = []
     after_group = False
     for named, number, escaped, dollar, plain in _TEMPLATE_TOKEN.findall(template):
         group = number if number and number[0] != "0" else ""
         if named:
-            group = named if named.isdigit() else str(names[named])
-        if group == "0" or (named and group == "0"):
-            pieces.append("$0")
-        elif group:
-            pieces.append(f"${group}")
+            group = named if named.isdigit() else str(compiled.groupindex[named])
+        if group:
+            if int(group) > compiled.groups:
+                raise ValueError(f"no group {group} in pattern {pattern!r}")
+            pieces.append(f"${int(group)}")
         elif dollar or escaped == "\\":
             pieces.append("\\" + (dollar or escaped))
         elif escaped:

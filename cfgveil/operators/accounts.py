@@ -16,6 +16,7 @@ ALIAS_PREFIX = "netadmin"
 # Above this many personal accounts the list is not unrolled into each row's expression:
 # the names a text holds are found by an equi-join (`occurring_accounts`) instead.
 INLINE_ACCOUNTS = 512
+TOKEN_WINDOW = 256
 
 
 def accounts_frame(
@@ -182,9 +183,14 @@ def occurring_accounts(
         )["piece"].alias("piece"),
     ).filter(F.length("username") > 0)
     lengths = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())
+    longest = lengths[-1] if lengths else 1
     tokens = df.select(
         F.col(key), F.explode(F.array_distinct(F.split(F.col(content), r"\s+"))).alias("token")
     ).filter(F.length("token") >= (lengths[0] if lengths else 1))
+    # A text without blanks is one huge token: look at it through overlapping windows.
+    starts = F.sequence(F.lit(1), F.length("token"), F.lit(TOKEN_WINDOW))
+    windows = F.transform(starts, lambda at: F.substring(F.col("token"), at, F.lit(TOKEN_WINDOW + longest - 1)))
+    tokens = tokens.select(key, F.explode(F.array_distinct(windows)).alias("token"))
     vocabulary = tokens.select("token").distinct()
     cuts = F.array_distinct(
         F.flatten(

@@ -8,7 +8,7 @@ import io
 import lzma
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -253,12 +253,14 @@ def name_clashes(members: DataFrame) -> DataFrame:
     )
 
 
-def sanitize_members(members: DataFrame, **options) -> DataFrame:
+def sanitize_members(members: DataFrame, *, select: Callable[[Column], Column] = is_config_file, **options) -> DataFrame:
     """Sanitize the configuration files among members; other members keep their bytes.
 
-    Adds is_config, sanitized text columns and `output`, the bytes to write.
+    `select` tells from the member name what is a configuration file. Adds is_config, the
+    result columns and `output`, the bytes to write.
     """
-    readable = members.withColumn("is_config", is_config_file(F.col("member")) & F.col("content").isNotNull())
+    chosen = F.coalesce(select(F.col("member")) & F.col("content").isNotNull(), F.lit(False))
+    readable = members.withColumn("is_config", chosen)
     texts = readable.withColumn(
         "text", F.when(F.col("is_config"), decode_text(F.col("content"), normalize_newlines=False))
     )

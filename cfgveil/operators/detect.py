@@ -14,7 +14,7 @@ from cfgveil.rules import (
     any_of,
     odd_folding,
     recursion_risk,
-    rule_problem,
+    rule_problems,
 )
 
 SHOWN = 10
@@ -110,7 +110,7 @@ def rule_audit(df: DataFrame, rules: Iterable[Rule], *, content: str = "content"
     """
     rules = list(rules)
     spark = df.sparkSession
-    problems = {r.name: rule_problem(spark, r) for r in rules}
+    problems = rule_problems(spark, rules)
     valid = [r for r in rules if problems[r.name] is None]
     shown = spark.createDataFrame(
         [

@@ -130,6 +130,29 @@ class RulePack:
         return replace(self, rules=tuple(by_name[n] for n in names if n in by_name))
 
 
+    def merge(self, other: RulePack) -> RulePack:
+        """Accounts of both packs, and rules of both with the other's winning per name."""
+        return replace(
+            self.override(other.rules),
+            service_accounts=tuple(dict.fromkeys((*self.service_accounts, *other.service_accounts))),
+            personal_accounts=tuple(dict.fromkeys((*self.personal_accounts, *other.personal_accounts))),
+        )
+
+
+def pack_from_settings(name: str, settings: Mapping) -> RulePack:
+    """A pack from the settings of a user's rule file; settings of other kinds are ignored.
+
+    Personal accounts are put in name order, so that pseudonyms do not depend on how a
+    set happened to be listed.
+    """
+    return RulePack(
+        name,
+        custom_rules(settings.get("patterns", {})),
+        tuple(dict.fromkeys(settings.get("service_accounts", ()))),
+        tuple(sorted(set(settings.get("personal_accounts", ())))),
+    )
+
+
 def custom_rules(mapping: Mapping[str, Mapping]) -> tuple[Rule, ...]:
     """User rules ``{name: {pattern, replacement, flags?, description?}}`` for the sanitize path.
 
@@ -176,16 +199,28 @@ def rules_frame(spark: SparkSession, packs: Iterable[RulePack]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def rule_problem(spark: SparkSession, rule: Rule) -> str | None:
-    """Why a rule cannot run, or None. Checked in both dialects before a plan is built."""
-    try:
-        java, template = rule.java(), rule.java_template()
-    except (re.error, ValueError, KeyError) as problem:
-        return f"{type(problem).__name__}: {problem}"
+def rule_problems(spark: SparkSession, rules: Iterable[Rule]) -> dict[str, str | None]:
+    """Per rule name, why it cannot run, or None. Checked in both dialects before a plan is built."""
+    problems: dict[str, str | None] = {}
+    trials: dict[str, Column] = {}
+    for rule in rules:
+        try:
+            found = F.regexp_count(F.lit("x"), F.lit(rule.java()))
+            changed = F.regexp_replace(F.lit("x"), rule.java(), rule.java_template())
+            trials[rule.name] = F.struct(found, changed)
+            problems[rule.name] = None
+        except (re.error, ValueError, KeyError) as problem:
+            problems[rule.name] = f"{type(problem).__name__}: {problem}"
+    if _engine_problem(spark, trials.values()):
+        # Some rule is refused by the engine only: find out which.
+        for name, trial in trials.items():
+            problems[name] = _engine_problem(spark, [trial])
+    return problems
+
+
+def _engine_problem(spark: SparkSession, trials: Iterable[Column]) -> str | None:
     try:
-        spark.range(1).select(
-            F.regexp_count(F.lit("x"), F.lit(java)), F.regexp_replace(F.lit("x"), java, template)
-        ).collect()
+        spark.range(1).select(F.array(*[t.cast("string") for t in trials])).collect()
     except Exception as problem:  # noqa: BLE001 - Spark raises one of several classes
         return str(problem).splitlines()[0]
     return None

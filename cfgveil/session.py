@@ -67,4 +67,4 @@ def spread(df: DataFrame) -> DataFrame:
     group, whose rows would all land in one task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
