@@ -94,7 +94,7 @@ BUILTIN_RULES = (
     # instead of trying the whole line from every character.
     Rule("ospf_password", r"(.*message-digest-key \d+ md5 )(\d+)( )(\S+)", r"\1<removed-ospf-key>",
          label="OSPF passwords", literals=("message-digest-key ",),
-         engine_pattern=r"(message-digest-key (?!.*message-digest-key \d+ md5 \d+ \S)\d+ md5 )(\d+)( )(\S+)",
+         engine_pattern=r"(message-digest-key \d+ md5 )(\d+)( )(?!.*message-digest-key \d+ md5 \d+ \S)(\S+)",
          secret_group=4),
     Rule("auth_key_string", r"(authentication mode md5.*key-string )(\d+)( )(\S+)", r"\1<removed-auth-key>",
          label="AUTH passwords", literals=("authentication mode md5",)),

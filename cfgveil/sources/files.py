@@ -30,7 +30,7 @@ def _binary(spark: SparkSession, root: str, patterns: Sequence[str], recursive:
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob_variants(patterns))
         .option("recursiveFileLookup", str(recursive).lower())
-        .load(root if recursive else root.rstrip("/") + "/*")
+        .load(root)
     )
 
 

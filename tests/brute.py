@@ -3,7 +3,6 @@
 import re
 
 FLAGS = {"IGNORECASE": re.I, "MULTILINE": re.M, "DOTALL": re.S}
-OPEN_COMMUNITIES = {"ro", "rw", "read-only", "read-write"}
 
 
 def compiled(rule, pattern=None):
@@ -17,15 +16,8 @@ def apply(rules, text):
     for rule in rules:
         counter = compiled(rule, rule.counted)
         counts[rule.name] = len(counter.findall(text))
-        if rule.name == "snmp_community":
-            text = compiled(rule).sub(
-                lambda m, r=rule: m.group() if m.group(2).lower() in OPEN_COMMUNITIES else m.expand(r.replacement.replace(r"\3", m.group(3) or "") if rule_groups(r) > 2 else r.replacement),
-                text,
-            )
-        else:
-            text = compiled(rule).sub(rule.replacement, text)
+        # The one rule whose engine form means something else than its pattern: an open
+        # community is kept and what follows it is not swallowed.
+        kept = rule.engine_pattern if rule.name == "snmp_community" else None
+        text = compiled(rule, kept).sub(rule.replacement, text)
     return text, {k: v for k, v in counts.items() if v}
-
-
-def rule_groups(rule):
-    return re.compile(rule.pattern).groups
