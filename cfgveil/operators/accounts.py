@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cfgveil.operators.chain import Chain, pinned
 from cfgveil.rules import Rule
+from cfgveil.session import join_lookup
 
 ACCOUNT_SCHEMA = "username string, kind string, ordinal int"
 ALIAS_PREFIX = "netadmin"
@@ -173,7 +174,9 @@ def occurring_accounts(
     No theta join: texts are reduced to their distinct blank-free tokens, the token
     vocabulary (far smaller than the corpus) is cut into substrings of the lengths the
     accounts have, and those meet the accounts by equality. A name with blanks is looked
-    up by its longest blank-free part. Matches are then verified on the text.
+    up by its longest blank-free part. Matches are then verified on the text. The account
+    table, the tokens that hold an account and the resulting pairs are each written and
+    counted before they are joined (`join_lookup`).
     """
     pieces = accounts.select(
         "username",
@@ -192,26 +195,17 @@ def occurring_accounts(
     windows = F.transform(starts, lambda at: F.substring(F.col("token"), at, F.lit(TOKEN_WINDOW + longest - 1)))
     tokens = tokens.select(key, F.explode(F.array_distinct(windows)).alias("token"))
     vocabulary = tokens.select("token").distinct()
-    cuts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter(_ints(lengths), lambda size: size <= F.length("token")),
-                lambda size: F.transform(
-                    F.sequence(F.lit(1), F.length("token") - size + 1),
-                    lambda at: F.substring(F.col("token"), at, size),
-                ),
-            )
-        )
-    )
-    holding = (
-        vocabulary.select("token", F.explode(cuts).alias("piece"))
-        .join(pieces, "piece")
-        .select("token", "username", "ordinal")
+    # Generators instead of nested lambdas: cutting stays in generated code and streams.
+    cuts = (
+        vocabulary.select("token", F.explode(_ints(lengths)).alias("size"))
+        .filter(F.length("token") >= F.col("size"))
+        .select("token", "size", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("size") + 1)).alias("at"))
+        .select("token", F.expr("substring(token, at, size)").alias("piece"))
     )
-    pairs = tokens.join(holding, "token").select(key, "username", "ordinal").distinct()
+    holding = join_lookup(cuts, pieces, "piece").select("token", "username", "ordinal").distinct()
+    pairs = join_lookup(tokens, holding, "token").select(key, "username", "ordinal").distinct()
     return (
-        df.select(key, content)
-        .join(pairs, key)
+        join_lookup(df.select(key, content), pairs, key)
         .select(key, "username", "ordinal", occurrences(F.col(content), F.col("username")).alias("n"))
         .filter("n > 0")
     )

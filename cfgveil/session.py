@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A lookup table of at most this many (narrow) rows is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "cfgveil", master: str | None = None, **settings: str) -> SparkSession:
@@ -18,6 +22,9 @@ def build_session(app: str = "cfgveil", master: str | None = None, **settings: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # A rule chain is made of a few thousand column calls; noting the call site of
+        # each costs more than analysing them.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
@@ -60,6 +67,19 @@ def materialized(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def join_lookup(df: DataFrame, lookup: DataFrame, on: str, *, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with a lookup table whose size is known before the plan is made.
+
+    The lookup is written once and counted: broadcast if it is small, sort-merge (where
+    adaptive execution splits hot keys) if not. `df` itself is never broadcast, however
+    small the optimizer takes it to be: it may be the output of an explode, whose growth
+    the optimizer's estimates ignore.
+    """
+    fixed = materialized(lookup, "lookup")
+    side = F.broadcast(fixed) if fixed.count() <= max_rows else fixed.hint("merge")
+    return df.join(side, on)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over all cores when the input has fewer splits than the cluster has cores.
 
