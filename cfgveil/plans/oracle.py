@@ -418,6 +418,14 @@ SQL["archive_types_by_content"] = " union all ".join(
 SQL["refused_archives"] = f"""select filename || case when ends_with(filename, '.CFG') then '.7z' when ends_with(filename, '.txt') then '.zip' else '' end as archive,
 case when ends_with(filename, '.CFG') then 'Extraction not supported for 7zip' when ends_with(filename, '.txt') then 'Failed to extract archive'
 else 'Unsupported archive format' end as error from ({CONFIGS})"""
+SQL["archive_errors"] = f"""select path || '.rar' as archive, filename || '.rar: Extraction not supported for rar' as error
+from ({CONFIGS}) where ends_with(filename, '.CFG')"""
+SQL["expand_compressed_files"] = f"""with cut as (select unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) as line from ({CONFIGS})),
+counted as (select line, count(*) as n from cut group by line)
+select codec, line, n from counted cross join (select unnest(['gzip', 'bzip2']) as codec)"""
+SQL["decode_documents"] = f"""with raw as (select id, replace(content, chr(10), chr(13) || chr(10)) as t from ({fx.RAW_SQL['documents']}))
+select id, replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(65533), '') as content,
+  cast(length(replace(t, chr(65533), '')) as bigint) as kept from raw"""
 SQL["archive_info"] = f"""select archive, count(*) as total_files, count(*) filter ({_is_config('member')}) as config_files,
 round(sum(length(content)) / 1048576.0, 2) as size_mb, false as encrypted from ({CONFIGS}) group by archive"""
 SQL["sanitize_archives"] = f"""with done as ({rewritten(CONFIGS, BUILTIN, "filename", keep=", archive").replace("select filename, c as", "select filename, archive, content, c as").replace("select filename, sanitized", "select filename, archive, content, sanitized")})

@@ -509,6 +509,30 @@ def refused_archives(spark, sf_dir):
     return arc.expand_archives(rows).select("archive", F.split("error", ":")[0].alias("error"))
 
 
+@query
+def archive_errors(spark, sf_dir):
+    """Error messages of archives that could not be opened, by base name."""
+    bad = fx.configs(spark, sf_dir, "path", "content").filter(F.endswith("path", F.lit(".CFG")))
+    rows = bad.select(F.concat("path", F.lit(".rar")).alias("path"), F.encode("content", "UTF-8").alias("content"))
+    return arc.archive_errors(arc.expand_archives(rows))
+
+
+@query
+def expand_compressed_files(spark, sf_dir):
+    """Every configuration line written to gzip and bzip2 files, found by suffix, inflated and counted again."""
+    lines = fx.configs(spark, sf_dir, "archive", "content").select(
+        "archive", F.explode(F.split(F.regexp_replace("content", "\n\\z", ""), "\n")).alias("value"))
+    found = None
+    for codec in ("gzip", "bzip2"):
+        out = new_dir(spark, codec)
+        lines.write.partitionBy("archive").option("compression", codec).text(out)
+        members = arc.expand_archives(src.scan_archives(spark, out)).withColumn("codec", F.lit(codec))
+        found = members if found is None else found.unionByName(members)
+    text = tx.decode_text(F.col("content"))
+    again = found.select("codec", F.explode(F.split(F.regexp_replace(text, "\n\\z", ""), "\n")).alias("line"))
+    return again.groupBy("codec", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def archive_info(spark, sf_dir):
     info = arc.archive_info(arc.expand_archives(_archives(spark, sf_dir, "zip")))
@@ -545,6 +569,14 @@ def member_preview(spark, sf_dir):
     return arc.member_preview(_members(spark, sf_dir)).select("archive", "member", _long("position"))
 
 
+@query
+def decode_documents(spark, sf_dir):
+    """The documents' bytes, each behind an invalid byte and with CRLF line ends, as clean text."""
+    rows = fx.raw_text(spark, sf_dir, "documents")
+    raw = F.concat(F.unhex(F.lit("FF")), F.encode(F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n")), "UTF-8"))
+    return rows.select("id", tx.decode_text(raw).alias("content"), F.length(tx.decode_text(raw, normalize_newlines=False)).cast("bigint").alias("kept"))
+
+
 @query
 def scan_written_files(spark, sf_dir):
     """Write every configuration as a file of its own, then scan the folder."""

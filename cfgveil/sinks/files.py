@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cfgveil.operators.report import results_csv
+from cfgveil.operators.report import results_csv, run_stats
 
 
 def write_sanitized(sanitized: DataFrame, out: str, *, partition_by: Sequence[str] = (), fmt: str = "parquet", only_modified: bool = False) -> None:
@@ -20,8 +20,11 @@ def write_sanitized(sanitized: DataFrame, out: str, *, partition_by: Sequence[st
     chosen.write.format(fmt).partitionBy(*partition_by).save(out)
 
 
-def write_results_json(rows: DataFrame, out: str) -> None:
+def write_results_json(rows: DataFrame, out: str, *, stats_out: str | None = None) -> None:
+    """Results as JSON lines, and the run statistics beside them if asked. Pass written results for both."""
     rows.write.option("ignoreNullFields", "false").json(out)
+    if stats_out:
+        run_stats(rows).write.json(stats_out)
 
 
 def write_results_csv(rows: DataFrame, out: str) -> None:

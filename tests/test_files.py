@@ -185,7 +185,9 @@ def test_sinks(spark, folder, tmp_path):
 
     done = sanitize(src.scan_configs(spark, str(folder)))
     rows = rep.results(done)
-    sinks.write_results_json(rows, str(tmp_path / "j"))
+    sinks.write_results_json(rows, str(tmp_path / "j"), stats_out=str(tmp_path / "s"))
+    stats = spark.read.json(str(tmp_path / "s")).first()
+    assert (stats.files_processed, stats.files_modified, stats.total_changes, stats.errors) == (6, 2, 2, 0)
     sinks.write_results_csv(rows, str(tmp_path / "c"))
     back = spark.read.json(str(tmp_path / "j"))
     assert {"file", "modified", "changes", "change_count", "error", "backup", "duration"} <= set(back.columns)

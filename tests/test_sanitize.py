@@ -232,3 +232,9 @@ def test_rows_outside_the_condition_pass(spark):
     assert rows["a"].sanitized == "enable secret 5 <removed-enable-secret> netadmin1"
     assert rows["b"].sanitized == rows["c"].sanitized == "enable secret 5 X john"
     assert not rows["b"].modified and not rows["c"].modified
+
+
+def test_missing_text_is_not_an_error(spark):
+    df = spark.createDataFrame([("a", None), ("b", "")], "path string, content string")
+    rows = san.sanitize(df, personal=["x"]).collect()
+    assert [(r.sanitized, r.modified, r.changes) for r in sorted(rows)] == [(None, False, []), ("", False, [])]
