@@ -108,7 +108,7 @@ def sanitize_archive_folder(
         for report in reports:
             sinks.write_report(rep.report_lines(files, when, report), f"{out}/reports/{report}")
     else:
-        packed = arc.repack_archives(written.select("archive", "member", "content"), fmt)
+        packed = arc.repack_archives(written, fmt)
         named = packed.withColumn("output_path", sanitized_name(F.col("archive"), extension=f".{fmt}"))
         sinks.write_archives(named, f"{out}/archives")
     return arc.archive_result(written)

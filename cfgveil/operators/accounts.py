@@ -146,7 +146,7 @@ def rename_accounts(
             .agg(F.array_sort(F.collect_list(F.struct("ordinal", "username"))).alias("__pairs"))
         )
         found = (
-            df.join(per_file, key, "left")
+            join_lookup(df, per_file, key, "left")
             .withColumn("__found", F.coalesce(F.col("__pairs.username"), F.array().cast("array<string>")))
             .drop("__pairs")
         )

@@ -207,20 +207,21 @@ def repack_archives(
     preserve_structure: bool = True,
     volume_bytes: int = VOLUME_BYTES,
 ) -> DataFrame:
-    """Members (archive, member, content) back into archives: archive, volume, volumes, members, content.
+    """Members (archive, member, content[, size]) back into archives: archive, volume, volumes, members, content.
 
     An archive larger than `volume_bytes` is spread over several volumes, each a complete
     archive of its own with whole members, so no task ever holds a whole large archive.
     Only those large archives, few by their size, take part in the volume lookup.
     The members are read twice, for their sizes and for their bytes: pass a written table,
-    not a long chain of work.
+    not a long chain of work, and a `size` column, so that the first read skips the bytes.
     """
     if fmt not in ARCHIVE_FORMATS:
         raise ValueError(f"Unsupported archive format for creation: {fmt}")
     rows = members.filter(F.col("content").isNotNull()).select("archive", "member", F.col("content").cast("binary").alias("content"))
+    size = F.col("size") if "size" in members.columns else F.octet_length("content")
     large = (
-        rows.groupBy("archive")
-        .agg(F.sum(F.octet_length("content")).alias("bytes"))
+        members.groupBy("archive")
+        .agg(F.sum(size).alias("bytes"))
         .filter(F.col("bytes") > volume_bytes)
         .select("archive", F.ceil(F.col("bytes") * 2 / volume_bytes).cast("int").alias("volumes"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cfgveil.functions.text import content_hash, file_stem, file_suffix
+from cfgveil.session import join_lookup
 
 STAMP = "yyyyMMdd_HHmmss"
 CATALOG = ["backup_path", "original_path", "timestamp", "file_hash", "compressed", "size"]
@@ -59,17 +60,30 @@ def latest_backup(backups: DataFrame, date_prefix: str | None = None) -> DataFra
 
 
 def restore_files(requested: DataFrame, backups: DataFrame, date_prefix: str | None = None, *, path: str = "path") -> DataFrame:
-    """Each requested path with its snapshot: path, backup_path, timestamp, restored[, content]."""
+    """Each requested path with its snapshot: path, backup_path, timestamp, restored[, content].
+
+    The snapshot is chosen on the narrow catalog columns. Contents are then picked from
+    the table through a size-checked lookup, by partition date where the table has one, so
+    restoring a few files neither shuffles nor fully reads the stored contents.
+    """
     wanted = requested.select(F.col(path).alias("original_path")).distinct()
     mine = latest_backup(backups.join(wanted, "original_path", "left_semi"), date_prefix)
-    found = wanted.join(mine, "original_path", "left")
-    if "content" in backups.columns:
-        found = found.join(backups.select("backup_path", "content"), "backup_path", "left")
-    extra = ["content"] if "content" in backups.columns else []
-    return found.select(
-        F.col("original_path").alias("path"), "backup_path", "timestamp",
-        F.col("backup_path").isNotNull().alias("restored"), *extra,
+    found = wanted.join(mine, "original_path", "left").select(
+        F.col("original_path").alias("path"), "backup_path", "timestamp", F.col("backup_path").isNotNull().alias("restored")
     )
+    if "content" not in backups.columns:
+        return found
+    keys = ["backup_path"]
+    hits = found.filter("restored")
+    stored = backups.select("backup_path", "content")
+    if "backup_date" in backups.columns:
+        keys.append("backup_date")
+        hits = hits.withColumn("backup_date", F.to_date(F.substring("timestamp", 1, 8), "yyyyMMdd"))
+        stored = backups.select("backup_path", F.col("backup_date").cast("date").alias("backup_date"), "content")
+    columns = ["path", "backup_path", "timestamp", "restored", "content"]
+    restored = join_lookup(stored, hits, keys).select(*columns)
+    missing = found.filter("not restored").withColumn("content", F.lit(None).cast(backups.schema["content"].dataType))
+    return restored.unionByName(missing.select(*columns))
 
 
 def ancestors(path: Column) -> Column:

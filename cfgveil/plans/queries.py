@@ -545,7 +545,7 @@ def sanitize_archives(spark, sf_dir):
     members = arc.expand_archives(_archives(spark, sf_dir, "zip")).withColumn(
         "member", F.regexp_replace("member", "^cfg/", "data/"))
     # Packing reads the members twice, for their sizes and their bytes: written once.
-    done = materialized(arc.sanitize_members(members).select("archive", "member", F.col("output").alias("content")), "members")
+    done = materialized(arc.sanitize_members(members).select("archive", "member", "size", F.col("output").alias("content")), "members")
     packed = arc.repack_archives(done, "tar.gz").select(F.concat("archive", F.lit(".tar.gz")).alias("path"), "content")
     return arc.expand_archives(packed).select("archive", "member", F.decode("content", "UTF-8").alias("content"))
 

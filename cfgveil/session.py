@@ -67,8 +67,10 @@ def materialized(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def join_lookup(df: DataFrame, lookup: DataFrame, on: str, *, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join with a lookup table whose size is known before the plan is made.
+def join_lookup(
+    df: DataFrame, lookup: DataFrame, on: str | list[str], how: str = "inner", *, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join (inner or left) with a lookup table whose size is known before the plan is made.
 
     The lookup is written once and counted: broadcast if it is small, sort-merge (where
     adaptive execution splits hot keys) if not. `df` itself is never broadcast, however
@@ -77,7 +79,7 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: str, *, max_rows: int = BR
     """
     fixed = materialized(lookup, "lookup")
     side = F.broadcast(fixed) if fixed.count() <= max_rows else fixed.hint("merge")
-    return df.join(side, on)
+    return df.join(side, on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:
