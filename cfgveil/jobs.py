@@ -53,7 +53,7 @@ def sanitize_folder(
     if backup_table and not dry_run:
         taken = now or datetime.now()
         bak.append_backup(configs, backup_table, backup_dir, taken)
-        stamp = F.date_format(F.lit(taken), bak.STAMP)
+        stamp = F.lit(f"{taken:{bak.STAMP}}")
         backup = bak.backup_path(F.col("path"), stamp, F.col("file_hash"), backup_dir)
         configs = configs.withColumn("file_hash", content_hash(F.col("content"), 8))
     done = sanitize(configs, builtin=builtin, custom=pack)

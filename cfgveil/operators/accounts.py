@@ -126,38 +126,62 @@ def rename_messages(hits: Column) -> Column:
     )
 
 
+# User lines as the user rule leaves them.
+SANITIZED_USER_LINE = r"(?dUm)^[^\S\n]*username (\S+)(?=(?: .*)?(?:secret|password) (?:\d+ )?<removed-user-secret>$)"
+
+
 def rename_accounts(
-    df: DataFrame, accounts: DataFrame, *, content: str = "content", key: str = "path"
+    df: DataFrame, accounts: DataFrame, *, content: str = "content", key: str = "path", user_lines: bool = False
 ) -> DataFrame:
     """Replace personal account names in a corpus by per-file pseudonyms.
 
-    Adds `sanitized` and `hits`. Short account lists are unrolled into each row; for
-    longer ones the names each text holds are found by an equi-join first. Both ways
-    give the same rows.
+    Adds `renamed` and `hits`. Short account lists are unrolled into each row; for longer
+    ones the names each text holds are found by an equi-join first. Both ways give the
+    same rows. With `user_lines` the texts are sanitized ones: personal users of their
+    user lines that are no service accounts are numbered first and renamed as whole names,
+    as `sanitize` does for account lists that fit into its expressions. (Only a name that
+    is itself part of a pseudonym, such as `admin`, can differ: here a name counts when
+    the text holds it before any renaming.)
     """
-    personal = accounts.filter(F.col("kind") == "personal").select("username", "ordinal")
+    service = accounts.filter(F.col("kind") == "service").select("username").distinct().withColumn("serves", F.lit(True))
+    personal = (
+        accounts.filter(F.col("kind") == "personal")
+        .join(service, "username", "left")
+        .select("username", "ordinal", F.coalesce("serves", F.lit(False)).alias("serves"))
+    )
     few = personal.orderBy("ordinal", "username").limit(INLINE_ACCOUNTS + 1).collect()
+    none = F.array().cast("array<string>")
     if len(few) <= INLINE_ACCOUNTS:
-        found = df.withColumn("__found", contained(F.col(content), [r["username"] for r in few]))
+        on_lines = _names([r["username"] for r in few if not r["serves"]])
+        found = df.withColumns({"__found": contained(F.col(content), [r["username"] for r in few]), "__lines": on_lines})
     else:
-        per_file = (
-            occurring_accounts(df, personal, content=content, key=key)
-            .groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("ordinal", "username"))).alias("__pairs"))
+        pairs = occurring_accounts(df, personal.select("username", "ordinal"), content=content, key=key)
+        flagged = pairs.join(personal.select("username", "serves"), "username")
+        per_file = flagged.groupBy(key).agg(
+            F.array_sort(F.collect_list(F.struct("ordinal", "username", "serves"))).alias("__pairs")
         )
         found = (
             join_lookup(df, per_file, key, "left")
-            .withColumn("__found", F.coalesce(F.col("__pairs.username"), F.array().cast("array<string>")))
+            .withColumn("__found", F.coalesce(F.col("__pairs.username"), none))
+            .withColumn("__lines", F.coalesce(F.filter("__pairs", lambda p: ~p["serves"])["username"], none))
             .drop("__pairs")
         )
-    fold = renamed(F.col(content), F.array().cast("array<string>"), F.col("__found"))
-    folded = found.withColumn("__fold", F.when(F.size("__found") > 0, fold))
+    if user_lines:
+        users = F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(SANITIZED_USER_LINE), F.lit(1)))
+        known = F.when(F.contains(F.col(content), F.lit("username ")), F.array_intersect(users, F.col("__lines"))).otherwise(none)
+    else:
+        known = none
+    started = found.withColumn("__known", known).withColumn(
+        "__start", F.when(F.size("__known") > 0, rename_on_lines(F.col(content), F.col("__known"))).otherwise(F.col(content))
+    )
+    fold = renamed(F.col("__start"), F.col("__known"), F.col("__found"))
+    folded = started.withColumn("__fold", F.when(F.size("__found") > 0, fold))
     empty = F.array().cast("array<struct<username:string,alias:string,n:bigint>>")
     return pinned(
         folded,
         df.columns,
         {
-            "sanitized": F.coalesce(F.col("__fold.text"), F.col(content)),
+            "renamed": F.coalesce(F.col("__fold.text"), F.col("__start")),
             "hits": F.coalesce(F.col("__fold.hits"), empty),
         },
     )

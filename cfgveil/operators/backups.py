@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cfgveil.functions.text import content_hash, file_stem, file_suffix
 from cfgveil.session import join_lookup
 
-STAMP = "yyyyMMdd_HHmmss"
+# Fixed value: the format of a snapshot's timestamp. Its strings sort by time.
+STAMP = "%Y%m%d_%H%M%S"
 CATALOG = ["backup_path", "original_path", "timestamp", "file_hash", "compressed", "size"]
 LATEST = ["backup_path", "timestamp", "file_hash", "compressed", "size"]
 
@@ -23,7 +24,7 @@ def backup_path(path: Column, stamp: Column, digest: Column, directory: str, *,
 
 def snapshot(df: DataFrame, directory: str, now: datetime, *, compressed: bool = True, path: str = "path", content: str = "content") -> DataFrame:
     """The originals as backup rows taken at `now`."""
-    stamp = F.date_format(F.lit(now), STAMP)
+    stamp = F.lit(f"{now:{STAMP}}")
     digest = content_hash(F.col(content), 8)
     return df.select(
         backup_path(F.col(path), stamp, digest, directory, compressed=compressed).alias("backup_path"),
@@ -33,7 +34,7 @@ def snapshot(df: DataFrame, directory: str, now: datetime, *, compressed: bool =
         F.lit(compressed).alias("compressed"),
         F.octet_length(content).cast("bigint").alias("size"),
         F.col(content).alias("content"),
-        F.date_format(F.lit(now), "yyyy-MM-dd").alias("backup_date"),
+        F.lit(f"{now:%Y-%m-%d}").alias("backup_date"),
     )
 
 
@@ -111,21 +112,24 @@ def list_backups(backups: DataFrame, path: str | None = None) -> DataFrame:
     return chosen.select(*CATALOG).orderBy(F.desc("timestamp"), "backup_path")
 
 
-def taken_at() -> Column:
-    return F.to_timestamp("timestamp", STAMP)
-
-
 def retained(backups: DataFrame, now: datetime, retention_days: int) -> DataFrame:
-    """The rows a retention period keeps; zero or less keeps all."""
-    return backups if retention_days <= 0 else backups.filter(taken_at() >= _cutoff(now, retention_days))
+    """The rows a retention period keeps; zero or less keeps all.
+
+    Timestamps are compared as strings, so the filter reaches the scan and no session
+    time zone takes part.
+    """
+    return backups if retention_days <= 0 else backups.filter(F.col("timestamp") >= _cutoff(now, retention_days))
 
 
 def expired(backups: DataFrame, now: datetime, retention_days: int) -> DataFrame:
-    return backups.filter(F.lit(False)) if retention_days <= 0 else backups.filter(taken_at() < _cutoff(now, retention_days))
+    """The complement of `retained`."""
+    return backups.filter(F.lit(False)) if retention_days <= 0 else backups.filter(F.col("timestamp") < _cutoff(now, retention_days))
 
 
-def _cutoff(now: datetime, days: int) -> Column:
-    return F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
+def _cutoff(now: datetime, days: int) -> str:
+    """The first whole second that is kept."""
+    cut = now - timedelta(days=days)
+    return f"{cut + timedelta(seconds=1) if cut.microsecond else cut:{STAMP}}"
 
 
 def backup_stats(backups: DataFrame) -> DataFrame:

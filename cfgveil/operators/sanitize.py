@@ -53,7 +53,7 @@ def sanitize(
     if len(personal) > acc.INLINE_ACCOUNTS:
         raise ValueError(
             f"{len(personal)} personal accounts: sanitize without them and pass the result "
-            "to rename_accounts with an account table"
+            "to rename_accounts with an account table and user_lines=True"
         )
 
     chain = start_chain(df, content, [*builtin.rules, *custom_rules], when)

@@ -174,6 +174,11 @@ named as materialized (select path, t as sanitized, t <> content as modified,
 
 SQL["sanitize_accounts"] = f"""with {_accounts_sql()}
 select path, sanitized, modified, cast(len(m) as bigint) as change_count, coalesce(array_to_string(m, '; '), '') as changes from named"""
+# Every configuration also names its customer once, after the others in declared order.
+SQL["sanitize_then_rename"] = f"""with {_accounts_sql()},
+texts as (select path, sanitized, (select count(*) from (select unnest([k0, k1, k2]) as k) where k is not null) as used from named join numbered using (path))
+select t.path, replace(sanitized, c_name, 'netadmin' || cast(used + 1 as varchar)) as sanitized
+from texts t join customer on t.path like '%/R-' || cast(c_custkey as string) || '.%'"""
 SQL["parse_change"] = f"""with {_accounts_sql()},
 each as (select path, unnest(m) as change from named)
 select path, change, case when contains(change, ':') then trim(split_part(change, ':', 1)) else 'unknown' end as type,

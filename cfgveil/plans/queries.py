@@ -251,14 +251,23 @@ def accounts_merged(spark, sf_dir):
 @query
 def rename_accounts(spark, sf_dir):
     done = acc.rename_accounts(fx.configs(spark, sf_dir, "path", "content"), _accounts(spark))
-    return done.select("path", "sanitized", F.array_join(acc.rename_messages(F.col("hits")), "; ").alias("changes"))
+    return done.select("path", F.col("renamed").alias("sanitized"), F.array_join(acc.rename_messages(F.col("hits")), "; ").alias("changes"))
 
 
 @query
 def rename_customers(spark, sf_dir):
     """As many personal accounts as customers: the equi-join form."""
     done = acc.rename_accounts(fx.configs(spark, sf_dir, "path", "content"), _customer_accounts(spark, sf_dir))
-    return done.select("path", "sanitized", F.array_join(acc.rename_messages(F.col("hits")), "; ").alias("changes"))
+    return done.select("path", F.col("renamed").alias("sanitized"), F.array_join(acc.rename_messages(F.col("hits")), "; ").alias("changes"))
+
+
+@query
+def sanitize_then_rename(spark, sf_dir):
+    """Sanitize first, then rename by an account table of any size, user lines first."""
+    done = materialized(san.sanitize(fx.configs(spark, sf_dir)).select("path", "sanitized"), "sanitized")
+    every = _accounts(spark).unionByName(_customer_accounts(spark, sf_dir).withColumn("ordinal", F.col("ordinal") + 1000))
+    named = acc.rename_accounts(done, every, content="sanitized", user_lines=True)
+    return named.select("path", F.col("renamed").alias("sanitized"))
 
 
 @query

@@ -33,8 +33,8 @@ def renamed(text, names):
 
 
 def collected(df):
-    rows = df.select("path", "sanitized", acc.rename_messages(df.hits).alias("m")).collect()
-    return {r.path: (r.sanitized, r.m) for r in rows}
+    rows = df.select("path", "renamed", acc.rename_messages(df.hits).alias("m")).collect()
+    return {r.path: (r.renamed, r.m) for r in rows}
 
 
 @pytest.mark.parametrize("inline", [512, 0], ids=["in-row", "join"])
@@ -100,3 +100,16 @@ def test_server_blocks(texts):
     assert [(r.block, r.line_no, r.key_type, r.secret) for r in rows] == [("A", 3, "7", "K1")]
     rows = acc.server_block_keys(texts([text]), "radius").collect()
     assert [(r.block, r.line_no, r.key_type, r.secret) for r in rows] == [("B", 8, "0", "R")]
+
+
+@pytest.mark.parametrize("inline", [512, 0], ids=["in-row", "join"])
+def test_renaming_after_sanitizing_is_the_same(texts, spark, monkeypatch, inline):
+    rng = random.Random(5)
+    lines = [*LINES.split("\n"), "! carol and bob", "  username carol privilege 1 password 7 Z", "joann bobann", "username joann secret 5 X"]
+    df = texts(["\n".join(rng.sample(lines, rng.randint(1, len(lines)))) for _ in range(80)])
+    names, service = ["ann", "bob", "carol", "joann", "zed"], ["zed"]
+    want = {r.path: (r.sanitized, [c for c in r.changes if c.startswith("Username ")]) for r in san.sanitize(df, personal=names, service=service).collect()}
+    monkeypatch.setattr(acc, "INLINE_ACCOUNTS", inline)
+    done = san.sanitize(df).select("path", "sanitized")
+    named = acc.rename_accounts(done, acc.accounts_frame(spark, names, service), content="sanitized", user_lines=True)
+    assert collected(named) == want

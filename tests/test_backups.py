@@ -41,6 +41,9 @@ def test_retention(catalog):
     kept = {r.backup_path for r in bak.retained(catalog, NOW, 31).collect()}
     gone = {r.backup_path for r in bak.expired(catalog, NOW, 31).collect()}
     assert gone == {"/b/5"} and kept == {r[0] for r in ROWS} - gone
+    exact = datetime(2024, 2, 15, 12, 0, 0)
+    assert "/b/2" in {r.backup_path for r in bak.retained(catalog, exact, 31).collect()}
+    assert "/b/2" in {r.backup_path for r in bak.expired(catalog, exact.replace(microsecond=1), 31).collect()}
     assert bak.retained(catalog, NOW, 0).count() == len(ROWS) and bak.expired(catalog, NOW, 0).count() == 0
 
 
