@@ -6,11 +6,13 @@ import bz2
 import gzip
 import io
 import lzma
+import sys
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from cfgveil.functions.text import decode_text, file_name
 from cfgveil.operators.chain import pinned
 from cfgveil.operators.sanitize import sanitize
 
+# The member functions below travel to the workers by value, so that these need not have
+# the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Archive suffixes in the order they are tried.
 ARCHIVE_SUFFIXES = {
     ".zip": "zip",

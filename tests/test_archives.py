@@ -152,3 +152,23 @@ def test_preview(spark):
     members = spark.createDataFrame([(a, f"m{i:03}") for a in "xy" for i in range(30)], "archive string, member string")
     rows = arc.member_preview(members, 3).orderBy("archive", "position").collect()
     assert [(r.archive, r.member, r.position) for r in rows] == [(a, f"m{i:03}", i + 1) for a in "xy" for i in range(3)]
+
+
+def test_worker_functions_need_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((arc._expand, arc._pack)))
+    (tmp_path / "z.zip").write_bytes(zipped())
+    code = (
+        "import pickle, pandas as pd\n"
+        "expand, pack = pickle.load(open('f.pkl', 'rb'))\n"
+        "batch = pd.DataFrame({'path': ['z.zip'], 'kind': ['zip'], 'content': [open('z.zip', 'rb').read()]})\n"
+        "members = pd.concat(expand(iter([batch])))\n"
+        "print(len(members), len(pack('tar.gz', members)) > 0)\n"
+    )
+    # -I keeps the working folder and PYTHONPATH out; the package cannot be imported.
+    done = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == ["3", "True"]
