@@ -48,3 +48,31 @@ SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT ({_RATES["short"]} OR {_RATES["repetitive"]}) AND NOT (rejected AND ({_RATES["symbols"]} OR {_RATES["lines"]} OR {_RATES["word_length"]})) AS kept
 FROM stats s JOIN verdicts v ON s.source IS NOT DISTINCT FROM v.source
 """
+
+# The template's characters around a text, by role; breaks are counted with the second of two
+# control openers marked, as this matcher has no look-ahead.
+SQL["op6_chat_format"] = r"""
+WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     turns AS (SELECT *, length(text) + len(regexp_extract_all(replace(text, '<', chr(2) || '<'), '[<\[]\\*[/sIR\x02]'))
+                      + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE 16 + 2 * strlen(role) END AS chars FROM given)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+SQL["op10_near_duplicates"] = f"""
+WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+     cut AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM ws WHERE len(w) > 0),
+     sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM cut),
+     sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+     pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     links AS (SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+     edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+     reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN edges ON a = r),
+     roots AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM roots LEFT JOIN sizes USING (doc_id)
+"""

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cfgveil.llm.chat import format_chats, parse, unescape
+from cfgveil.llm.decontamination import contaminated
 from cfgveil.llm.host_rules import quality
 from cfgveil.llm.line_dedup import dedup_lines
+from cfgveil.llm.near_dup import near_duplicates
+from cfgveil.llm.packing import pack, token_counts
 from cfgveil.llm.sharding import balanced_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +36,53 @@ def op1_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+# A byte-level BPE vocabulary of 50 256 ranks, as published; the place is a parameter.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query
+def op2_packing(spark, sf_dir):
+    counts = token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+    return pack(counts, max_tokens=2048, buckets=8, batch_tokens=16384)
+
+
 @query
 def op4_host_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, percent=80)
+
+
+PROBE = "</s>[INST] ok [/INST]"  # control strings as text
+
+
+@query
+def op6_chat_format(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], given.schema)
+
+    def read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for conv, formatted, loss in frame.itertuples(index=False):
+                turns, body = parse(formatted), formatted.encode()
+                said = "".join(unescape(body[a:b].decode()) for a, b in zip(loss[::2], loss[1::2], strict=True))
+                digest = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+                rows.append((conv, len(turns), digest, len(said), hashlib.sha256(said.encode()).hexdigest(), len(formatted)))
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    chats = format_chats(given.union(probe))
+    return chats.mapInPandas(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 @query
 def op8_sharding(spark, sf_dir):
     return balanced_shards(table(spark, sf_dir, "documents"), 40)
+
+
+@query
+def op10_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)

@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cfgveil.llm.decontamination import without_benchmark
 from cfgveil.llm.host_rules import keep_good
 from cfgveil.llm.line_dedup import dedup_lines
+from cfgveil.llm.near_dup import without_near_duplicates
+from cfgveil.llm.packing import pack, token_counts
+from cfgveil.llm.queries import VOCABULARY
 from cfgveil.session import materialized
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,9 +32,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    return without_near_duplicates(docs, shingle=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-budget batches in length buckets of least padding: the training order."""
+    return pack(token_counts(docs, VOCABULARY), max_tokens=2048, buckets=8, batch_tokens=16384)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
 #: SQL can't express the SimHash and SuperMinHash stages.
