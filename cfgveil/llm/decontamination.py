@@ -95,10 +95,20 @@ class Items:
             flat = np.concatenate([np.repeat(v, c) for _, v, c in items])
             ends_ = np.cumsum([c.sum() for _, _, c in items])
             self.by_length[n] = (items, HammingIndex(simhash(flat, np.r_[0, ends_])))
+        self.lengths: dict[int, set[int]] = defaultdict(set)  # of the items that hold a shingle
+        for n, (items, _) in self.by_length.items():
+            for _, values, _ in items:
+                for v in values.tolist():
+                    self.lengths[v].add(n)
         self.known = np.unique(hashed)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> U(44)).astype(np.int64)] = True
 
+    def hits(self, hashed: np.ndarray) -> np.ndarray:
+        """Where `hashed` has shingles of items."""
+        at = np.flatnonzero(self.filter[(hashed >> U(44)).astype(np.int64)])
+        return at[np.isin(hashed[at], self.known)]
+
 
 def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
     """Weighted Jaccard similarity of two multisets (sorted values, counts)."""
@@ -107,26 +117,26 @@ def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) ->
     return both / (int(na.sum()) + int(nb.sum()) - both)
 
 
-def _matches(hashed: np.ndarray, n_words: int, items: Items, size: int, percent: int) -> Iterator[tuple[int, int, int, float]]:
+def _matches(hashed: np.ndarray, hits: np.ndarray, n_words: int, items: Items, size: int, percent: int) -> Iterator[tuple[int, int, int, float]]:
     """(item, first word, words, similarity) of the best window of one document for each item found.
 
-    `hashed`: the document's shingles in order. A window that shares no shingle with any item
-    cannot match, so windows are taken around known shingles only; those are fingerprinted.
+    `hashed`: the document's shingles in order; `hits`: where they are shingles of items. Two
+    windows of w shingles have similarity s only if they share 2 w s / (1 + s); so windows
+    with fewer hits of items of their length cannot match and are not fingerprinted.
     """
-    met = items.filter[(hashed >> U(44)).astype(np.int64)]
-    hits = np.flatnonzero(met)
-    hits = hits[np.isin(hashed[hits], items.known)]
-    if not len(hits):
-        return
-    for length, (rows, index) in items.by_length.items():
+    by_length = defaultdict(list)
+    for at, value in zip(hits.tolist(), hashed[hits].tolist(), strict=True):
+        for length in items.lengths[value]:
+            by_length[length].append(at)
+    for length, at_hits in sorted(by_length.items()):
+        rows, index = items.by_length[length]
         if length > n_words or (length < size and length != n_words):
             continue
         width = max(1, length - size + 1)  # shingles of a window
-        last = len(hashed) - width
-        around = np.zeros(last + 2, np.int64)
-        np.add.at(around, np.minimum(np.maximum(hits - width + 1, 0), last + 1), 1)
-        np.add.at(around, np.minimum(hits, last) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(around)[: last + 1] > 0)
+        hit = np.zeros(len(hashed) + 1, np.int64)
+        hit[np.array(at_hits) + 1] = 1
+        seen = np.cumsum(hit)
+        starts = np.flatnonzero((100 + percent) * (seen[width:] - seen[: len(seen) - width]) >= 2 * width * percent)
         best: dict[int, tuple[float, int]] = {}
         for part in np.array_split(starts, max(1, len(starts) * width >> 16)):
             if not len(part):
@@ -181,12 +191,13 @@ def contaminated(
                 starts, ends, first = spans(data, offsets)
                 hashed, owner, _ = shingles(hash_words(data, starts, ends, powers), first, shingle)
                 bounds = np.searchsorted(owner, np.arange(len(offsets)))
-                possible = np.unique(owner[items.filter[(hashed >> U(44)).astype(np.int64)]])
+                hits = items.hits(hashed)
+                cuts = np.searchsorted(hits, bounds)
                 doc = table["id"].to_pylist()
                 found = [
                     (doc[k], *m)
-                    for k in possible.tolist()
-                    for m in _matches(hashed[bounds[k] : bounds[k + 1]], int(first[k + 1] - first[k]), items, shingle, percent)
+                    for k in np.flatnonzero(np.diff(cuts)).tolist()
+                    for m in _matches(hashed[bounds[k] : bounds[k + 1]], hits[cuts[k] : cuts[k + 1]] - bounds[k], int(first[k + 1] - first[k]), items, shingle, percent)
                 ]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
