@@ -73,6 +73,11 @@ def text_sets(column: pa.ChunkedArray, size: int, powers: Powers) -> tuple[list[
     return sets, hashed, owner
 
 
+def _digests(bodies: list[bytes]) -> np.ndarray:
+    """128-bit hashes as pairs of integers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(b, digest_size=16).digest() for b in bodies), np.int64).reshape(-1, 2)
+
+
 def _signed(df: DataFrame, size: int) -> DataFrame:
     """(id, n, set_a, set_b, keys): set size, 128-bit hash of the set, band keys."""
 
@@ -80,7 +85,7 @@ def _signed(df: DataFrame, size: int) -> DataFrame:
         powers = Powers()
         for table in pieces(batches, 1 << 20):
             sets, hashed, owner = text_sets(table["text"], size, powers)
-            digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            digests = _digests([s.tobytes() for s in sets])
             keys = band_keys(superminhash(hashed, owner, len(sets))).view(np.int64)
             width = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -92,15 +97,32 @@ def _signed(df: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
-    """(node, body): the sorted shingle hashes as bytes."""
+    """(node, set_a, body): half of the set's hash, the sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for table in pieces(batches, 1 << 20):
             sets, _, _ = text_sets(table["text"], size, powers)
-            yield pa.RecordBatch.from_arrays([table["id"].combine_chunks(), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "body"])
+            bodies = [s.tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([table["id"].combine_chunks(), pa.array(_digests(bodies)[:, 0]), pa.array(bodies, pa.binary())], ["node", "set_a", "body"])
+
+    return df.mapInArrow(run, "node long, set_a long, body binary")
 
-    return df.mapInArrow(run, "node long, body binary")
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """(node, set_a, alone): how many shingles of a set no other of `sets` has; none: no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                values = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("body")]
+                each = np.array([len(v) for v in values])
+                columns = [np.repeat(part.column(c).to_numpy(), each) for c in ("node", "set_a")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.concatenate(values))], ["node", "set_a", "h"])
+
+    single = sets.mapInArrow(run, "node long, set_a long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "set_a")).alias("owner"))
+    return single.where("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("alone")).select("owner.*", "alone")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,15 +137,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.withColumnRenamed("body", "left"), F.col("a") == F.col("node")).drop("node")
-    return left.join(sets.withColumnRenamed("body", "right"), F.col("b") == F.col("node")).drop("node").mapInArrow(run, "a long, b long").distinct()
+    left = pairs.join(sets.select("node", F.col("body").alias("left")), F.col("a") == F.col("node")).drop("node")
+    return left.join(sets.select("node", F.col("body").alias("right")), F.col("b") == F.col("node")).drop("node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _shared_buckets(members: DataFrame) -> DataFrame:
+    """The rows of `members` whose key has other members, with their number `m`."""
+    full = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("key", "of")
+    return members.join(full, F.col("key") == F.col("of")).drop("of")
 
 
 def _across(members: DataFrame, centers: DataFrame) -> DataFrame:
-    """Pairs (a < b, sizes n and n2) of a member and a center of its bucket in different components."""
-    c = centers.select(F.col("key").alias("of"), F.col("node").alias("center"), F.col("n").alias("n2"), F.col("component").alias("other"))
+    """Pairs (a < b, sizes n and n2, shared shingles s and s2) of a member and a center of its bucket in different components."""
+    c = centers.select(F.col("key").alias("of"), F.col("node").alias("center"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("component").alias("other"))
     pairs = members.join(c, (F.col("key") == F.col("of")) & (F.col("component") != F.col("other")) & (F.col("node") != F.col("center")))
-    return pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"), "n", "n2")
+    return pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"), "n", "n2", "s", "s2")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -151,14 +179,18 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     nodes, nodes_path = stored(
         rows.where("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("keys").alias("keys")), "nodes"
     )
-    bands = nodes.select("node", "n", F.explode("keys").alias("key"))
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("key", "of")
-    members, members_path = stored(bands.join(full, F.col("key") == F.col("of")).drop("of").dropDuplicates(["key", "node", "n"]), "members")
-    candidates, candidates_path = stored(members.groupBy("node").agg(F.sum("m").alias("weight")), "candidates")
-    sets, sets_path = stored(_sets(join_checked(docs, candidates.select("node"), {"id": "node"}, "left_semi", 16), shingle), "sets")
-
-    weighed, weighed_path = stored(members.join(candidates, "node").select("key", "node", "n", "m", "weight"), "weighed")
+    bands = nodes.select("node", "set_a", "n", F.explode("keys").alias("key"))
+    members, members_path = stored(_shared_buckets(bands), "members")
+    candidates, candidates_path = stored(members.select("node").distinct(), "candidates")
+    sets, sets_path = stored(_sets(join_checked(docs, candidates, {"id": "node"}, "left_semi", 16), shingle), "sets")
+    # A set shares with another at most what is in any other set: less than `percent`, and
+    # it has no link at all. Many sets of a large family leave their buckets here.
+    linkable = members.join(_alone(sets), ["node", "set_a"], "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
+    linkable, linkable_path = stored(_shared_buckets(linkable.where(100 * F.col("s") >= percent * F.col("n")).select("node", "set_a", "n", "s", "key")), "linkable")
     drop(spark, members_path, candidates_path)
+    weight = linkable.groupBy("node").agg(F.sum("m").alias("weight"))
+    weighed, weighed_path = stored(linkable.join(weight, "node").select("key", "node", "n", "s", "m", "weight"), "weighed")
+    drop(spark, linkable_path)
     links, links_path = stored(spark.createDataFrame([], "a long, b long"), "linked")
     tested, tested_path = stored(spark.createDataFrame([], "a long, b long"), "tested")
     used, used_path = stored(spark.createDataFrame([], "key long, node long"), "used")
@@ -178,14 +210,18 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
         if turn == 1:
             small = unjoined.where(F.col("m") <= SMALL_BUCKET)
             pairs = pairs.union(_across(small, small))
-        fitting = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+        both = F.least("s", "s2")  # the most that the two can share
+        fitting = 100 * both >= percent * (F.col("n") + F.col("n2") - both)
         pairs, pairs_path = stored(pairs.where(fitting).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        new_links, new_path = stored(links.union(_linked(pairs, sets, percent)), "linked")
+        fresh, fresh_path = stored(_linked(pairs, sets, percent), "fresh")
+        nothing_new = fresh.isEmpty()
+        new_links, new_path = stored(links.union(fresh), "linked")
         new_tested, new_tested_path = stored(tested.union(pairs), "tested")
         new_used, new_used_path = stored(used.union(centers.select("key", "node")), "used")
-        drop(spark, state_path, centers_path, pairs_path, links_path, tested_path, used_path)
+        drop(spark, fresh_path, state_path, centers_path, pairs_path, links_path, tested_path, used_path)
         links, links_path, tested, tested_path, used, used_path = new_links, new_path, new_tested, new_tested_path, new_used, new_used_path
-        groups = components(links)
+        if not nothing_new:
+            groups = components(links)
     whole = nodes.select("set_a", "set_b", "node").join(groups.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")
     labels, _ = stored(whole.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "labels")
     labels = labels.withColumnsRenamed({"set_a": "a", "set_b": "b"})
