@@ -16,6 +16,7 @@ from cfgveil.llm.line_dedup import dedup_lines
 from cfgveil.llm.near_dup import near_duplicates
 from cfgveil.llm.packing import pack, token_counts
 from cfgveil.llm.sharding import balanced_shards
+from cfgveil.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +87,8 @@ def op8_sharding(spark, sf_dir):
 @query
 def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, threshold=0.7)
