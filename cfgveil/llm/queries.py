@@ -16,6 +16,7 @@ from cfgveil.llm.line_dedup import dedup_lines
 from cfgveil.llm.near_dup import near_duplicates
 from cfgveil.llm.packing import pack, token_counts
 from cfgveil.llm.sharding import balanced_shards
+from cfgveil.llm.suffix_dedup import remove_repeats
 from cfgveil.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +93,9 @@ def op10_near_duplicates(spark, sf_dir):
 @query
 def op9_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, threshold=0.7)
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    done = remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
