@@ -15,6 +15,7 @@ from cfgveil.llm.host_rules import quality
 from cfgveil.llm.line_dedup import dedup_lines
 from cfgveil.llm.near_dup import near_duplicates
 from cfgveil.llm.packing import pack, token_counts
+from cfgveil.llm.pitman_yor import score
 from cfgveil.llm.sharding import balanced_shards
 from cfgveil.llm.suffix_dedup import remove_repeats
 from cfgveil.llm.toxicity import toxicity
@@ -99,3 +100,8 @@ def op9_toxicity(spark, sf_dir):
 def op3_suffix_dedup(spark, sf_dir):
     done = remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_pitman_yor(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents"), folds=10, held=0)
