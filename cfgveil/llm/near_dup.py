@@ -24,8 +24,8 @@ from cfgveil.llm.words import Powers, U, hash_words, mix, shingles, spans
 
 # With 32 bands of 4 slots a pair of similarity 0.8 shares no band with a chance of 5e-8.
 SLOTS, BANDS = 128, 32
-# Buckets with at most this many members are compared in full once stars have joined most.
-SMALL_BUCKET = 32
+# A bucket that is not connected yet has this many times as many centers on each turn.
+CENTERS = 8
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -167,10 +167,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
 
     Equal sets become one node first, with partial aggregation, so copies are never paired.
     Band buckets then propose links, each verified on the full sets: first every member with
-    the one member of its bucket that shares most buckets (a family's origin); then, between
-    members that are not connected yet, all pairs of small buckets and, of large ones, two,
-    four, eight... further centers, until every bucket is connected or has been tested in
-    full. So no link that any band proposes is missing from the components, and a bucket of
+    the one member of its bucket that shares most buckets (a family's origin); then, where a
+    bucket is not connected yet, with CENTERS, CENTERS^2... further members, across components
+    only, until it is connected or has been tested in full. So no link that any band
+    proposes is missing from the components, and a bucket of
     true near copies costs one pair for each member.
     """
     spark = df.sparkSession
@@ -200,16 +200,13 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
         state = weighed.join(found, F.col("node") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "node"))
         apart = state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select(F.col("key").alias("of"))
         unjoined, state_path = stored(state.join(apart, F.col("key") == F.col("of")).drop("of"), "unjoined")
-        large = unjoined if turn == 0 else unjoined.where(F.col("m") > SMALL_BUCKET).join(used, ["key", "node"], "left_anti")
+        free = unjoined.join(used, ["key", "node"], "left_anti") if turn else unjoined
         nearest = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-        centers, centers_path = stored(large.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= 2**turn), "centers")
-        if centers.isEmpty() and (turn != 1 or unjoined.isEmpty()):
+        centers, centers_path = stored(free.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= CENTERS**turn), "centers")
+        if centers.isEmpty():
             drop(spark, state_path, centers_path)
             break
         pairs = _across(unjoined, centers)
-        if turn == 1:
-            small = unjoined.where(F.col("m") <= SMALL_BUCKET)
-            pairs = pairs.union(_across(small, small))
         both = F.least("s", "s2")  # the most that the two can share
         fitting = 100 * both >= percent * (F.col("n") + F.col("n2") - both)
         pairs, pairs_path = stored(pairs.where(fitting).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
