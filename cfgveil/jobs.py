@@ -109,7 +109,9 @@ def sanitize_archive_folder(
             sinks.write_report(rep.report_lines(files, when, report), f"{out}/reports/{report}")
     else:
         packed = arc.repack_archives(written, fmt)
-        named = packed.withColumn("output_path", sanitized_name(F.col("archive"), extension=f".{fmt}"))
+        one = sanitized_name(F.col("archive"), extension=f".{fmt}")
+        each = sanitized_name(F.col("archive"), extension=F.concat(F.lit("_"), F.col("volume").cast("string"), F.lit(f".{fmt}")))
+        named = packed.withColumn("output_path", F.when(F.col("volumes") > 1, each).otherwise(one))
         sinks.write_archives(named, f"{out}/archives")
     return arc.archive_result(written)
 

@@ -88,12 +88,10 @@ def restore_files(requested: DataFrame, backups: DataFrame, date_prefix: str | N
 
 
 def ancestors(path: Column) -> Column:
-    """The path itself and every folder above it."""
+    """The path itself and every folder above it, the root `/` of an absolute path included."""
     parts = F.split(path, "/")
-    return F.filter(
-        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")),
-        lambda p: p != "",
-    )
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.transform(above, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
 
 
 def restore_directory(directories: DataFrame, backups: DataFrame, *, directory: str = "directory") -> DataFrame:

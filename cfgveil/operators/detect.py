@@ -17,6 +17,7 @@ from cfgveil.rules import (
     rule_problems,
 )
 
+# How many matches per rule and text a preview shows.
 SHOWN = 10
 
 
@@ -44,13 +45,13 @@ def detect_secrets(
     pack: RulePack = LIBRARY,
     *,
     content: str = "content",
-    shown: int | None = SHOWN,
+    shown: int | None = None,
     secret_group: bool = False,
 ) -> DataFrame:
     """Long form of the detections: key, ordinal, rule, position, value.
 
-    The value is the last group of a match (the whole match without groups), of the
-    first `shown` matches per rule and text. With `secret_group` it is the group that
+    The value is the last group of a match (the whole match without groups), of every
+    match, or of the first `shown` per rule and text. With `secret_group` it is the group that
     holds the secret where the rule names one.
     """
     entries = []
@@ -75,17 +76,19 @@ def detect_secrets(
     ).withColumn("position", F.col("position") + 1)
 
 
-def detections_map(df: DataFrame, key: Sequence[str], pack: RulePack = LIBRARY, *, content: str = "content") -> DataFrame:
-    """Per text, a map from rule name to its first detected values (rules without a match left out)."""
-    found = [
-        _guarded(
-            r,
-            content,
-            F.slice(F.regexp_extract_all(F.col(content), F.lit(r.java()), F.lit(r.detected_group())), 1, SHOWN),
-            F.array().cast("array<string>"),
-        )
-        for r in pack.rules
-    ]
+def detection_preview(df: DataFrame, key: Sequence[str], pack: RulePack = LIBRARY, *, content: str = "content", shown: int = SHOWN) -> DataFrame:
+    """The first `shown` detections per rule and text."""
+    return detect_secrets(df, key, pack, content=content, shown=shown)
+
+
+def detections_map(df: DataFrame, key: Sequence[str], pack: RulePack = LIBRARY, *, content: str = "content", shown: int | None = None) -> DataFrame:
+    """Per text, a map from rule name to its detected values, the first `shown` if given (rules without a match left out)."""
+
+    def values(rule: Rule) -> Column:
+        every = F.regexp_extract_all(F.col(content), F.lit(rule.java()), F.lit(rule.detected_group()))
+        return every if shown is None else F.slice(every, 1, shown)
+
+    found = [_guarded(r, content, values(r), F.array().cast("array<string>")) for r in pack.rules]
     everything = F.map_from_arrays(F.array(*[F.lit(r.name) for r in pack.rules]), F.array(*found))
     return _prepared(df, content).select(
         *key, F.map_filter(everything, lambda _, values: F.size(values) > 0).alias("detections")

@@ -193,7 +193,7 @@ SQL["apply_library"] = rewritten(CONFIGS, LIBRARY)
 SQL["apply_library_subset"] = rewritten(CONFIGS, packs.LIBRARY.subset(q.SUBSET).rules)
 
 
-def detected(source: str, key: str, rules, *, shown: int | None = 10, secret: bool = False) -> str:
+def detected(source: str, key: str, rules, *, shown: int | None = None, secret: bool = False) -> str:
     parts = []
     for i, rule in enumerate(rules, 1):
         group = rule.secret_group if secret and rule.secret_group is not None else rule.detected_group()

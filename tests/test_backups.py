@@ -60,3 +60,12 @@ def test_backup_names(spark):
     assert rows["/c/r1.txt"].backup_path == "/bk/r1_20240201_000000_90015098..txt.gz"
     assert rows["/c/plain"].backup_path == "/bk/plain_20240201_000000_90015098..gz"
     assert bak.snapshot(df, "/bk", NOW, compressed=False).filter("original_path like '%r1%'").first().backup_path == "/bk/r1_20240201_000000_90015098.txt"
+
+
+def test_root_restores_everything(spark):
+    catalog = spark.createDataFrame(
+        [("/b/1", "/etc/a.conf", "20240101_000000", "h", False, 1), ("/b/2", "/etc/a.conf", "20240102_000000", "h", False, 1), ("/b/3", "/srv/x/b.conf", "20240101_000000", "h", False, 1)],
+        "backup_path string, original_path string, timestamp string, file_hash string, compressed boolean, size long",
+    )
+    rows = bak.restore_directory(spark.createDataFrame([("/",), ("/srv",)], "directory string"), catalog).collect()
+    assert sorted((r.directory, r.backup_path) for r in rows) == [("/", "/b/2"), ("/", "/b/3"), ("/srv", "/b/3")]

@@ -26,11 +26,12 @@ def expected(text, pack, limit):
 
 def test_detections_match_plain_python(texts):
     df = texts(SAMPLES + [random_text(i) for i in range(150)] + ["snmp-server community x\n" * 25])
-    got = {}
-    for r in det.detect_secrets(df, ["path"]).collect():
-        got.setdefault(r.path, []).append((r.ordinal, r.rule, r.position, r.value))
-    for row in df.collect():
-        assert sorted(got.get(row.path, [])) == expected(row.content, LIBRARY, 10)
+    for limit, found in ((None, det.detect_secrets(df, ["path"])), (10, det.detection_preview(df, ["path"]))):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.path, []).append((r.ordinal, r.rule, r.position, r.value))
+        for row in df.collect():
+            assert sorted(got.get(row.path, [])) == expected(row.content, LIBRARY, limit)
 
 
 def test_all_values_and_secret_group(texts):
@@ -73,3 +74,11 @@ def test_coverage(texts):
     rows = {r.pack: r for r in det.pack_coverage(texts(SAMPLES), packs).collect()}
     assert (rows["one"].rules, rows["one"].rules_hit, rows["one"].hits, rows["one"].files) == (2, 2, 2, 1)
     assert (rows["two"].rules_hit, rows["two"].hits, rows["two"].files) == (0, 0, 0)
+
+
+def test_every_match_is_returned(texts):
+    df = texts(["\n".join(f"snmp-server community name{i} RO" for i in range(25))])
+    pack = LIBRARY.subset(["snmp_community"])
+    assert det.detect_secrets(df, ["path"], pack).count() == 25
+    assert det.detection_preview(df, ["path"], pack).count() == 10
+    assert len(det.detections_map(df, ["path"], pack).first().detections["snmp_community"]) == 25
