@@ -11,10 +11,11 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cfgveil.llm.blocks import pieces, utf8
@@ -26,6 +27,8 @@ from cfgveil.llm.words import Powers, U, hash_words, mix, shingles, spans
 SLOTS, BANDS = 128, 32
 # A bucket that is not connected yet has this many times as many centers on each turn.
 CENTERS = 8
+# Words of 64 bits of a set's parity bitmap.
+PARITY = 8
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -73,13 +76,25 @@ def text_sets(column: pa.ChunkedArray, size: int, powers: Powers) -> tuple[list[
     return sets, hashed, owner
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps (len(sets) x PARITY words): bit g tells whether an odd number of a set's elements hash to g.
+
+    Two bitmaps differ in at most as many bits as the sets differ in elements.
+    """
+    words = np.zeros((len(sets), PARITY), U)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    g = mix(np.concatenate([np.zeros(0, U), *sets])) % U(64 * PARITY)
+    np.bitwise_xor.at(words, (owner, (g >> U(6)).astype(np.int64)), U(1) << (g & U(63)))
+    return words
+
+
 def _digests(bodies: list[bytes]) -> np.ndarray:
     """128-bit hashes as pairs of integers."""
     return np.frombuffer(b"".join(hashlib.blake2b(b, digest_size=16).digest() for b in bodies), np.int64).reshape(-1, 2)
 
 
 def _signed(df: DataFrame, size: int) -> DataFrame:
-    """(id, n, set_a, set_b, keys): set size, 128-bit hash of the set, band keys."""
+    """(id, n, set_a, set_b, keys, bits): set size, 128-bit hash of the set, band keys, parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -87,13 +102,13 @@ def _signed(df: DataFrame, size: int) -> DataFrame:
             sets, hashed, owner = text_sets(table["text"], size, powers)
             digests = _digests([s.tobytes() for s in sets])
             keys = band_keys(superminhash(hashed, owner, len(sets))).view(np.int64)
-            width = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (keys, parities(sets).view(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [table["id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.ListArray.from_arrays(width, pa.array(keys.ravel()))],
-                ["id", "n", "set_a", "set_b", "keys"],
+                [table["id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *lists],
+                ["id", "n", "set_a", "set_b", "keys", "bits"],
             )
 
-    return df.mapInArrow(run, "id long, n long, set_a long, set_b long, keys array<long>")
+    return df.mapInArrow(run, "id long, n long, set_a long, set_b long, keys array<long>, bits array<long>")
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
@@ -147,11 +162,18 @@ def _shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(full, F.col("key") == F.col("of")).drop("of")
 
 
-def _across(members: DataFrame, centers: DataFrame) -> DataFrame:
-    """Pairs (a < b, sizes n and n2, shared shingles s and s2) of a member and a center of its bucket in different components."""
-    c = centers.select(F.col("key").alias("of"), F.col("node").alias("center"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("component").alias("other"))
-    pairs = members.join(c, (F.col("key") == F.col("of")) & (F.col("component") != F.col("other")) & (F.col("node") != F.col("center")))
-    return pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"), "n", "n2", "s", "s2")
+def _across(members: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of a member and a center of its bucket in different components that may meet the similarity.
+
+    Two exact bounds leave pairs out within the join: what either set shares with any other
+    bounds the intersection, and the bits in which the bitmaps differ bound it from the other side.
+    """
+    c = centers.select(F.col("key").alias("of"), F.col("node").alias("center"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("bits").alias("bits2"), F.col("component").alias("other"))
+    both, total = F.least("s", "s2"), F.col("n") + F.col("n2")
+    differing = reduce(Column.__add__, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(PARITY)])
+    fitting = (100 * both >= percent * (total - both)) & ((100 + percent) * (total - differing) >= 2 * percent * total)
+    pairs = members.join(c, (F.col("key") == F.col("of")) & (F.col("component") != F.col("other")) & (F.col("node") != F.col("center")) & fitting)
+    return pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -166,7 +188,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     have a null component and are kept. An empty table gives an empty table.
 
     Equal sets become one node first, with partial aggregation, so copies are never paired.
-    Band buckets then propose links, each verified on the full sets: first every member with
+    Band buckets then propose links; those that pass exact bounds (parity bitmaps, shared
+    shingles) are verified on the full sets: first every member with
     the one member of its bucket that shares most buckets (a family's origin); then, where a
     bucket is not connected yet, with CENTERS, CENTERS^2... further members, across components
     only, until it is connected or has been tested in full. So no link that any band
@@ -177,7 +200,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     rows, rows_path = stored(_signed(docs, shingle), "signatures")
     nodes, nodes_path = stored(
-        rows.where("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("keys").alias("keys")), "nodes"
+        rows.where("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes"
     )
     bands = nodes.select("node", "set_a", "n", F.explode("keys").alias("key"))
     members, members_path = stored(_shared_buckets(bands), "members")
@@ -188,8 +211,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     linkable = members.join(_alone(sets), ["node", "set_a"], "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
     linkable, linkable_path = stored(_shared_buckets(linkable.where(100 * F.col("s") >= percent * F.col("n")).select("node", "set_a", "n", "s", "key")), "linkable")
     drop(spark, members_path, candidates_path)
-    weight = linkable.groupBy("node").agg(F.sum("m").alias("weight"))
-    weighed, weighed_path = stored(linkable.join(weight, "node").select("key", "node", "n", "s", "m", "weight"), "weighed")
+    weight = linkable.groupBy("node").agg(F.sum("m").alias("weight")).join(nodes.select("node", "bits"), "node")
+    weighed, weighed_path = stored(linkable.join(weight, "node").select("key", "node", "n", "s", "weight", "bits"), "weighed")
     drop(spark, linkable_path)
     links, links_path = stored(spark.createDataFrame([], "a long, b long"), "linked")
     tested, tested_path = stored(spark.createDataFrame([], "a long, b long"), "tested")
@@ -206,10 +229,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
         if centers.isEmpty():
             drop(spark, state_path, centers_path)
             break
-        pairs = _across(unjoined, centers)
-        both = F.least("s", "s2")  # the most that the two can share
-        fitting = 100 * both >= percent * (F.col("n") + F.col("n2") - both)
-        pairs, pairs_path = stored(pairs.where(fitting).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs, pairs_path = stored(_across(unjoined, centers, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
         fresh, fresh_path = stored(_linked(pairs, sets, percent), "fresh")
         nothing_new = fresh.isEmpty()
         new_links, new_path = stored(links.union(fresh), "linked")
@@ -222,7 +242,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     whole = nodes.select("set_a", "set_b", "node").join(groups.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")
     labels, _ = stored(whole.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "labels")
     labels = labels.withColumnsRenamed({"set_a": "a", "set_b": "b"})
-    out = join_checked(rows.drop("keys"), labels, {"set_a": "a", "set_b": "b"}, "left", 48)
+    out = join_checked(rows.drop("keys", "bits"), labels, {"set_a": "a", "set_b": "b"}, "left", 48)
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
 

@@ -9,7 +9,7 @@ import pytest
 
 from cfgveil.llm.components import components
 from cfgveil.llm.line_dedup import PerfectHash, dedup_lines
-from cfgveil.llm.near_dup import near_duplicates, superminhash, without_near_duplicates
+from cfgveil.llm.near_dup import near_duplicates, parities, superminhash, without_near_duplicates
 from cfgveil.llm.suffix_dedup import remove_repeats, separated, sort_suffixes
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -146,6 +146,16 @@ def test_signature_estimates_similarity():
         assert abs(np.mean(seen) - shared / (2 * n - shared)) < 0.03
 
 
+def test_parity_bounds_difference():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2000, n).astype(np.uint64)) for n in (0, 1, 40, 300, 1500)]
+    words = parities(sets)
+    for x, p in zip(sets, words, strict=True):
+        for y, q in zip(sets, words, strict=True):
+            assert sum(int(w).bit_count() for w in p ^ q) <= len(np.setxor1d(x, y))
+    assert not words[0].any() and parities([]).shape == (0, words.shape[1])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
