@@ -97,11 +97,13 @@ def ancestors(path: Column) -> Column:
 def restore_directory(directories: DataFrame, backups: DataFrame, *, directory: str = "directory") -> DataFrame:
     """Latest snapshot of every file below the requested folders: directory, original_path, backup_path, timestamp.
 
-    A prefix join as an equi-join: every latest snapshot meets the folders above it.
+    A prefix join as an equi-join: every snapshot meets the folders above it through a
+    size-checked lookup, and only those that lie in a wanted folder are shuffled and reduced.
     """
     wanted = directories.select(F.regexp_replace(directory, r"(.)/+\z", "$1").alias("directory")).distinct()
-    above = latest_backup(backups).select("original_path", "backup_path", "timestamp", F.explode(ancestors(F.col("original_path"))).alias("directory"))
-    return above.join(wanted, "directory").select("directory", "original_path", "backup_path", "timestamp")
+    above = backups.select("original_path", "backup_path", "timestamp", F.explode(ancestors(F.col("original_path"))).alias("directory"))
+    newest = F.max(F.struct("timestamp", "backup_path")).alias("b")
+    return join_lookup(above, wanted, "directory").groupBy("directory", "original_path").agg(newest).select("directory", "original_path", "b.backup_path", "b.timestamp")
 
 
 def list_backups(backups: DataFrame, path: str | None = None) -> DataFrame:
@@ -124,6 +126,38 @@ def expired(backups: DataFrame, now: datetime, retention_days: int) -> DataFrame
     return backups.filter(F.lit(False)) if retention_days <= 0 else backups.filter(F.col("timestamp") < _cutoff(now, retention_days))
 
 
+def drop_expired(spark: SparkSession, table: str, now: datetime, retention_days: int) -> list[str]:
+    """Remove the snapshots a retention period does not keep; returns the `backup_date` days that changed.
+
+    Days before the first kept one go as whole partitions, without being read. Of that day
+    itself the kept rows are written beside the table's partitions, which then change places
+    by renames; a call that died is finished by the next one (where renames are atomic).
+    Zero or fewer days keep all.
+    """
+    if retention_days <= 0:
+        return []
+    first = datetime.strptime(_cutoff(now, retention_days), STAMP).strftime("%Y-%m-%d")
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    part, kept, old = new_path(f"{table}/backup_date={first}"), new_path(f"{table}/_kept-{first}"), new_path(f"{table}/_old-{first}")
+    fs = part.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(part):
+        fs.rename(kept, part)
+    fs.delete(old, True)
+    rows = read_catalog(spark, table)
+    day = F.col("backup_date").cast("string")
+    days = sorted(r[0] for r in rows.where(day < first).select(day).distinct().collect())
+    for gone in days:
+        fs.delete(new_path(f"{table}/backup_date={gone}"), True)
+    of_day = rows.where(day == first)
+    if not expired(of_day, now, retention_days).isEmpty():
+        retained(of_day, now, retention_days).drop("backup_date").write.mode("overwrite").option("compression", "zstd").parquet(kept.toString())
+        fs.rename(part, old)
+        fs.rename(kept, part)
+        fs.delete(old, True)
+        days.append(first)
+    return days
+
+
 def _cutoff(now: datetime, days: int) -> str:
     """The first whole second that is kept."""
     cut = now - timedelta(days=days)

@@ -18,7 +18,7 @@ REPORT_VERSION = "1.0"
 
 
 def results(sanitized: DataFrame, *, path: str = "path", backup: Column | None = None) -> DataFrame:
-    """One result row per file, as written to JSON and CSV."""
+    """One result row per file, as written to JSON and CSV; a duration nobody measured is null."""
     have = set(sanitized.columns)
     return sanitized.select(
         F.col(path).alias("file"),
@@ -27,7 +27,7 @@ def results(sanitized: DataFrame, *, path: str = "path", backup: Column | None =
         "change_count",
         (F.col("error") if "error" in have else F.lit(None).cast("string")).alias("error"),
         (F.lit(None).cast("string") if backup is None else backup).alias("backup"),
-        (F.col("duration") if "duration" in have else F.lit(0.0)).alias("duration"),
+        (F.col("duration") if "duration" in have else F.lit(None)).cast("double").alias("duration"),
     )
 
 
@@ -38,7 +38,7 @@ def results_csv(rows: DataFrame) -> DataFrame:
         F.col("change_count").alias("Changes"),
         F.coalesce("error", F.lit("")).alias("Error"),
         F.coalesce("backup", F.lit("")).alias("Backup"),
-        F.format_string("%.3f", F.col("duration").cast("double")).alias("Duration"),
+        F.when(F.col("duration").isNotNull(), F.format_string("%.3f", "duration")).otherwise("").alias("Duration"),
     )
 
 
@@ -57,7 +57,7 @@ def with_errors(rows: DataFrame, errors: DataFrame) -> DataFrame:
         F.lit(0).alias("change_count"),
         "error",
         F.lit(None).cast("string").alias("backup"),
-        F.lit(0.0).alias("duration"),
+        F.lit(None).cast("double").alias("duration"),
     )
     return rows.unionByName(failed)
 
@@ -89,7 +89,7 @@ def parse_change(message: Column) -> Column:
 # Roll-ups ---------------------------------------------------------------------------
 
 
-def _with_name(sanitized: DataFrame) -> DataFrame:
+def with_name(sanitized: DataFrame) -> DataFrame:
     if "filename" in sanitized.columns:
         return sanitized
     return sanitized.withColumn("filename", file_name(F.col("path")))
@@ -102,7 +102,7 @@ def secrets_by_type(sanitized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     so no task ever holds the files of one label.
     """
     return (
-        _with_name(sanitized)
+        with_name(sanitized)
         .select(*by, "filename", F.inline("findings"))
         .groupBy(*by, "label")
         .agg(F.sum("n").alias("total_count"), F.countDistinct("filename").alias("affected_files"))
@@ -128,7 +128,7 @@ def file_secrets(findings: Column) -> Column:
 def file_details(sanitized: DataFrame, keep: Sequence[str] = ("path",)) -> DataFrame:
     """Per modified file: change count and counts per label. A row is a file, so nothing is shuffled."""
     return (
-        _with_name(sanitized)
+        with_name(sanitized)
         .filter(F.col("modified") & (F.col("change_count") > 0))
         .select(*keep, "filename", F.col("change_count").alias("changes"), file_secrets(F.col("findings")).alias("secrets"))
     )

@@ -302,7 +302,7 @@ select path, service, block, cast(line_no as bigint) as line_no, regexp_extract(
 # Results and reports
 SQL["secrets_by_type"] = f"""with {run_sql()} select label, cast(sum(n) as bigint) as total_count, count(distinct filename) as affected_files from found group by label"""
 SQL["findings_stream"] = SQL["secrets_by_type"]
-_absent = "select '/configs/absent/R-' || cast(c_custkey as string) || '.conf' as path from customer where c_custkey % 10 = 0"
+_absent = "select '/configs/absent/R-' || cast(c_custkey as string) || '.conf' as path from customer"
 _suffix = "regexp_extract(path, '^.+(\\.[^.]+)$', 1)"
 _name = "split_part(path, '/', -1)"
 _stem = f"left({_name}, length({_name}) - length({_suffix}))"
@@ -312,10 +312,10 @@ select path as file, modified, m, cast(len(m) as bigint) as change_count, cast(n
 union all select path, false, [], 0, 'File not found: ' || path, null from ({_absent}))"""
 SQL["results"] = f"with {_results} select file, modified, coalesce(array_to_string(m, '; '), '') as changes, change_count, error, backup from results"
 SQL["results_csv"] = f"""with {_results} select split_part(file, '/', -1) as "File", case when modified then 'Yes' else 'No' end as "Modified",
-change_count as "Changes", coalesce(error, '') as "Error", coalesce(backup, '') as "Backup", '0.000' as "Duration" from results"""
+change_count as "Changes", coalesce(error, '') as "Error", coalesce(backup, '') as "Backup", '' as "Duration" from results"""
 SQL["results_json"] = f"""with {_results} select file, '{{"file":"' || file || '","modified":' || case when modified then 'true' else 'false' end ||
 ',"changes":[' || coalesce(array_to_string(list_transform(m, lambda x: '"' || x || '"'), ','), '') || '],"change_count":' || cast(change_count as varchar) ||
-',"error":' || coalesce('"' || error || '"', 'null') || ',"backup":' || coalesce('"' || backup || '"', 'null') || ',"duration":0.0}}' as json from results"""
+',"error":' || coalesce('"' || error || '"', 'null') || ',"backup":' || coalesce('"' || backup || '"', 'null') || ',"duration":null}}' as json from results"""
 SQL["run_stats"] = f"""with {_results} select count(*) as files_processed, count(*) filter (modified) as files_modified,
 cast(sum(change_count) as bigint) as total_changes, count(*) filter (error is not null) as errors from results"""
 SQL["top_changed"] = f"with {run_sql()} select path as file, cast(len(m) as bigint) as change_count from run where modified order by len(m) desc, path limit 5"
@@ -424,7 +424,7 @@ SQL["refused_archives"] = f"""select filename || case when ends_with(filename, '
 case when ends_with(filename, '.CFG') then 'Extraction not supported for 7zip' when ends_with(filename, '.txt') then 'Failed to extract archive'
 else 'Unsupported archive format' end as error from ({CONFIGS})"""
 SQL["archive_errors"] = f"""select path || '.rar' as archive, filename || '.rar: Extraction not supported for rar' as error
-from ({CONFIGS}) where ends_with(filename, '.CFG')"""
+from ({CONFIGS})"""
 SQL["expand_compressed_files"] = f"""with cut as (select unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) as line from ({CONFIGS})),
 counted as (select line, count(*) as n from cut group by line)
 select codec, line, n from counted cross join (select unnest(['gzip', 'bzip2']) as codec)"""
@@ -436,7 +436,7 @@ round(sum(length(content)) / 1048576.0, 2) as size_mb, false as encrypted from (
 SQL["sanitize_archives"] = f"""with done as ({rewritten(CONFIGS, BUILTIN, "filename", keep=", archive").replace("select filename, c as", "select filename, archive, content, c as").replace("select filename, sanitized", "select filename, archive, content, sanitized")})
 select archive || '.tar.gz' as archive, 'data/' || filename as member, case when {_is_config("filename")} then sanitized else content end as content from done"""
 SQL["archive_result"] = f"""with {run_sql()} select archive, count(*) as extracted_files, count(*) filter (modified) as sanitized_files, cast(0 as bigint) as errors from run group by archive"""
-SQL["name_clashes"] = f"select archive, filename as name, cast(2 as bigint) as members from ({CONFIGS}) where ends_with(filename, '.conf')"
+SQL["name_clashes"] = f"select archive, filename as name, cast(2 as bigint) as members from ({CONFIGS})"
 SQL["member_preview"] = f"""select archive, member, position from (select archive, member, row_number() over (partition by archive order by member) as position
 from ({CONFIGS})) where position <= 10"""
 SQL["scan_written_files"] = f"select filename, content from ({CONFIGS})"
@@ -463,14 +463,15 @@ SQL["list_backups_of_file"] = f"select * from ({_backups}) where original_path =
 _taken = "strptime(timestamp, '%Y%m%d_%H%M%S')"
 _cut = f"timestamp '{q.NOW:%Y-%m-%d %H:%M:%S}' - interval {q.RETENTION_DAYS} day"
 SQL["retained_backups"] = f"select backup_path, timestamp from ({_backups}) where {_taken} >= {_cut}"
+SQL["cleanup_backups"] = SQL["retained_backups"]
 SQL["expired_backups"] = f"select backup_path, timestamp from ({_backups}) where {_taken} < {_cut}"
 SQL["backup_stats"] = f"""select count(*) as total_backups, cast(sum(size) as bigint) as total_size, round(sum(size) / 1048576.0, 2) as total_size_mb,
 min(timestamp) as oldest_backup, max(timestamp) as newest_backup from ({_backups})"""
 
 # Hashes, logs
 _snmp = packs.LIBRARY.subset(["snmp_community"]).rules[0]
-SQL["token_hash"] = f"""select distinct value, upper(substr(md5('snmp_' || value), 1, 12)) as token
-from ({detected(CONFIGS, "path", [_snmp], shown=None)})"""
+SQL["token_hash"] = f"""select value, upper(substr(md5('snmp_' || cast(row_number() over (order by value) as varchar)), 1, 12)) as token
+from (select distinct value from ({detected(CONFIGS, "path", [_snmp], shown=None)}))"""
 SQL["content_hash"] = f"select id, md5(content) as digest, substr(md5(content), 1, 8) as short from ({fx.RAW_SQL['documents']})"
 _words = "|".join(SENSITIVE_WORDS)
 SQL["redact_logs"] = f"""with logs as (select event_id, {fx.LOG_MESSAGE} as message from events)

@@ -20,6 +20,7 @@ from cfgveil.operators import backups as bak
 from cfgveil.operators import detect as det
 from cfgveil.operators import report as rep
 from cfgveil.operators import sanitize as san
+from cfgveil.operators.ranking import numbered
 from cfgveil.plans import fixtures as fx
 from cfgveil.rules import Rule, custom_rules
 from cfgveil.session import materialized, new_dir
@@ -309,9 +310,9 @@ def _run(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every configured path, plus an invented one for every tenth customer."""
+    """Every configured path, plus an invented one for every customer."""
     names = fx.configs(spark, sf_dir, "path")
-    invented = fx.table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(
+    invented = fx.table(spark, sf_dir, "customer").select(
         F.concat(F.lit("/configs/absent/R-"), F.col("c_custkey").cast("string"), F.lit(".conf")).alias("path")
     )
     return names.unionByName(invented)
@@ -521,7 +522,7 @@ def refused_archives(spark, sf_dir):
 @query
 def archive_errors(spark, sf_dir):
     """Error messages of archives that could not be opened, by base name."""
-    bad = fx.configs(spark, sf_dir, "path", "content").filter(F.endswith("path", F.lit(".CFG")))
+    bad = fx.configs(spark, sf_dir, "path", "content")
     rows = bad.select(F.concat("path", F.lit(".rar")).alias("path"), F.encode("content", "UTF-8").alias("content"))
     return arc.archive_errors(arc.expand_archives(rows))
 
@@ -569,7 +570,7 @@ def archive_result(spark, sf_dir):
 def name_clashes(spark, sf_dir):
     """Members of two folders with the same base names."""
     rows = _members(spark, sf_dir).select("archive", "member")
-    twice = rows.unionByName(rows.withColumn("member", F.concat(F.lit("old/"), "member")).filter(F.endswith("member", F.lit(".conf"))))
+    twice = rows.unionByName(rows.withColumn("member", F.concat(F.lit("old/"), "member")))
     return arc.name_clashes(twice)
 
 
@@ -660,6 +661,17 @@ def expired_backups(spark, sf_dir):
     return bak.expired(fx.backups(spark, sf_dir), NOW, RETENTION_DAYS).select("backup_path", "timestamp")
 
 
+@query
+def cleanup_backups(spark, sf_dir):
+    """Every snapshot written to a table by day, the expired ones removed, the table read again."""
+    table = new_dir(spark, "backups")
+    day = F.date_format(F.to_timestamp("timestamp", "yyyyMMdd_HHmmss"), "yyyy-MM-dd")
+    rows = fx.backups(spark, sf_dir).withColumn("backup_date", day)
+    rows.repartition("backup_date").write.partitionBy("backup_date").parquet(table)
+    bak.drop_expired(spark, table, NOW, RETENTION_DAYS)
+    return bak.read_catalog(spark, table).select("backup_path", "timestamp")
+
+
 @query
 def backup_stats(spark, sf_dir):
     return bak.backup_stats(fx.backups(spark, sf_dir))
@@ -670,10 +682,10 @@ def backup_stats(spark, sf_dir):
 
 @query
 def token_hash(spark, sf_dir):
-    """A pseudonym per distinct community string of the corpus, numbered in value order."""
+    """A pseudonym per distinct community string of the corpus, from its number in value order."""
     found = det.detect_secrets(fx.configs(spark, sf_dir), ["path"], packs.LIBRARY.subset(["snmp_community"]), shown=None)
-    values = found.select("value").distinct()
-    return values.select("value", tx.token_hash(F.lit("snmp"), F.col("value")).alias("token"))
+    values = numbered(found.select("value").distinct(), [], [F.col("value")])
+    return values.select("value", tx.token_hash(F.lit("snmp"), F.col("idx")).alias("token"))
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cfgveil.functions.logs import redact_log
 from cfgveil.functions.text import decode_text, file_name
-from cfgveil.operators.report import file_secrets
+from cfgveil.operators.report import file_secrets, with_name
 from cfgveil.operators.sanitize import sanitize
 from cfgveil.sources.files import FILE_PATTERNS, glob_variants
 
@@ -35,13 +35,8 @@ def redact_log_stream(logs: DataFrame, *, message: str = "message") -> DataFrame
 
 
 def findings_rollup(sanitized: DataFrame) -> DataFrame:
-    """Running total and number of files per label; the state is one row per label.
-
-    A file arrives once, and its findings are summed per label before they are counted,
-    so counting rows counts files.
-    """
-    per_file = sanitized.select(F.inline(file_secrets(F.col("findings"))))
-    return per_file.groupBy("label").agg(F.sum("n").alias("total_count"), F.count(F.lit(1)).alias("affected_files"))
+    """(filename, label, n): what each arriving file adds to the totals; no state is held."""
+    return with_name(sanitized).select("filename", F.inline(file_secrets(F.col("findings"))))
 
 
 def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -57,23 +52,25 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def run_rollup(totals: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process what has arrived; every batch replaces the small roll-up table of its epoch.
+def run_rollup(added: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Process what has arrived; returns total and number of distinct file names per label, as `secrets_by_type`.
 
-    Batches are written under their epoch, so a repeated batch overwrites only itself.
+    Each batch is summed per label and file name and written under its epoch, so a repeated
+    batch overwrites only itself; the totals are taken over all epochs, where equal names of
+    different folders or batches count once. Nothing arrived: no rows.
     """
+    spark = added.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        batch.groupBy("label", "filename").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
+    write(spark.createDataFrame([], added.schema), -1)
     query = (
-        totals.writeStream.outputMode("complete")
-        .foreachBatch(write)
+        added.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    epochs = totals.sparkSession.read.parquet(out)
-    last = epochs.agg(F.max("epoch")).first()[0]
-    return epochs.filter(F.col("epoch") == last).drop("epoch")
+    epochs = spark.read.schema("label string, filename string, n bigint").parquet(out)
+    return epochs.groupBy("label").agg(F.sum("n").alias("total_count"), F.countDistinct("filename").alias("affected_files"))

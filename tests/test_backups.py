@@ -69,3 +69,23 @@ def test_root_restores_everything(spark):
     )
     rows = bak.restore_directory(spark.createDataFrame([("/",), ("/srv",)], "directory string"), catalog).collect()
     assert sorted((r.directory, r.backup_path) for r in rows) == [("/", "/b/2"), ("/", "/b/3"), ("/srv", "/b/3")]
+
+
+def test_drop_expired_removes_days_and_rewrites_the_boundary(spark, tmp_path):
+    table = str(tmp_path / "backups")
+    df = spark.createDataFrame([("/c/r1.txt", "abc"), ("/c/r2.txt", "")], "path string, content string")
+    taken = [datetime(2024, 1, 1), datetime(2024, 1, 16, 11), datetime(2024, 1, 16, 12), datetime(2024, 1, 31, 12)]
+    for when in taken:
+        bak.append_backup(df, table, "/bk", when)
+    now = taken[-1]
+    assert bak.drop_expired(spark, table, now, 0) == []
+    wanted = sorted(map(tuple, bak.retained(bak.read_catalog(spark, table), now, 15).select("backup_path", "original_path", "content").collect()))
+    assert len(wanted) == 4
+    assert bak.drop_expired(spark, table, now, 15) == ["2024-01-01", "2024-01-16"]
+    assert sorted(map(tuple, bak.read_catalog(spark, table).select("backup_path", "original_path", "content").collect())) == wanted
+    assert bak.drop_expired(spark, table, now, 15) == []
+    # A call that died between its two renames is finished by the next one.
+    (tmp_path / "backups" / "backup_date=2024-01-16").rename(tmp_path / "backups" / "_kept-2024-01-16")
+    (tmp_path / "backups" / "_old-2024-01-16").mkdir()
+    assert bak.drop_expired(spark, table, now, 15) == []
+    assert sorted(map(tuple, bak.read_catalog(spark, table).select("backup_path", "original_path", "content").collect())) == wanted

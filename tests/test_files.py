@@ -192,7 +192,7 @@ def test_sinks(spark, folder, tmp_path):
     back = spark.read.json(str(tmp_path / "j"))
     assert {"file", "modified", "changes", "change_count", "error", "backup", "duration"} <= set(back.columns)
     csv = {r.File: r for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()}
-    assert (csv["a.txt"].Modified, csv["a.txt"].Changes, csv["a.txt"].Duration) == ("Yes", "1", "0.000")
+    assert (csv["a.txt"].Modified, csv["a.txt"].Changes, csv["a.txt"].Duration) == ("Yes", "1", None)
     sinks.write_sanitized(done, str(tmp_path / "t"), fmt="text", partition_by=["filename"], only_modified=True)
     assert sorted(r.filename for r in spark.read.text(str(tmp_path / "t")).select("filename").distinct().collect()) == ["a.txt", "f.config"]
 
@@ -224,10 +224,17 @@ def test_rollup_stream_keeps_running_totals(spark, tmp_path):
         return {r.label: (r.total_count, r.affected_files) for r in
                 st.run_rollup(st.findings_rollup(st.sanitize_stream(st.config_stream(spark, str(source)))), out, check).collect()}
 
+    assert run() == {}
     (source / "a.txt").write_text("enable secret 5 A\nenable secret 5 B\ntacacs-server key K\ntacacs server T\n key 7 Z\n")
     assert run() == {"Enable secrets": (2, 1), "TACACS keys": (2, 1)}
     (source / "b.txt").write_text("enable secret 5 A\n")
     assert run() == {"Enable secrets": (3, 2), "TACACS keys": (2, 1)}
+    for folder in ("x", "y"):  # equal base names count once, in one batch and across batches
+        (source / folder).mkdir()
+        (source / folder / "r.conf").write_text("enable secret 5 A\n")
+    assert run() == {"Enable secrets": (5, 3), "TACACS keys": (2, 1)}
+    (source / "x" / "a.txt").write_text("enable secret 5 A\n")
+    assert run() == {"Enable secrets": (6, 3), "TACACS keys": (2, 1)}
 
 
 def test_log_redaction(spark):
