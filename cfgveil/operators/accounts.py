@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +15,8 @@ from cfgveil.session import join_lookup
 ACCOUNT_SCHEMA = "username string, kind string, ordinal int"
 ALIAS_PREFIX = "netadmin"
 
-# Above this many personal accounts the list is not unrolled into each row's expression:
-# the names a text holds are found by an equi-join (`occurring_accounts`) instead.
+# Up to this many names are unrolled into expressions in generated code; longer lists are
+# one array literal (`sanitize`) or a table that is joined (`rename_accounts`), with equal rows.
 INLINE_ACCOUNTS = 512
 TOKEN_WINDOW = 256
 
@@ -36,6 +37,8 @@ def merge_accounts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _names(values: Sequence[str]) -> Column:
+    if len(values) > INLINE_ACCOUNTS:
+        return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
@@ -110,7 +113,9 @@ def occurrences(text: Column, name: Column) -> Column:
 
 
 def contained(text: Column, personal: Sequence[str]) -> Column:
-    """The personal names a text holds, in declared order (unrolled; for short lists)."""
+    """The personal names a text holds, in declared order."""
+    if len(personal) > INLINE_ACCOUNTS:
+        return F.filter(_names(personal), lambda u: F.contains(text, u))
     return F.array_compact(
         F.array(*[F.when(F.contains(text, F.lit(u)), F.lit(u)) for u in personal])
     )

@@ -41,6 +41,8 @@ def sanitize(
 
     `custom` is a pack (its accounts apply unless `personal` / `service` are given) or a
     list of rules, run after the built-in ones. Rows where `when` is false pass unchanged.
+    Account lists of any length give rows by the same rules; each text is searched for every
+    name, so tables of many thousand names are better joined (`accounts.rename_accounts`).
     Result columns: sanitized, modified, changes (messages, empty unless modified),
     change_count and findings (one struct per rule that matched, empty unless modified).
     The input's own columns, the original text included, are kept.
@@ -50,11 +52,6 @@ def sanitize(
         personal = custom.personal_accounts if personal is None else personal
         service = custom.service_accounts if service is None else service
     personal, service = tuple(dict.fromkeys(personal or ())), tuple(service or ())
-    if len(personal) > acc.INLINE_ACCOUNTS:
-        raise ValueError(
-            f"{len(personal)} personal accounts: sanitize without them and pass the result "
-            "to rename_accounts with an account table and user_lines=True"
-        )
 
     chain = start_chain(df, content, [*builtin.rules, *custom_rules], when)
     user_rule = _user_lines(builtin)

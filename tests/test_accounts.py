@@ -89,11 +89,6 @@ def test_service_accounts_keep_their_line_but_not_the_rest(texts):
     assert row.sanitized == "username netadmin1 secret 5 <removed-user-secret>\n"
 
 
-def test_too_many_inline_accounts_are_refused(texts):
-    with pytest.raises(ValueError, match="rename_accounts"):
-        san.sanitize(texts(["x"]), personal=[f"u{i}" for i in range(513)])
-
-
 def test_server_blocks(texts):
     text = "tacacs server A\n address x\n   key 7 K1\n key 7 K2\n!\n key 7 K3\nradius server B\n key 0 R\nTACACS server C\n timeout\nend\n"
     rows = acc.server_block_keys(texts([text]), "tacacs").collect()
@@ -113,3 +108,24 @@ def test_renaming_after_sanitizing_is_the_same(texts, spark, monkeypatch, inline
     done = san.sanitize(df).select("path", "sanitized")
     named = acc.rename_accounts(done, acc.accounts_frame(spark, names, service), content="sanitized", user_lines=True)
     assert collected(named) == want
+
+
+def test_long_account_lists_give_the_same_rows(spark, monkeypatch):
+    from cfgveil.operators.sanitize import sanitize
+
+    names = [f"user{i:04d}x" for i in range(700)] + ["admin", 'q"uo\\te', "bob"]
+    texts = [
+        "username bob secret 5 X\n! bob and user0699x\n", "username user0003x password 7 0011\nuser0600x admin user0003x\n", 'a q"uo\\te b\n', "", None,
+        "username admin secret 5 Y\n",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "path int, content string")
+
+    def run(limit):
+        monkeypatch.setattr(acc, "INLINE_ACCOUNTS", limit)
+        done = sanitize(df, personal=names[-40:], service=["admin"])
+        return sorted(map(tuple, done.select("path", "sanitized", "changes", "change_count").collect()))
+
+    assert run(512) == run(3)
+    monkeypatch.setattr(acc, "INLINE_ACCOUNTS", 512)
+    many = {r.path: r.sanitized for r in sanitize(df, personal=names, service=["admin"]).collect()}
+    assert "bob" not in many[0] and "user0699x" not in many[0] and "user0600x" not in many[1] and 'q"uo' not in many[2] and many[3] == "" and many[4] is None
