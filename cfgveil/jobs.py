@@ -69,11 +69,9 @@ def _selected(member: Column, patterns: Sequence[str] | None) -> Column:
     """Which members are rewritten: by the configuration-file test, or by file patterns."""
     if patterns is None:
         return arc.is_config_file(member)
-    globs = src.glob_variants(patterns).strip("{}").split(",")
-    likes = [g.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_") for g in globs]
     chosen = F.lit(False)
-    for like in likes:
-        chosen = chosen | file_name(member).like(like)
+    for glob in src.variants(patterns):
+        chosen = chosen | file_name(member).rlike(r"(?s)\A" + src.glob_regex(glob) + r"\z")
     return chosen
 
 

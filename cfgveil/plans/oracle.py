@@ -301,6 +301,7 @@ select path, service, block, cast(line_no as bigint) as line_no, regexp_extract(
 
 # Results and reports
 SQL["secrets_by_type"] = f"""with {run_sql()} select label, cast(sum(n) as bigint) as total_count, count(distinct filename) as affected_files from found group by label"""
+SQL["sanitize_dropped_files"] = f"select split_part(path, '/', -1) as filename, sanitized, modified, change_count from ({rewritten(CONFIGS, BUILTIN)})"
 SQL["findings_stream"] = SQL["secrets_by_type"]
 _absent = "select '/configs/absent/R-' || cast(c_custkey as string) || '.conf' as path from customer"
 _suffix = "regexp_extract(path, '^.+(\\.[^.]+)$', 1)"
@@ -456,8 +457,8 @@ SQL["asof_backup"] = _latest.format(f"select * from ({_backups}) where starts_wi
 SQL["restore_files"] = f"""with latest as ({_latest.format(_backups)}),
 wanted as (select '/configs/click/R-' || cast(c_custkey as string) || '.conf' as path from customer)
 select path, backup_path, timestamp, backup_path is not null as restored from wanted left join latest on original_path = path"""
-SQL["restore_directory"] = f"""with latest as ({_latest.format(_backups)}), folders as (select distinct '/configs/' || event_type as directory from events)
-select directory, original_path, backup_path, timestamp from latest join folders on starts_with(original_path, directory || '/')"""
+SQL["restore_directory"] = f"""with latest as ({_latest.format(_backups)}), folders as (select distinct '/configs/' || event_type as directory from events union select '/' from events)
+select directory, original_path, backup_path, timestamp from latest join folders on starts_with(original_path, rtrim(directory, '/') || '/')"""
 SQL["list_backups"] = f"select * from ({_backups}) order by timestamp desc, backup_path"
 SQL["list_backups_of_file"] = f"select * from ({_backups}) where original_path = '/configs/click/R-7.conf' order by timestamp desc, backup_path"
 _taken = "strptime(timestamp, '%Y%m%d_%H%M%S')"

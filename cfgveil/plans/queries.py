@@ -638,6 +638,7 @@ def restore_files(spark, sf_dir):
 @query
 def restore_directory(spark, sf_dir):
     folders = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("/configs/"), "event_type", F.lit("/")).alias("directory")).distinct()
+    folders = folders.unionByName(folders.select(F.lit("/").alias("directory")))
     return bak.restore_directory(folders, fx.backups(spark, sf_dir))
 
 
@@ -711,6 +712,17 @@ def sanitize_stream(spark, sf_dir):
     return _rewritten(st.run_to_table(done, new_dir(spark, "stream"), new_dir(spark, "checkpoint")))
 
 
+@query
+def sanitize_dropped_files(spark, sf_dir):
+    """Every configuration dropped into a folder as a file of its own, taken up by the folder's stream and sanitized."""
+    folder = new_dir(spark, "drop")
+    rows = fx.configs(spark, sf_dir, "archive", "filename", "content")
+    rows.select("archive", "filename", F.regexp_replace("content", "\n\\z", "").alias("value")).write.partitionBy("archive", "filename").text(folder)
+    done = st.sanitize_stream(st.config_stream(spark, folder)).select("path", "sanitized", "modified", "change_count")
+    table = st.run_to_table(done, new_dir(spark, "stream"), new_dir(spark, "checkpoint"))
+    return table.select(F.regexp_extract("path", "filename=([^/]+)/", 1).alias("filename"), "sanitized", "modified", _long("change_count"))
+
+
 @query
 def findings_stream(spark, sf_dir):
     totals = st.findings_rollup(st.sanitize_stream(fx.config_stream_source(spark, sf_dir)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,45 @@ from cfgveil.operators.archives import ARCHIVE_SUFFIXES
 FILE_PATTERNS = ("*.txt", "*.conf", "*.config", "*.cfg")
 
 
-def glob_variants(patterns: Sequence[str]) -> str:
-    """One brace glob of the patterns; `*.ext` also in upper, lower and title case."""
+def variants(patterns: Sequence[str]) -> list[str]:
+    """The patterns; `*.ext` also in upper, lower and title case."""
     wanted: list[str] = []
     for pattern in patterns:
         wanted.append(pattern)
         if pattern.startswith("*."):
             extension = pattern[2:]
             wanted += [f"*.{v}" for v in (extension.upper(), extension.lower(), extension.title())]
-    return "{" + ",".join(dict.fromkeys(wanted)) + "}"
+    return list(dict.fromkeys(wanted))
+
+
+def glob_variants(patterns: Sequence[str]) -> str:
+    """One brace glob of the patterns and their variants."""
+    return "{" + ",".join(variants(patterns)) + "}"
+
+
+def glob_regex(glob: str) -> str:
+    """A glob as a Java pattern, read as the scans read it: `*`, `?`, `[..]`, `[^..]`, `{a,b}`, backslash escapes."""
+    out, depth, at = "", 0, 0
+    while at < len(glob):
+        c = glob[at]
+        close = glob.find("]", at + 2) if c == "[" else -1
+        if c == "\\" and at + 1 < len(glob):
+            at += 1
+            out += re.escape(glob[at])
+        elif close > 0:
+            body = glob[at + 1 : close]
+            inside = body[1:] if body[0] in "^!" else body
+            out += ("[^" if inside != body else "[") + re.sub(r"([\[\]\\&^])", r"\\\1", inside) + "]"
+            at = close
+        elif c in "*?":
+            out += ".*" if c == "*" else "."
+        elif c == "{" or c == "}" and depth:
+            depth += 1 if c == "{" else -1
+            out += "(?:" if c == "{" else ")"
+        else:
+            out += "|" if c == "," and depth else re.escape(c)
+        at += 1
+    return out
 
 
 def _binary(spark: SparkSession, root: str, patterns: Sequence[str], recursive: bool) -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 import io
 import json
+import re
 import zipfile
 from datetime import datetime
 
@@ -249,3 +250,15 @@ def test_log_redaction(spark):
 
     df = spark.createDataFrame([(c,) for c in cases], "m string")
     assert [r[0] for r in df.select(redact_log(F.col("m"))).collect()] == [plain(c) for c in cases]
+
+
+def test_globs_select_as_the_scan_does(spark, tmp_path):
+    names = ["a.txt", "b.TXT", "c1.cfg", "c2.cfg", "cx.cfg", "d,e.log", "f+g.log", "h_i.log", "hxi.log", "plain"]
+    for name in names:
+        (tmp_path / name).write_text("x")
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for glob in ("*.txt", "c[12].cfg", "c[^12].cfg", "c[1-9].cfg", "{a,plain}*", "f+g.*", "h_i.lo?", "*.{log,cfg}"):
+        chosen = sorted(r.name for r in df.collect() if any(re.fullmatch(src.glob_regex(g), r.name, re.S) for g in src.variants([glob])))
+        assert chosen == sorted(r.filename for r in src.list_files(spark, str(tmp_path), [glob]).collect()), glob
+        native = df.where(jobs._selected(F.col("name"), [glob]))
+        assert sorted(r.name for r in native.collect()) == chosen
