@@ -32,17 +32,18 @@ def build_session(app: str = "cfgveil", master: str | None = None, **settings: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`.
+    """The folder every executor can reach: `spark.checkpoint.dir`, or what `setCheckpointDir` was given.
 
-    Only where the session names none (tests on one machine) a new temporary folder is
-    made and remembered in the session.
+    Only where neither names one and all runs on one machine (a local master) a new
+    temporary folder is made and remembered in the session; a cluster raises.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cfgveil.scratch.dir", None) or context.getCheckpointDir()
     if not named:
-        named = spark.conf.get("cfgveil.scratch.dir", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="cfgveil-")
-            spark.conf.set("cfgveil.scratch.dir", named)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="cfgveil-")
+        spark.conf.set("cfgveil.scratch.dir", named)
     return named.rstrip("/")
 
 

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from cfgveil import BUILTIN
 from cfgveil.operators import accounts as acc
 from cfgveil.operators import archives as arc
@@ -55,3 +57,20 @@ def test_previews_are_limited_before_the_shuffle(spark):
 def test_distinct_files_are_counted_in_two_steps(spark):
     text = plan(rep.secrets_by_type(san.sanitize(fx.configs(spark, SF))))
     assert re.search(r"hashpartitioning\(label#\d+, filename#\d+", text)
+
+
+def test_shared_folder_is_named_or_refused():
+    from types import SimpleNamespace
+
+    from cfgveil.session import shared_dir
+
+    def session(master, conf, checkpoints=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoints)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: conf.get(k, d), set=conf.__setitem__))
+
+    assert shared_dir(session("yarn", {"spark.checkpoint.dir": "hdfs:///a/"}, "hdfs:///b")) == "hdfs:///a"
+    assert shared_dir(session("yarn", {}, "hdfs:///b/")) == "hdfs:///b"
+    conf = {}
+    assert shared_dir(session("local[2]", conf)) == shared_dir(session("local[2]", conf)) == conf["cfgveil.scratch.dir"]
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077", {}))
