@@ -112,48 +112,38 @@ def _signed(df: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
-    """(node, set_a, body): half of the set's hash, the sorted shingle hashes as bytes."""
+    """(node, set_a, body): half of the set's hash, the sorted shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for table in pieces(batches, 1 << 20):
             sets, _, _ = text_sets(table["text"], size, powers)
-            bodies = [s.tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([table["id"].combine_chunks(), pa.array(_digests(bodies)[:, 0]), pa.array(bodies, pa.binary())], ["node", "set_a", "body"])
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            body = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, U), *sets]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([table["id"].combine_chunks(), pa.array(_digests([s.tobytes() for s in sets])[:, 0]), body], ["node", "set_a", "body"])
 
-    return df.mapInArrow(run, "node long, set_a long, body binary")
+    return df.mapInArrow(run, "node long, set_a long, body array<long>")
 
 
 def _alone(sets: DataFrame) -> DataFrame:
     """(node, set_a, alone): how many shingles of a set no other of `sets` has; none: no row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                values = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("body")]
-                each = np.array([len(v) for v in values])
-                columns = [np.repeat(part.column(c).to_numpy(), each) for c in ("node", "set_a")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.concatenate(values))], ["node", "set_a", "h"])
-
-    single = sets.mapInArrow(run, "node long, set_a long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "set_a")).alias("owner"))
-    return single.where("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("alone")).select("owner.*", "alone")
+    each = sets.select("node", "set_a", F.explode("body").alias("h"))
+    # Where the count is one, the least value is the only one.
+    single = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("set_a").alias("set_a"))
+    return single.where("n = 1").groupBy("node", "set_a").agg(F.count(F.lit(1)).alias("alone"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """The pairs (a, b) whose full sets meet the similarity.
 
+    Sets are compared row by row inside the join: whole sets of thousands of pairs are never
+    gathered in one Arrow batch.
+    """
     left = pairs.join(sets.select("node", F.col("body").alias("left")), F.col("a") == F.col("node")).drop("node")
-    return left.join(sets.select("node", F.col("body").alias("right")), F.col("b") == F.col("node")).drop("node").mapInArrow(run, "a long, b long").distinct()
+    whole = left.join(sets.select("node", F.col("body").alias("right")), F.col("b") == F.col("node")).drop("node")
+    both = F.size(F.array_intersect("left", "right")).cast("long")
+    # both / (sizes - both) >= percent / 100, with `both` named once.
+    return whole.where((100 + percent) * both >= percent * (F.size("left") + F.size("right")).cast("long")).select("a", "b").distinct()
 
 
 def _shared_buckets(members: DataFrame) -> DataFrame:
