@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, deque
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,92 +22,112 @@ TOP = 3  # a feature counts up to this
 
 
 class LexiconAutomaton:
-    """The trie of a lexicon intersected with Levenshtein automata, as one table.
-
-    A state is the set of (trie node, edits) pairs that a prefix can be at; sets are explored
-    from the start until no new one appears. `accept` is 0 for no term, 1 for an exact term,
-    2 for one edit away (a letter put in, left out, exchanged, or two neighbours swapped).
-    Terms shorter than `fuzzy_from` letters must match exactly.
+    """The trie of a lexicon intersected with Levenshtein automata, explored as words ask for it.
+
+    A state is the set of (trie node, edits, swapped letter) triples that a prefix can be at;
+    a trie node is a range of the sorted terms. Only nodes, states and steps that words have
+    reached are held, and forgotten between two calls once there are more than `keep` steps:
+    a lexicon of any size needs its terms and what the texts touch. `accept` is 0 for no term,
+    1 for an exact term, 2 for one edit away (a letter put in, left out, exchanged, or two
+    neighbours swapped). Terms shorter than `fuzzy_from` letters must match exactly.
     """
 
-    def __init__(self, terms: list[str], fuzzy_from: int = 5) -> None:
-        self.letters = {c: i + 1 for i, c in enumerate(sorted({c for t in terms for c in t}))}
-        children: list[dict[int, int]] = [{}]
-        depth_left, ends = [0], {}
-        for term in terms:
-            node, fuzzy = 0, len(term) >= fuzzy_from
-            for c in term:
-                node = children[node].setdefault(self.letters[c], len(children))
-                if node == len(children):
-                    children.append({})
-                    depth_left.append(0)
-                depth_left[node] |= fuzzy  # a term that may be misspelled runs through here
-            ends[node] = fuzzy
-        depth_left[0] = any(ends.values())
-        n = len(self.letters) + 1  # 0: any other letter
-
-        def closed(pairs: set[tuple]) -> frozenset:
-            out = set(pairs)
-            for node, edits, swap in pairs:
-                if not edits and not swap:  # leave a letter out
-                    out |= {(child, 1, 0) for child in children[node].values() if depth_left[child]}
-            return frozenset(out)
-
-        def after(state: frozenset, letter: int) -> frozenset:
-            out = set()
-            for node, edits, swap in state:
-                if swap:  # the first of two swapped letters was read: now the other one
-                    if letter == swap:
-                        out.add((node, 1, 0))
-                    continue
-                if letter in children[node]:
-                    out.add((children[node][letter], edits, 0))
-                if not edits and depth_left[node]:
-                    out.add((node, 1, 0))  # put in
-                    for own, child in children[node].items():
-                        if depth_left[child]:
-                            if own != letter:
-                                out.add((child, 1, 0))  # exchanged
-                            if letter in children[child] and letter != own:
-                                out.add((children[child][letter], 1, own))  # swapped, half way
-            return closed(out)
-
-        begin = closed({(0, 0, 0)})
-        index, table, queue = {frozenset(): 0, begin: 1}, [[0] * n], deque([begin])
-        while queue:
-            state = queue.popleft()
-            row = []
-            for letter in range(n):
-                to = after(state, letter)
-                if to not in index:
-                    index[to] = len(index)
-                    queue.append(to)
-                row.append(index[to])
-            table.append(row)
-        self.table = np.array(table, np.int32)
-        self.accept = np.zeros(len(index), np.int8)
-        for state, k in index.items():
-            exact = any(not e and not s and node in ends for node, e, s in state)
-            near = any(e and not s and ends.get(node) for node, e, s in state)
-            self.accept[k] = 1 if exact else 2 if near else 0
+    def __init__(self, terms: list[str], fuzzy_from: int = 5, keep: int = 1 << 18) -> None:
+        self.terms, self.keep = sorted(set(terms)), keep
+        self.letters = {c: i + 1 for i, c in enumerate(sorted({c for t in terms for c in t}))}  # 0: any other letter
+        self.long = [0, *accumulate(len(t) >= fuzzy_from for t in self.terms)]  # how many before may be misspelled
         self.classes = np.zeros(0x3000, np.int32)
         for c, i in self.letters.items():
             if ord(c) < 0x3000:
                 self.classes[ord(c)] = i
+        self.forget()
+
+    def forget(self) -> None:
+        self.nodes, self.below = [(0, len(self.terms), 0)], {}  # (first term, end, depth), children by letter
+        self.index, self.sets, self.accept, self.steps = {}, [], [], {}
+        self.state(frozenset())
+        self.state(self.closed({(0, 0, 0)}))
+
+    def children(self, node: int) -> dict[int, int]:
+        if node not in self.below:
+            at, end, depth = self.nodes[node]
+            at += len(self.terms[at]) == depth  # the term that ends here is the first
+            out = {}
+            while at < end:
+                c = self.terms[at][depth]
+                to = bisect_right(self.terms, c, at, end, key=lambda t: t[depth])
+                out[self.letters[c]] = len(self.nodes)
+                self.nodes.append((at, to, depth + 1))
+                at = to
+            self.below[node] = out
+        return self.below[node]
+
+    def fuzzy(self, node: int) -> bool:
+        """Does a term that may be misspelled run through here?"""
+        first, end, _ = self.nodes[node]
+        return self.long[end] > self.long[first]
+
+    def closed(self, triples: set[tuple]) -> frozenset:
+        out = set(triples)
+        for node, edits, swap in triples:
+            if not edits and not swap:  # leave a letter out
+                out |= {(child, 1, 0) for child in self.children(node).values() if self.fuzzy(child)}
+        return frozenset(out)
+
+    def after(self, state: frozenset, letter: int) -> frozenset:
+        out = set()
+        for node, edits, swap in state:
+            if swap:  # the first of two swapped letters was read: now the other one
+                if letter == swap:
+                    out.add((node, 1, 0))
+                continue
+            if letter in self.children(node):
+                out.add((self.children(node)[letter], edits, 0))
+            if not edits and self.fuzzy(node):
+                out.add((node, 1, 0))  # put in
+                for own, child in self.children(node).items():
+                    if own != letter and self.fuzzy(child):
+                        out.add((child, 1, 0))  # exchanged
+                        if letter in self.children(child):
+                            out.add((self.children(child)[letter], 1, own))  # swapped, half way
+        return self.closed(out)
+
+    def state(self, triples: frozenset) -> int:
+        if triples not in self.index:
+            self.index[triples] = len(self.sets)
+            self.sets.append(triples)
+            exact = near = False
+            for node, edits, swap in triples:
+                first, _, depth = self.nodes[node]
+                if not swap and len(self.terms[first]) == depth:
+                    exact |= not edits
+                    near |= edits and self.long[first + 1] > self.long[first]
+            self.accept.append(1 if exact else 2 if near else 0)
+        return self.index[triples]
+
+    def step(self, key: int) -> int:
+        """The state after state * (letters + 1) + letter."""
+        if key not in self.steps:
+            state, letter = divmod(key, len(self.letters) + 1)
+            self.steps[key] = self.state(self.after(self.sets[state], letter))
+        return self.steps[key]
 
     def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word codes[start:end] its `accept`; all words advance together, letter by letter."""
-        out = np.zeros(len(starts), np.int8)
-        live, state, at, end = np.arange(len(starts)), np.ones(len(starts), np.int32), starts.copy(), ends
+        if len(self.steps) > self.keep:
+            self.forget()
+        last = np.zeros(len(starts), np.int64)
+        live, state, at, end = np.arange(len(starts)), np.ones(len(starts), np.int64), starts.copy(), ends
         while len(live):
             done = at >= end
-            out[live[done]] = self.accept[state[done]]
+            last[live[done]] = state[done]
             go = ~done
             live, state, at, end = live[go], state[go], at[go], end[go]
-            state = self.table[state, self.classes[np.minimum(codes[at], 0x2FFF)]]
+            key, back = np.unique(state * (len(self.letters) + 1) + self.classes[np.minimum(codes[at], 0x2FFF)], return_inverse=True)
+            state = np.array([self.step(k) for k in key.tolist()], np.int64)[back]
             go = state > 0
             live, state, at, end = live[go], state[go], at[go] + 1, end[go]
-        return out
+        return np.array(self.accept, np.int8)[last]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -162,7 +184,7 @@ def _quotes(part: str) -> int:
     return sum(part.count(c) for c in '"“”«»')
 
 
-def mine_lexicon(labelled: DataFrame, *, min_docs: int = 5, min_share: float = 0.5, spread: float = 0.3, max_terms: int = 2000) -> list[str]:
+def mine_lexicon(labelled: DataFrame, *, min_docs: int = 5, min_share: float = 0.5, spread: float = 0.3) -> list[str]:
     """Words whose presence speaks for label 1, from rows (text, toxic).
 
     Counted over all rows: in how many documents of each label a word occurs. A term occurs in
@@ -170,7 +192,7 @@ def mine_lexicon(labelled: DataFrame, *, min_docs: int = 5, min_share: float = 0
     `min_share` with confidence (lower Wilson bound at 1.96 deviations). Copies of one text
     say nothing new about their words: a term also follows at least `spread` times as many
     different words as it has documents of label 1 (counted up to 1000), and 4 at least.
-    `max_terms` bounds the model (the strongest by count stay).
+    Every word that passes is a term.
     """
     word = re.compile(r"[^\W_]+")
 
@@ -188,22 +210,22 @@ def mine_lexicon(labelled: DataFrame, *, min_docs: int = 5, min_share: float = 0
     n, z = F.col("bad") + F.col("good"), 1.96
     share = F.col("bad") / n
     lower = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    chosen = counts.where((F.col("bad") >= min_docs) & (lower > min_share) & (F.length("word") >= 3)).orderBy(F.desc("bad"), "word").limit(max_terms)
-    strong = {r["word"]: r["bad"] for r in chosen.collect()}
-    sent = labelled.sparkSession.sparkContext.broadcast(set(strong))
+    chosen, path = stored(counts.where((F.col("bad") >= min_docs) & (lower > min_share) & (F.length("word") >= 3)).select("word", "bad"), "terms")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[str, int]] = set()
         for table in pieces(batches, 4 << 20):
+            found: set[tuple[str, str]] = set()
             for text in table["text"].to_pylist():
                 words = word.findall((text or "").lower())
-                found.update((w, zlib.crc32(v.encode())) for v, w in zip(["", *words], words) if w in sent.value)  # noqa: B905
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found]), pa.array([v for _, v in found], pa.int64())], ["word", "before"])
-
-    around = labelled.where("toxic = 1").select("text").mapInArrow(neighbours, "word string, before long").groupBy("word").agg(F.count_distinct("before").alias("n"))
-    contexts = {r["word"]: r["n"] for r in around.collect()}  # max_terms rows at most
-    return [w for w, bad in strong.items() if contexts.get(w, 0) >= max(4, spread * min(bad, 1000))]
+                found.update(zip(["", *words], words))  # noqa: B905
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found]), pa.array([zlib.crc32(v.encode()) for v, _ in found], pa.int64())], ["follower", "before"])
+
+    pairs = labelled.where("toxic = 1").select("text").mapInArrow(neighbours, "follower string, before long")
+    around = join_checked(pairs, chosen, {"follower": "word"}, "inner", 64).groupBy("word", "bad").agg(F.count_distinct("before").alias("n"))
+    terms = around.where(F.col("n") >= F.greatest(F.lit(4.0), spread * F.least("bad", F.lit(1000)))).orderBy(F.desc("bad"), "word").collect()
+    drop(labelled.sparkSession, path)
+    return [r["word"] for r in terms]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

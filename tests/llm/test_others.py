@@ -20,7 +20,7 @@ from cfgveil.llm.decontamination import RADIUS, HammingIndex, contaminated, with
 from cfgveil.llm.host_rules import host_verdicts, keep_good, quality
 from cfgveil.llm.packing import bucket_bounds, pack, token_counts
 from cfgveil.llm.sharding import balanced_shards
-from cfgveil.llm.toxicity import LexiconAutomaton, Reader, _codes, toxicity
+from cfgveil.llm.toxicity import LexiconAutomaton, Reader, _codes, mine_lexicon, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,6 +227,20 @@ def test_toxicity(spark, edges, empty):
     assert toxicity(empty, given).collect() == [] and toxicity(df, given.limit(0)).count() == len(rows)
 
 
+def test_lexicon_holds_every_term(spark):
+    copied = " ".join(f"copy{i}" for i in range(2100))
+    rows = [(copied, 1)] * 12 + [(f"w{i} grobble v{i} snarfed", 1) for i in range(8)] + [(f"w{i} v{i}", 0) for i in range(8)]
+    assert sorted(mine_lexicon(spark.createDataFrame(rows, "text string, toxic int"))) == ["grobble", "snarfed"]
+
+
+def test_automaton_forgets():
+    terms = ["abcab", "aabbcc", "bca", "abcabc", "cabbage"]
+    whole, small = LexiconAutomaton(terms), LexiconAutomaton(terms, keep=0)
+    for word in ("abcab", "cabage", "acbab", "bca", "bcaa", "xabcab", ""):
+        args = _codes(word), np.array([0]), np.array([len(word)])
+        assert small.match(*args) == whole.match(*args)
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "packing"]
