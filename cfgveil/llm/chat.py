@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,29 @@ PARTS = {  # role -> (before the text, after it)
     b"assistant": (b" ", b" </s>"),
 }
 OTHER = (b"[ROLE ", b"] ", b" [/ROLE]")  # any other role, its name as hexadecimal UTF-8
+OPEN_ENDED = np.frombuffer(b"<[\\", np.uint8)
+STEP = 1 << 20  # bytes that are escaped or gathered at once: index arrays take many times as much
 
 
 def escape_points(data: np.ndarray) -> np.ndarray:
     """Where a backslash is put in: after each < or [ that is followed by any number of
     backslashes and one of / s I R <. What follows a text's last byte must not be one of these.
     """
+    out, a = [], 0
+    while a < len(data):
+        b = min(a + STEP, len(data))
+        while b < len(data):  # on to a byte that no control string goes on after
+            solid = np.flatnonzero(~np.isin(data[b - 1 : b - 1 + STEP], OPEN_ENDED))
+            if len(solid):
+                b += int(solid[0])
+                break
+            b = min(b + STEP, len(data))
+        out.append(_escape_points(data[a:b]) + a)
+        a = b
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _escape_points(data: np.ndarray) -> np.ndarray:
     table = np.zeros(256, bool)
     table[[ord(c) for c in "/sIR<"]] = True
     at = np.flatnonzero((data == ord("<")) | (data == ord("[")))
@@ -54,11 +72,12 @@ def unescape(text: str) -> str:
 
 
 def assemble(turns: pa.Table) -> pa.Table:
-    """(conv, formatted, loss) of turns that are grouped by conversation and in order.
+    """(conv, formatted, loss) of turns that are grouped by conversation and in order; with a
+    column `part` (conv, part, formatted, loss) of parts of conversations.
 
     Every turn is three segments (head, text, tail) and every conversation begins with one
-    more. Lengths give offsets by cumulative sums, offsets give the source of every byte of
-    the result, and one gather fills the buffer that becomes the Arrow column. `loss` has the
+    more (a part other than 0 does not). Lengths give offsets by cumulative sums, offsets give the source of every byte of
+    the result, and gathers of STEP bytes fill the buffer that becomes the Arrow column. `loss` has the
     (first byte, end) pairs of the assistant texts in the formatted UTF-8 bytes.
     """
     n = len(turns)
@@ -67,6 +86,8 @@ def assemble(turns: pa.Table) -> pa.Table:
     null = conv.is_null().to_numpy(zero_copy_only=False)
     new = np.ones(n, bool)
     new[1:] = (key[1:] != key[:-1]) | (null[1:] != null[:-1])
+    part = turns["part"].to_numpy() if "part" in turns.column_names else np.zeros(n, np.int64)
+    new[1:] |= part[1:] != part[:-1]
     content, at = escaped(*utf8(turns["text"]))
     roles, role_at = utf8(turns["role"])
     names = [roles[a:b].tobytes() for a, b in zip(role_at[:-1].tolist(), role_at[1:].tolist(), strict=True)]
@@ -81,13 +102,13 @@ def assemble(turns: pa.Table) -> pa.Table:
     source = np.concatenate([np.frombuffer(bytes(pool), np.uint8), content])
     # Segments: opening (of length 0 inside a conversation), head, text, tail.
     start, length = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
-    length[:, 0] = new * len(OPEN)
+    length[:, 0] = (new & (part == 0)) * len(OPEN)
     start[:, 1], length[:, 1] = np.array(heads, np.int64).reshape(-1, 2).T
     start[:, 2], length[:, 2] = len(pool) + at[:-1], np.diff(at)
     start[:, 3], length[:, 3] = np.array(tails, np.int64).reshape(-1, 2).T
     to = np.concatenate([[0], np.cumsum(length.ravel())])
     out = np.empty(to[-1], np.uint8)
-    np.take(source, np.repeat(start.ravel() - to[:-1], length.ravel()) + np.arange(to[-1]), out=out)
+    fill(out, source, start.ravel(), to)
     first = np.flatnonzero(new)
     offsets = np.append(to[:-1].reshape(n, 4)[first, 0], to[-1]).astype(np.int64) if n else np.zeros(1, np.int64)
     formatted = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
@@ -97,11 +118,27 @@ def assemble(turns: pa.Table) -> pa.Table:
     spans = np.stack([begin, begin + length[:, 2][own]], axis=1).ravel()
     counts = 2 * np.bincount(conversation[own], minlength=len(first))
     loss = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(spans, pa.int64()))
-    return pa.table({"conv": conv.take(pa.array(first)), "formatted": formatted.cast(pa.string()), "loss": loss})
+    parts = {"part": pa.array(part[first])} if "part" in turns.column_names else {}
+    return pa.table({"conv": conv.take(pa.array(first)), **parts, "formatted": formatted.cast(pa.string()), "loss": loss})
 
 
-def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", *, batch_bytes: int = 2 << 20) -> DataFrame:
-    """(conv, formatted, loss): one row for each conversation, turns in order, no turn left out.
+def fill(out: np.ndarray, source: np.ndarray, start: np.ndarray, to: np.ndarray) -> None:
+    """Segment k of `out`, to[k]:to[k + 1], from source[start[k]:]; long segments are cut."""
+    for a in range(0, len(out), STEP):
+        b = min(a + STEP, len(out))
+        i, j = np.searchsorted(to, a, side="right") - 1, np.searchsorted(to, b, side="left")
+        length = np.minimum(to[i + 1 : j + 1], b) - np.maximum(to[i:j], a)
+        np.take(source, np.repeat(start[i:j] - to[i:j], length) + np.arange(a, b), out=out[a:b])
+
+
+def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", *, batch_bytes: int = 2 << 20, part_bytes: int = 16 << 20) -> DataFrame:
+    """(conv, part, formatted, loss): each conversation, turns in order, no turn left out.
+
+    A conversation is one row, of part 0, if its texts and roles have `part_bytes` bytes at
+    most. A longer one is several rows, parts of whole turns in order (0, 1...), next to each
+    other and in order in their partition: the texts of its parts one after another are the
+    conversation, and `loss` counts from the beginning of its own part. A turn longer than
+    `part_bytes` is a part of its own.
 
     Turns are ordered by turn (nulls first), then role, then text. Null texts and roles count
     as empty; a role other than system, user and assistant keeps its name; control strings
@@ -110,7 +147,7 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     An empty table gives an empty table.
 
     Rows are hash-partitioned by conversation and sorted, and stream through the task in
-    batches; only the conversation at a batch's end is carried over.
+    batches; only the part at a batch's end is carried over.
     """
     rows = df.select(
         F.col(f"`{conv}`").cast("long").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"),
@@ -120,12 +157,21 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        begun, part, used = False, 0, 0
+        of = None  # the conversation of the row before
         for table in pieces(batches, batch_bytes):
-            key = table["conv"].to_pylist()
-            last = len(key)
-            while last and key[last - 1] == key[-1]:
-                last -= 1
-            if held and (last or held[0]["conv"][0].as_py() != key[-1]):
+            sizes = pc.add(pc.binary_length(table["role"]), pc.binary_length(table["text"])).to_pylist()
+            parts, last = [], 0  # the last part of the batch begins at row `last`
+            for k, (key, size) in enumerate(zip(table["conv"].to_pylist(), sizes, strict=True)):
+                if not begun or key != of:
+                    begun, of, part, used, last = True, key, 0, 0, k
+                elif used + size > part_bytes:
+                    part, used, last = part + 1, 0, k
+                used += size
+                parts.append(part)
+            table = table.append_column("part", pa.array(parts, pa.int64()))
+            goes_on = bool(held) and held[0]["conv"][0] == table["conv"][0] and held[0]["part"][0] == table["part"][0]
+            if held and (last or not goes_on):
                 yield from assemble(pa.concat_tables([*held, table.slice(0, last)])).to_batches()
                 held = []
             elif last:
@@ -134,7 +180,7 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         if held:
             yield from assemble(pa.concat_tables(held)).to_batches()
 
-    return ordered.mapInArrow(run, "conv long, formatted string, loss array<long>").withColumnRenamed("conv", conv)
+    return ordered.mapInArrow(run, "conv long, part long, formatted string, loss array<long>").withColumnRenamed("conv", conv)
 
 
 TURN = re.compile(
@@ -143,10 +189,10 @@ TURN = re.compile(
 )
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) turns of a formatted conversation; raises if it isn't one."""
-    turns, at = [], len(OPEN)
-    if not formatted.startswith(OPEN.decode()):
+def parse(formatted: str, part: int = 0) -> list[tuple[str, str]]:
+    """The (role, text) turns of a formatted conversation or part of one; raises if it isn't one."""
+    turns, at = [], 0 if part else len(OPEN)
+    if not part and not formatted.startswith(OPEN.decode()):
         raise ValueError("no opening")
     while at < len(formatted):
         m = TURN.match(formatted, at)

@@ -68,14 +68,25 @@ def op6_chat_format(spark, sf_dir):
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], given.schema)
 
     def read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The parts of a conversation come one after another: what is told of it grows part by part.
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        open_: list = []
+        told = lambda: [open_[0], open_[1], open_[2].hexdigest(), open_[3], open_[4].hexdigest(), open_[5]]
         for frame in frames:
             rows = []
-            for conv, formatted, loss in frame.itertuples(index=False):
-                turns, body = parse(formatted), formatted.encode()
+            for conv, part, formatted, loss in frame.itertuples(index=False):
+                if part == 0:
+                    if open_:
+                        rows.append(told())
+                    open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                turns, body = parse(formatted, part), formatted.encode()
                 said = "".join(unescape(body[a:b].decode()) for a, b in zip(loss[::2], loss[1::2], strict=True))
-                digest = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
-                rows.append((conv, len(turns), digest, len(said), hashlib.sha256(said.encode()).hexdigest(), len(formatted)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                open_[2].update("".join(f"{role}\n{text}\n" for role, text in turns).encode())
+                open_[4].update(said.encode())
+                open_[1], open_[3], open_[5] = open_[1] + len(turns), open_[3] + len(said), open_[5] + len(formatted)
+            yield pd.DataFrame(rows, columns=names)
+        if open_:
+            yield pd.DataFrame([told()], columns=names)
 
     chats = format_chats(given.union(probe))
     return chats.mapInPandas(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -14,7 +14,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from cfgveil.llm import oracle, pitman_yor, queries
+from cfgveil.llm import chat, oracle, pitman_yor, queries
 from cfgveil.llm.chat import assemble, format_chats, parse, unescape
 from cfgveil.llm.decontamination import RADIUS, HammingIndex, contaminated, without_benchmark
 from cfgveil.llm.host_rules import host_verdicts, keep_good, quality
@@ -181,6 +181,42 @@ def test_shards(spark, edges, empty):
     assert balanced_shards(empty, 4).collect() == []
 
 
+def test_chat_parts(spark, tmp_path):
+    """A conversation longer than a part is several bounded rows that add up to it."""
+    rows = [(i % 3 if i % 4 else None, i, ["user", "assistant", "odd"][i % 3], f"é{i} </s> [\\\\" * (i % 9)) for i in range(400)] + [(1, 500, "assistant", "x" * 9000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r.formatted for r in format_chats(df).collect()}
+    want = {c: [(r, x) for k, _, r, x in rows if k == c] for c in {r[0] for r in rows}}
+    for size in (300, 1 << 20):
+        parts = {}
+        for r in format_chats(df, batch_bytes=size, part_bytes=1000).collect():
+            parts.setdefault(r.conv_id, []).append(r)
+        for c, got in parts.items():
+            assert [r.part for r in got] == list(range(len(got))) and len(got) > 3
+            assert "".join(r.formatted for r in got) == whole[c]
+            assert [t for r in got for t in parse(r.formatted, r.part)] == want[c]
+            assert all(len(parse(r.formatted, r.part)) == 1 for r in got if len(r.formatted.encode()) > 3000)
+            spans = [unescape(r.formatted.encode()[a:b].decode()) for r in got for a, b in zip(r.loss[::2], r.loss[1::2], strict=True)]
+            assert spans == [x for r, x in want[c] if r == "assistant"]
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    told = {r.conv_id: r for r in queries.QUERIES["op6_chat_format"](spark, str(tmp_path)).collect()}
+    small = lambda *a, **k: format_chats(*a, **k, part_bytes=1000)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries, "format_chats", small)
+        assert {r.conv_id: r for r in queries.QUERIES["op6_chat_format"](spark, str(tmp_path)).collect()} == told
+
+
+def test_chat_long_texts(monkeypatch):
+    """Escaping and gathering go step by step, wherever a step ends."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("<[\\/sé ") for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+    table = pa.table({"conv": pa.array([0] * 60, pa.int64()), "role": ["user"] * 60, "text": texts})
+    whole = assemble(table)
+    for step in (1, 2, 7, 100):
+        monkeypatch.setattr(chat, "STEP", step)
+        assert assemble(table) == whole
+
+
 def edit_distance(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
