@@ -45,20 +45,20 @@ def sanitize_folder(
     """Sanitize the configuration files below `root`; returns one result row per file.
 
     Writes `<out>/texts` (path, content, result columns) and appends the originals to
-    `backup_table`. `requested` paths that are not there become error rows. A dry run
+    `backup_table`. `requested` paths that are not there, and files too long for one cell, become error rows. A dry run
     writes nothing and returns the same results.
     """
     configs = src.scan_configs(spark, root, patterns, recursive=recursive, include_empty=include_empty)
     backup = None
     if backup_table and not dry_run:
         taken = now or datetime.now()
-        bak.append_backup(configs, backup_table, backup_dir, taken)
+        bak.append_backup(configs.filter("error IS NULL"), backup_table, backup_dir, taken)
         stamp = F.lit(f"{taken:{bak.STAMP}}")
         backup = bak.backup_path(F.col("path"), stamp, F.col("file_hash"), backup_dir)
         configs = configs.withColumn("file_hash", content_hash(F.col("content"), 8))
     done = sanitize(configs, builtin=builtin, custom=pack)
     if not dry_run:
-        kept = ["path", "filename", *(["file_hash"] if backup is not None else []), *RESULT_COLUMNS]
+        kept = ["path", "filename", "error", *(["file_hash"] if backup is not None else []), *RESULT_COLUMNS]
         done.select(*kept, F.col("sanitized").alias("content")).write.parquet(f"{out}/texts")
         done = spark.read.parquet(f"{out}/texts")
     rows = rep.results(done, backup=backup)

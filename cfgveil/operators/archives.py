@@ -160,14 +160,14 @@ def expand_archives(archives: DataFrame, *, max_bytes: int = MAX_CELL) -> DataFr
     """Archive rows (path, content[, length]) to member rows; directories are left out.
 
     Archives that cannot be opened (unknown or unsupported type, too large for one cell,
-    broken) and members that cannot be read become rows with an error. Members leave the
+    as those that come with a length but without content, broken) and members that cannot be read become rows with an error. Members leave the
     Python worker in batches of bounded size. Follow with a repartition by member when
     few archives hold most of the data.
     """
     size = F.col("length") if "length" in archives.columns else F.octet_length("content")
     kind = {"length": size, "kind": archive_type(F.col("path"), F.col("content"))}
     typed = pinned(archives, ["path", "content"], kind)
-    fits = F.col("length") <= max_bytes
+    fits = (F.col("length") <= max_bytes) & F.col("content").isNotNull()
     able = F.coalesce(F.col("kind").isin(*EXPANDABLE), F.lit(False)) & fits
     opened = typed.filter(able).select("path", "kind", "content").mapInPandas(_expand, MEMBER_SCHEMA)
     reason = (

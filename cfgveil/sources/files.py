@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cfgveil.functions.text import decode_text, file_name
-from cfgveil.operators.archives import ARCHIVE_SUFFIXES
+from cfgveil.operators.archives import ARCHIVE_SUFFIXES, MAX_CELL
 
 # The default file patterns.
 FILE_PATTERNS = ("*.txt", "*.conf", "*.config", "*.cfg")
+TOO_LONG = "File exceeds the size limit of one cell"
 
 
 def variants(patterns: Sequence[str]) -> list[str]:
@@ -65,6 +66,11 @@ def _binary(spark: SparkSession, root: str, patterns: Sequence[str], recursive:
     )
 
 
+def _max_length(spark: SparkSession) -> int:
+    """The longest file that is read into a cell."""
+    return min(MAX_CELL, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+
+
 def list_files(spark: SparkSession, root: str, patterns: Sequence[str] = FILE_PATTERNS, *, recursive: bool = True) -> DataFrame:
     """path, filename, length of the matching files; contents are never read."""
     return _binary(spark, root, patterns, recursive).select("path", file_name(F.col("path")).alias("filename"), "length")
@@ -78,29 +84,45 @@ def scan_configs(
     recursive: bool = True,
     normalize_newlines: bool = True,
     include_empty: bool = True,
+    manifest: DataFrame | None = None,
 ) -> DataFrame:
-    """path, filename, content of the matching configuration files, one row per file.
+    """path, filename, content, error of the matching configuration files, one row per file.
 
-    Spark's readers skip files of length zero; `include_empty` adds them from the names
-    Spark has listed anyway. Turn it off for corpora of very many files.
+    A file too long for one cell has null content and an error. Spark's readers skip files
+    of length zero; `include_empty` adds them, from the rows of length zero in a `manifest`
+    (path as the scan gives it, length; only matching files) or else from the names Spark
+    has listed anyway, which pass the driver: give a manifest for corpora of very many files.
     """
-    files = _binary(spark, root, patterns, recursive)
+    files, limit = _binary(spark, root, patterns, recursive), _max_length(spark)
     text = decode_text(F.col("content"), normalize_newlines=normalize_newlines)
-    found = files.select("path", file_name(F.col("path")).alias("filename"), text.alias("content"))
+    name, none = file_name(F.col("path")).alias("filename"), F.lit(None).cast("string")
+    # The filters stand on the relation itself: it must not open a file it cannot hold.
+    read = files.filter(F.col("length") <= limit).select("path", name, text.alias("content"), none.alias("error"))
+    long = files.filter(F.col("length") > limit).select("path", name, none.alias("content"), F.lit(TOO_LONG).alias("error"))
+    found = read.unionByName(long)
     if not include_empty:
         return found
-    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "listed string")
-    # Listed names are URI-encoded and differ from `path` in the scheme's slashes.
-    plain = lambda c: F.regexp_replace(c, "^([a-zA-Z0-9]+:)/+", "$1/")
-    named = listed.select(plain(F.url_decode(F.regexp_replace("listed", r"\+", "%2B"))).alias("path"))
-    empty = named.join(found.select(plain(F.col("path")).alias("path")), "path", "left_anti")
-    return found.unionByName(empty.select("path", file_name(F.col("path")).alias("filename"), F.lit("").alias("content")))
+    if manifest is not None:
+        empty = manifest.filter("length = 0").select("path")
+    else:
+        listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "listed string")
+        # Listed names are URI-encoded and differ from `path` in the scheme's slashes.
+        plain = lambda c: F.regexp_replace(c, "^([a-zA-Z0-9]+:)/+", "$1/")
+        named = listed.select(plain(F.url_decode(F.regexp_replace("listed", r"\+", "%2B"))).alias("path"))
+        empty = named.join(files.select(plain(F.col("path")).alias("path")), "path", "left_anti")
+    return found.unionByName(empty.select("path", name, F.lit("").alias("content"), none.alias("error")))
 
 
 def scan_archives(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:
-    """path, length, content of the archives below a folder, found by suffix."""
+    """path, length, content of the archives below a folder, found by suffix.
+
+    An archive too long for one cell has null content; `expand_archives` gives it an error row.
+    """
     patterns = [f"*{suffix}" for suffix in ARCHIVE_SUFFIXES]
-    return _binary(spark, root, patterns, recursive).select("path", "length", "content")
+    files, limit = _binary(spark, root, patterns, recursive), _max_length(spark)
+    # The filters stand on the relation itself: it must not open a file it cannot hold.
+    read = files.filter(F.col("length") <= limit).select("path", "length", "content")
+    return read.unionByName(files.filter(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def missing_inputs(requested: DataFrame, found: DataFrame, *, path: str = "path") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cfgveil import custom_rules, jobs
 from cfgveil.functions.text import decode_text, file_stem, file_suffix, sanitized_name, token_hash
 from cfgveil.operators import backups as bak
+from cfgveil.operators.archives import expand_archives
 from cfgveil.packs import SAMPLE_BASIC
 from cfgveil.rules import RulePack
 from cfgveil.sinks import files as sinks
@@ -262,3 +263,28 @@ def test_globs_select_as_the_scan_does(spark, tmp_path):
         assert chosen == sorted(r.filename for r in src.list_files(spark, str(tmp_path), [glob]).collect()), glob
         native = df.where(jobs._selected(F.col("name"), [glob]))
         assert sorted(r.name for r in native.collect()) == chosen
+
+
+def test_files_above_the_cell_limit_are_error_rows(spark, tmp_path):
+    """Spark ends a job that asks for the content of a file above maxLength."""
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.cfg").write_text("hostname a\n")
+    (root / "long.cfg").write_text("hostname b\n" * 1000)
+    (root / "empty.cfg").write_text("")
+    for name, size in (("a.zip", 10), ("long.zip", 5000)):
+        with zipfile.ZipFile(root / name, "w") as archive:
+            archive.writestr("m.cfg", "x" * size)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, "1000")
+    try:
+        found = {r.filename: (r.content, r.error) for r in src.scan_configs(spark, str(root)).collect()}
+        members = {r.archive.rsplit("/", 1)[1]: (r.member, r.error) for r in expand_archives(src.scan_archives(spark, str(root))).collect()}
+        done = {r.file.rsplit("/", 1)[1]: r.error for r in jobs.sanitize_folder(spark, str(root), str(tmp_path / "out"), backup_table=str(tmp_path / "bak")).collect()}
+        manifest = src.list_files(spark, str(root), ["*.cfg"]).select("path", "length").union(spark.createDataFrame([(f"file:{root}/empty.cfg", 0)], "path string, length long"))
+        by_manifest = {r.filename: (r.content, r.error) for r in src.scan_configs(spark, str(root), manifest=manifest).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert found == by_manifest == {"a.cfg": ("hostname a\n", None), "empty.cfg": ("", None), "long.cfg": (None, src.TOO_LONG)}
+    assert members == {"a.zip": ("m.cfg", None), "long.zip": (None, "Archive exceeds the size limit of one cell")}
+    assert done == {"a.cfg": None, "empty.cfg": None, "long.cfg": src.TOO_LONG}
