@@ -166,6 +166,14 @@ def _across(members: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
+def _same_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of ids that have several texts with the nodes of these texts' sets."""
+    several = rows.where("id IS NOT NULL").groupBy("id").agg(*[f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("set_a", "set_b")])
+    several = several.where("minset_a <> maxset_a OR minset_b <> maxset_b").select(F.col("id").alias("b"))
+    own = rows.where("n > 0").join(several, F.col("id") == F.col("b")).select("set_a", "set_b", "b")
+    return own.join(nodes.select("set_a", "set_b", F.col("node").alias("a")), ["set_a", "set_b"]).where("a <> b").select("a", "b").distinct()
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Link texts whose shingle sets have a Jaccard similarity of `percent` / 100 or more.
 
@@ -204,10 +212,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     weight = linkable.groupBy("node").agg(F.sum("m").alias("weight")).join(nodes.select("node", "bits"), "node")
     weighed, weighed_path = stored(linkable.join(weight, "node").select("key", "node", "n", "s", "weight", "bits"), "weighed")
     drop(spark, linkable_path)
-    links, links_path = stored(spark.createDataFrame([], "a long, b long"), "linked")
+    links, links_path = stored(_same_id(rows, nodes), "linked")
     tested, tested_path = stored(spark.createDataFrame([], "a long, b long"), "tested")
     used, used_path = stored(spark.createDataFrame([], "key long, node long"), "used")
-    groups = spark.createDataFrame([], "node long, component long")
+    groups = spark.createDataFrame([], "node long, component long") if links.isEmpty() else components(links)
     for turn in itertools.count():
         found = groups.select(F.col("node").alias("of"), "component")
         state = weighed.join(found, F.col("node") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "node"))
@@ -233,7 +241,11 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     labels, _ = stored(whole.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "labels")
     labels = labels.withColumnsRenamed({"set_a": "a", "set_b": "b"})
     out = join_checked(rows.drop("keys", "bits"), labels, {"set_a": "a", "set_b": "b"}, "left", 48)
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
+    # A row without shingles goes with the other rows of its id.
+    bare = rows.where("n = 0 AND id IS NOT NULL").select(F.col("id").alias("of")).distinct().join(groups, F.col("of") == F.col("node")).select("of", F.col("component").alias("of_id"))
+    bare, _ = stored(bare, "bare")
+    out = join_checked(out, bare, {"id": "of"}, "left", 16)
+    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "of_id", "id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
 
 

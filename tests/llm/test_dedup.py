@@ -176,6 +176,16 @@ def test_near_against_brute_force(spark, percent):
         assert all(exact[r.component_id] == exact[r.doc_id] for r in near_duplicates(df, shingle=4, percent=70).collect())
 
 
+def test_near_repeated_ids(spark):
+    """Rows that share an id are one node, whichever of their texts also occur under smaller ids."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (9, b + " more"), (20, c), (20, d), (21, d), (22, c + " more"), (30, "alone it is and stays"), (31, a), (31, None), (32, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, shingle=4).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (20, 20, True), (21, 20, False), (22, 20, False), (30, 30, True), (31, 3, False), (32, 32, True)}
+    assert sorted(r.doc_id for r in without_near_duplicates(df, shingle=4).collect()) == [3, 20, 20, 30, 32]
+
+
 def test_near_edges(edges, empty):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_duplicates(edges, shingle=4).collect()}
     assert got[(1, 0)] == (1, True) and got[(2, 0)] == (2, True) and got[(None, 5)] == (None, True)
