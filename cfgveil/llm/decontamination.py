@@ -20,6 +20,8 @@ RADIUS = 40
 PARTS = 8  # blocks of 16 bits; within RADIUS some block differs in RADIUS // PARTS bits at most
 # Items are searched for in groups of at most this many bytes, one pass over the documents each.
 ITEM_BYTES = 64 << 20
+MAX_ITEMS = 2048  # items in one pass, about: the index takes 64 KB for each
+FEW = 8  # fingerprints that are compared one by one, without tables
 
 
 def plain(data: np.ndarray) -> np.ndarray:
@@ -51,6 +53,7 @@ class HammingIndex:
 
     Each of PARTS blocks has a table from 16-bit values to the items whose block lies within
     RADIUS // PARTS bits. Two fingerprints within RADIUS agree so far in one block at least.
+    The tables take 64 KB for each item; fewer than FEW items have none.
     """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
@@ -58,7 +61,7 @@ class HammingIndex:
         self.blocks = prints.view(np.uint16).reshape(-1, PARTS)
         near = _near_values(radius // PARTS)
         self.tables = []
-        for part in range(PARTS):
+        for part in range(PARTS if len(prints) >= FEW else 0):
             mask = np.zeros((1 << 16, (len(prints) + 7) // 8), np.uint8)
             for item in range(len(prints)):
                 mask[near ^ self.blocks[item, part], item >> 3] |= np.uint8(1 << (item & 7))
@@ -66,6 +69,8 @@ class HammingIndex:
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs within the radius."""
+        if not self.tables:
+            return np.nonzero(np.bitwise_count(queries[:, None] ^ self.prints[None]).sum(axis=2) <= self.radius)
         values = queries.view(np.uint16).reshape(-1, PARTS)
         met = self.tables[0][values[:, 0]]
         for part in range(1, PARTS):
@@ -154,7 +159,7 @@ def _matches(hashed: np.ndarray, hits: np.ndarray, n_words: int, items: Items, s
 
 def contaminated(
     df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", *, item: str = "item_id", item_text: str = "text",
-    shingle: int = 5, percent: int = 80, item_bytes: int = ITEM_BYTES,
+    shingle: int = 5, percent: int = 80, item_bytes: int = ITEM_BYTES, max_items: int = MAX_ITEMS,
 ) -> DataFrame:
     """Benchmark items that occur in documents, exactly or nearly.
 
@@ -170,12 +175,12 @@ def contaminated(
     Null and empty texts match nothing, on either side; null ids are carried as they are;
     items of equal text are all reported; repeated rows each give their rows. Other columns
     are not read. No shuffle: items go to the tasks in groups of at most `item_bytes` of
-    text, one pass over the documents for each group.
+    text and about `max_items` items, one pass over the documents for each group.
     """
     spark = df.sparkSession
     rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-2 * total // item_bytes))
+    total, count = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    groups = max(1, -(-2 * (total or 0) // item_bytes), -(-count // max_items))
     rows = rows.withColumn("group", F.pmod(F.xxhash64("item", "text"), F.lit(groups)))
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     out = None

@@ -93,6 +93,26 @@ def test_hamming_index_finds_all_in_radius():
     assert got == set(zip(*(x.tolist() for x in np.nonzero(away <= RADIUS)), strict=True))
 
 
+def test_hamming_index_is_bounded():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 8, 9):
+        items = rng.integers(0, 2**63, (n, 2), dtype=np.uint64)
+        index = HammingIndex(items)
+        assert sum(t.nbytes for t in index.tables) <= n << 17
+        assert not index.tables or n >= 8
+        assert [x.tolist() for x in index.search(items)] == [list(range(n))] * 2
+
+
+def test_many_items_take_several_passes(spark):
+    rnd = random.Random(12)
+    items = [(i, " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(10 + i % 3))) for i in range(60)]
+    df = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    few = contaminated(df, bench, max_items=20)
+    assert few._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 3
+    assert {(r.doc_id, r.item_id) for r in few.collect()} == {(i, i) for i, _ in items}
+
+
 def test_decontamination(spark, edges, empty):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
