@@ -76,3 +76,23 @@ WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
      roots AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM roots LEFT JOIN sizes USING (doc_id)
 """
+
+# CRC-32 of a conversation's number in decimal, byte by byte and bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+SQL["op13_prefix_trie"] = rf"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+     own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS ts, {_CRC} % 4 AS h FROM turns GROUP BY conv_id),
+     whole AS (SELECT a.conv_id, list_concat(coalesce(b.ts, [])[1:a.h], a.ts[a.h + 1:]) AS ts FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+     members AS (SELECT conv_id, d, ts[1:d] AS path, len(ts) = d AS ends FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM whole)),
+     nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+                      CASE WHEN d > 0 THEN len(regexp_extract_all(path[d].text, '{WORD}')) ELSE 0 END AS words FROM members GROUP BY path, d),
+     above AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]),
+     childless AS (SELECT n.path, n.d, count(c.d) AS n_children FROM nodes n LEFT JOIN nodes c ON c.d = n.d + 1 AND c.path[1:c.d - 1] = n.path GROUP BY ALL),
+     known AS (SELECT a.*, n_children FROM above a JOIN childless c ON a.path = c.path AND a.d = c.d),
+     spread AS (SELECT path[1:u] AS top, u, n_convs, words, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM known)),
+     sums AS (SELECT top, u, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM spread GROUP BY top, u)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM known JOIN sums ON path = top AND d = u
+"""

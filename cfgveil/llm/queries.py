@@ -15,10 +15,13 @@ from cfgveil.llm.host_rules import quality
 from cfgveil.llm.line_dedup import dedup_lines
 from cfgveil.llm.near_dup import near_duplicates
 from cfgveil.llm.packing import pack, token_counts
+from cfgveil.llm.piece_bpe import decode_pieces, encode_pieces
 from cfgveil.llm.pitman_yor import score
+from cfgveil.llm.prefix_trie import prefix_trie
 from cfgveil.llm.sharding import balanced_shards
 from cfgveil.llm.suffix_dedup import remove_repeats
 from cfgveil.llm.toxicity import toxicity
+from cfgveil.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +119,26 @@ def op3_suffix_dedup(spark, sf_dir):
 @query
 def op7_pitman_yor(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"), folds=10, held=0)
+
+
+# A byte-fallback BPE model of 32 000 pieces, as published; the place is a parameter.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op11_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_pieces(docs, PIECE_MODEL).drop("text")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    told = decode_pieces(encoded, PIECE_MODEL)
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))

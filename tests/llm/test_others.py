@@ -38,7 +38,7 @@ def test_sql_twins(spark, name):
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in queries.QUERIES}
     assert "pipeline" in entry.queries() and set(oracle.SQL) <= set(entry.oracle_sql())
 
 
