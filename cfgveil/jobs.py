@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cfgveil.functions.text import content_hash, file_name, sanitized_name
+from cfgveil.functions.text import file_name, sanitized_name
 from cfgveil.operators import archives as arc
 from cfgveil.operators import backups as bak
 from cfgveil.operators import report as rep
@@ -53,12 +53,15 @@ def sanitize_folder(
     if backup_table and not dry_run:
         taken = now or datetime.now()
         bak.append_backup(configs.filter("error IS NULL"), backup_table, backup_dir, taken)
-        stamp = F.lit(f"{taken:{bak.STAMP}}")
-        backup = bak.backup_path(F.col("path"), stamp, F.col("file_hash"), backup_dir)
-        configs = configs.withColumn("file_hash", content_hash(F.col("content"), 8))
+        # What was saved is what is sanitized, whatever happens to the folder meanwhile.
+        mine = (F.col("timestamp") == f"{taken:{bak.STAMP}}") & (F.col("backup_date").cast("string") == f"{taken:%Y-%m-%d}")
+        path, none = F.col("original_path").alias("path"), F.lit(None).cast("string")
+        saved = bak.read_catalog(spark, backup_table).filter(mine).select(path, file_name(path).alias("filename"), "content", none.alias("error"), "backup_path")
+        configs = saved.unionByName(configs.filter("error IS NOT NULL").withColumn("backup_path", none))
+        backup = F.col("backup_path")
     done = sanitize(configs, builtin=builtin, custom=pack)
     if not dry_run:
-        kept = ["path", "filename", "error", *(["file_hash"] if backup is not None else []), *RESULT_COLUMNS]
+        kept = ["path", "filename", "error", *(["backup_path"] if backup is not None else []), *RESULT_COLUMNS]
         done.select(*kept, F.col("sanitized").alias("content")).write.parquet(f"{out}/texts")
         done = spark.read.parquet(f"{out}/texts")
     rows = rep.results(done, backup=backup)
@@ -69,10 +72,7 @@ def _selected(member: Column, patterns: Sequence[str] | None) -> Column:
     """Which members are rewritten: by the configuration-file test, or by file patterns."""
     if patterns is None:
         return arc.is_config_file(member)
-    chosen = F.lit(False)
-    for glob in src.variants(patterns):
-        chosen = chosen | file_name(member).rlike(r"(?s)\A" + src.glob_regex(glob) + r"\z")
-    return chosen
+    return file_name(member).rlike(src.glob_pattern(patterns))
 
 
 def sanitize_archive_folder(

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cfgveil.operators import occurrences as occ
 from cfgveil.operators.chain import Chain, pinned
-from cfgveil.rules import Rule
+from cfgveil.rules import Rule, any_of, odd_folding
 from cfgveil.session import join_lookup
 
 ACCOUNT_SCHEMA = "username string, kind string, ordinal int"
@@ -18,7 +19,6 @@ ALIAS_PREFIX = "netadmin"
 # Up to this many names are unrolled into expressions in generated code; longer lists are
 # one array literal (`sanitize`) or a table that is joined (`rename_accounts`), with equal rows.
 INLINE_ACCOUNTS = 512
-TOKEN_WINDOW = 256
 
 
 def accounts_frame(
@@ -36,9 +36,13 @@ def merge_accounts(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("username", "kind").agg(F.min("ordinal").alias("ordinal"))
 
 
+def _names_json(values: Sequence[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
 def _names(values: Sequence[str]) -> Column:
     if len(values) > INLINE_ACCOUNTS:
-        return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+        return _names_json(values)
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
@@ -140,9 +144,9 @@ def rename_accounts(
 ) -> DataFrame:
     """Replace personal account names in a corpus by per-file pseudonyms.
 
-    Adds `renamed` and `hits`. Short account lists are unrolled into each row; for longer
-    ones the names each text holds are found by an equi-join first. Both ways give the
-    same rows. With `user_lines` the texts are sanitized ones: personal users of their
+    Adds `renamed` and `hits`. Short account lists are unrolled into each row; longer ones are
+    an automaton that reads each text in its place; for lists beyond that the names of each
+    text are found through the corpus's tokens and joined to it. All ways give the same rows. With `user_lines` the texts are sanitized ones: personal users of their
     user lines that are no service accounts are numbered first and renamed as whole names,
     as `sanitize` does for account lists that fit into its expressions. (Only a name that
     is itself part of a pseudonym, such as `admin`, can differ: here a name counts when
@@ -159,9 +163,12 @@ def rename_accounts(
     if len(few) <= INLINE_ACCOUNTS:
         on_lines = _names([r["username"] for r in few if not r["serves"]])
         found = df.withColumns({"__found": contained(F.col(content), [r["username"] for r in few]), "__lines": on_lines})
+    elif (personal.agg(F.sum(F.length("username"))).first()[0] or 0) <= occ.AUTOMATON_CHARS:
+        every = personal.where("length(username) > 0").orderBy("ordinal", "username", "serves").collect()
+        found = _held(df, content, [(r["username"], r["serves"]) for r in every])
     else:
         pairs = occurring_accounts(df, personal.select("username", "ordinal"), content=content, key=key)
-        flagged = pairs.join(personal.select("username", "serves"), "username")
+        flagged = pairs.join(personal.select("username", "serves").distinct(), "username")
         per_file = flagged.groupBy(key).agg(
             F.array_sort(F.collect_list(F.struct("ordinal", "username", "serves"))).alias("__pairs")
         )
@@ -200,48 +207,27 @@ def occurring_accounts(
 ) -> DataFrame:
     """(key, username, ordinal, n): which accounts occur as substrings, and how often.
 
-    No theta join: texts are reduced to their distinct blank-free tokens, the token
-    vocabulary (far smaller than the corpus) is cut into substrings of the lengths the
-    accounts have, and those meet the accounts by equality. A name with blanks is looked
-    up by its longest blank-free part. Matches are then verified on the text. The account
-    table, the tokens that hold an account and the resulting pairs are each written and
-    counted before they are joined (`join_lookup`).
+    The texts are read once and never joined (see `literal_counts`).
     """
-    pieces = accounts.select(
-        "username",
-        "ordinal",
-        F.array_max(
-            F.transform(F.split("username", r"\s+"), lambda p: F.struct(F.length(p).alias("size"), p.alias("piece")))
-        )["piece"].alias("piece"),
-    ).filter(F.length("username") > 0)
-    lengths = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())
-    longest = lengths[-1] if lengths else 1
-    tokens = df.select(
-        F.col(key), F.explode(F.array_distinct(F.split(F.col(content), r"\s+"))).alias("token")
-    ).filter(F.length("token") >= (lengths[0] if lengths else 1))
-    # A text without blanks is one huge token: look at it through overlapping windows.
-    starts = F.sequence(F.lit(1), F.length("token"), F.lit(TOKEN_WINDOW))
-    windows = F.transform(starts, lambda at: F.substring(F.col("token"), at, F.lit(TOKEN_WINDOW + longest - 1)))
-    tokens = tokens.select(key, F.explode(F.array_distinct(windows)).alias("token"))
-    vocabulary = tokens.select("token").distinct()
-    # Generators instead of nested lambdas: cutting stays in generated code and streams.
-    cuts = (
-        vocabulary.select("token", F.explode(_ints(lengths)).alias("size"))
-        .filter(F.length("token") >= F.col("size"))
-        .select("token", "size", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("size") + 1)).alias("at"))
-        .select("token", F.expr("substring(token, at, size)").alias("piece"))
-    )
-    holding = join_lookup(cuts, pieces, "piece").select("token", "username", "ordinal").distinct()
-    pairs = join_lookup(tokens, holding, "token").select(key, "username", "ordinal").distinct()
-    return (
-        join_lookup(df.select(key, content), pairs, key)
-        .select(key, "username", "ordinal", occurrences(F.col(content), F.col("username")).alias("n"))
-        .filter("n > 0")
-    )
-
-
-def _ints(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<int>")
+    counts = occ.literal_counts(df, accounts.select(F.col("username").alias("literal")), content=content, key=key)
+    named = join_lookup(counts, accounts.select(F.col("username").alias("literal"), "ordinal").distinct(), "literal")
+    return named.select(key, F.col("literal").alias("username"), "ordinal", "n")
+
+
+def _held(df: DataFrame, content: str, accounts: list[tuple[str, bool]]) -> DataFrame:
+    """`__found`, the names each text holds, and `__lines`, those that serve nothing, both in the order given."""
+    names = list(dict.fromkeys(u for u, _ in accounts))
+    place: dict[str, list[int]] = {}
+    for k, (name, _) in enumerate(accounts):
+        place.setdefault(name, []).append(k)
+    places = F.from_json(F.lit(json.dumps([place[n] for n in names])), "array<array<int>>")
+    listed, serves = _names_json([u for u, _ in accounts]), F.from_json(F.lit(json.dumps([s for _, s in accounts])), "array<boolean>")
+    counted = df.withColumn("__hits", occ.counted_literals(F.col(content), names)["literal"])
+    order = F.array_sort(F.flatten(F.transform("__hits", lambda k: F.get(places, k))))
+    ordered = counted.withColumn("__hits", F.when(F.size("__hits") > 0, order).otherwise(F.array().cast("array<int>")))
+    lines = F.filter("__hits", lambda k: ~F.get(serves, k))
+    found = {"__found": F.transform("__hits", lambda k: F.get(listed, k)), "__lines": F.transform(lines, lambda k: F.get(listed, k))}
+    return ordered.withColumns(found).drop("__hits")
 
 
 def account_occurrences(df: DataFrame, accounts: DataFrame, *, content: str = "content", key: str = "path") -> DataFrame:
@@ -292,39 +278,49 @@ def pseudonyms(lines: DataFrame, accounts: DataFrame, *, key: str = "path") -> D
     return first.withColumn("alias", F.concat(F.lit(ALIAS_PREFIX), rank.cast("string")))
 
 
-def server_block_keys(df: DataFrame, service: str, *, content: str = "content", key: str = "path") -> DataFrame:
-    """Which `<service> server` block owns each first typed key: (key, block, line_no, key_type, secret).
+BLOCK_KEY = "struct<service:string,block:string,line_no:int,key_type:string,secret:string>"
+
 
-    A line-table form of the block rule: an indented line belongs to the last header
-    above it unless an unindented line closed the block.
+def server_block_keys(df: DataFrame, services: str | Sequence[str], *, content: str = "content", key: str = "path") -> DataFrame:
+    """(key, service, block, line_no, key_type, secret): the first typed key of each `<service> server` block.
+
+    An indented line belongs to the last header above it unless an unindented line closed the
+    block. Each text is folded line by line in its row: the state is the open block of every
+    service and the keys so far; nothing is shuffled.
     """
-    header = rf"(?diU)^.*?{service} server (.+)$"
-    typed = r"(?diU)^[ \t]+key (\d+) (\S+)"
-    lines = (
-        df.filter(F.contains(F.lower(F.col(content)), F.lit(f"{service} server ")))
-        .select(key, F.posexplode(F.split(F.col(content), "\n")).alias("pos", "line"))
-        .select(
-            key,
-            (F.col("pos") + 1).alias("line_no"),
-            "line",
-            F.col("line").rlike(r"^[ \t]").alias("indented"),
-            F.col("line").rlike(rf"(?di)^(?:\S.*)?{service} server .|^[ \t]{service} server .").alias("opens"),
-            F.regexp_extract("line", header, 1).alias("title"),
-        )
-    )
-    in_order = Window.partitionBy(key).orderBy("line_no")
-    boundary = F.when(F.col("opens") | ~F.col("indented"), F.struct("opens", "title", "line_no"))
-    owned = lines.withColumn("owner", F.last(boundary, ignorenulls=True).over(in_order))
-    keys = owned.filter(F.col("owner.opens") & ~F.col("opens") & F.col("line").rlike(typed)).select(
-        key,
-        F.col("owner.line_no").alias("header_line"),
-        F.col("owner.title").alias("block"),
-        "line_no",
-        F.regexp_extract("line", typed, 1).alias("key_type"),
-        F.regexp_extract("line", typed, 2).alias("secret"),
+    services = [services] if isinstance(services, str) else list(services)
+    text = F.col(content)
+    wanted = F.lower(text)
+    some = df.filter(any_of([F.contains(wanted, F.lit(f"{s} server ")) for s in services]))
+    lines = F.split(text, "\n")
+    block = "struct<title:string,open:boolean>"
+    start = F.struct(
+        F.lit(0).alias("at"),
+        F.array(*[F.struct(F.lit(""), F.lit(False)) for _ in services]).cast(f"array<{block}>").alias("blocks"),
+        F.array().cast(f"array<{BLOCK_KEY}>").alias("keys"),
     )
-    first = keys.groupBy(key, "header_line").agg(F.min_by(F.struct("block", "line_no", "key_type", "secret"), "line_no").alias("k"))
-    return first.select(key, "k.block", "k.line_no", "k.key_type", "k.secret")
+    typed = r"(?diU)^[ \t]+key (\d+) (\S+)"
+
+    def step(state: Column, line: Column) -> Column:
+        at, low = state["at"] + 1, F.lower(line)
+        indented, hit = line.rlike(r"^[ \t]"), line.rlike(typed)
+        moved, found = [], []
+        for k, service in enumerate(services):
+            now = state["blocks"][k]
+            opens = line.rlike(rf"(?di)^(?:\S.*)?{service} server .|^[ \t]{service} server .")
+            title = F.regexp_extract(line, rf"(?diU)^.*?{service} server (.+)$", 1)
+            shut = F.struct(now["title"], F.lit(False)).cast(block)  # by an unindented line, or as its later keys don't count
+            moved.append(F.when(opens, F.struct(title, F.lit(True)).cast(block)).when(~indented | hit, shut).otherwise(now))
+            one = F.struct(F.lit(service), now["title"], at, F.regexp_extract(line, typed, 1), F.regexp_extract(line, typed, 2)).cast(BLOCK_KEY)
+            found.append(F.when(now["open"] & ~opens & hit, one))
+        keys = F.when(hit, F.concat(state["keys"], F.array_compact(F.array(*found)))).otherwise(state["keys"])
+        # Most lines can't change the state; they cost a few cheap tests.
+        idle = indented & ~F.contains(low, F.lit("key ")) & ~F.contains(low, F.lit(" server ")) & ~odd_folding(line)
+        same = F.struct(at.alias("at"), state["blocks"].alias("blocks"), state["keys"].alias("keys"))
+        return F.when(idle, same).otherwise(F.struct(at.alias("at"), F.array(*moved).alias("blocks"), keys.alias("keys")))
+
+    found = F.aggregate(lines, start, step, lambda s: s["keys"])
+    return some.select(F.col(key), F.inline(found))
 
 
 def rename_step(chain: Chain, user_rule: Rule, before: str, personal: Sequence[str], service: Sequence[str]) -> Chain:

@@ -13,6 +13,7 @@ from cfgveil.operators.report import DASH_80, GENERATOR, REPORT_VERSION, RULE_80
 from cfgveil.plans import fixtures as fx
 from cfgveil.plans import queries as q
 from cfgveil.rules import Rule
+from cfgveil.sources.files import TOO_LONG
 
 # Rule name -> (pattern, replacement) where RE2 needs another form.
 RE2_FORMS = {
@@ -301,6 +302,19 @@ select path, service, block, cast(line_no as bigint) as line_no, regexp_extract(
 
 # Results and reports
 SQL["secrets_by_type"] = f"""with {run_sql()} select label, cast(sum(n) as bigint) as total_count, count(distinct filename) as affected_files from found group by label"""
+# Files of their own: names in several cases, some without a text, some that no scan selects.
+_cased = f"""select 'R-' || cast(c_custkey as string) || [{', '.join(map(lit, q.FILE_CASES))}][c_custkey % {len(q.FILE_CASES)} + 1] as filename,
+'/deep/' || filename as path, case when c_custkey % 10 = 9 then '' else {fx.CONFIG_TEXT} end as content from customer where [{', '.join(map(lit, q.FILE_CASES))}][c_custkey % {len(q.FILE_CASES)} + 1] not in ('.log', '.cFG')"""
+SQL["scan_folder"] = f"select filename, content, cast(null as varchar) as error from ({_cased})"
+SQL["sanitize_folder_dry"] = f"""select path[7:] as file, modified, changes, change_count, cast(null as varchar) as error from ({rewritten(_cased, BUILTIN)})
+union all select '/no/such.cfg', false, '', 0, 'File not found: /no/such.cfg'"""
+SQL["write_files"] = f"select path[10:] as name, cast(length(sanitized) as bigint) as length from ({rewritten(CONFIGS, BUILTIN)})"
+SQL["dropped_file_errors"] = f"""with done as ({rewritten(f"select * from ({_cased}) where content <> ''", BUILTIN)})
+select filename, case when length(content) <= {q.LONG_FILE} then sanitized end as sanitized, case when length(content) > {q.LONG_FILE} then {lit(TOO_LONG)} end as error,
+  case when length(content) <= {q.LONG_FILE} then 'rows' else 'dead' end as table from done join ({_cased}) using (path)"""
+SQL["findings_stream_batches"] = f"""with {run_sql()}, named as (select label, n, 'R-' || cast(c_custkey % 40 as string) || '.conf' as name
+  from found join (select {fx.CONFIG_COLUMNS['path']} as path, c_custkey from customer) using (path))
+select label, cast(sum(n) as bigint) as total_count, count(distinct name) as affected_files from named group by label"""
 SQL["sanitize_dropped_files"] = f"select split_part(path, '/', -1) as filename, sanitized, modified, change_count from ({rewritten(CONFIGS, BUILTIN)})"
 SQL["findings_stream"] = SQL["secrets_by_type"]
 _absent = "select '/configs/absent/R-' || cast(c_custkey as string) || '.conf' as path from customer"

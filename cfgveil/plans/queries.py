@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cfgveil import packs
+from cfgveil import jobs, packs
 from cfgveil.functions import text as tx
 from cfgveil.functions.logs import redact_log
 from cfgveil.operators import accounts as acc
@@ -26,6 +26,7 @@ from cfgveil.rules import Rule, custom_rules
 from cfgveil.session import materialized, new_dir
 from cfgveil.sinks import files as sinks
 from cfgveil.sources import files as src
+from cfgveil.sources.stores import list_folder, write_bodies
 from cfgveil.streaming import streams as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,8 +299,8 @@ def pseudonyms(spark, sf_dir):
 @query
 def server_block_keys(spark, sf_dir):
     rows = fx.configs(spark, sf_dir, "path", "content")
-    found = [acc.server_block_keys(rows, s).withColumn("service", F.lit(s)) for s in ("tacacs", "radius")]
-    return found[0].unionByName(found[1]).select("path", "service", "block", _long("line_no"), "key_type", "secret")
+    found = acc.server_block_keys(rows, ["tacacs", "radius"])
+    return found.select("path", "service", "block", _long("line_no"), "key_type", "secret")
 
 
 # Results and reports ----------------------------------------------------------------
@@ -599,6 +600,46 @@ def scan_written_files(spark, sf_dir):
     return files.select(F.regexp_extract("path", "filename=([^/]+)/", 1).alias("filename"), "content")
 
 
+def _files_in_cases(spark: SparkSession, sf_dir: str) -> str:
+    """Every configuration as a file of its own, with suffixes in several cases, some empty and some of no known suffix."""
+    key = F.col("c_custkey")
+    suffix = F.element_at(F.array(*[F.lit(s) for s in FILE_CASES]), (key % len(FILE_CASES) + 1).cast("int"))
+    name = F.concat(F.lit("site-"), (key % 7).cast("string"), F.lit("/deep/R-"), key.cast("string"), suffix)
+    text = F.when(key % 10 == 9, F.lit("")).otherwise(F.expr(fx.CONFIG_TEXT))
+    rows = fx.table(spark, sf_dir, "customer").select(name.alias("name"), F.encode(text, "UTF-8").alias("body"))
+    out = new_dir(spark, "folder")
+    write_bodies(rows, out)
+    return out
+
+
+FILE_CASES = (".CFG", ".Cfg", ".cfg", ".txt", ".Conf", ".log", ".cFG")
+
+
+@query
+def scan_folder(spark, sf_dir):
+    """A folder scan: suffixes in known cases, empty files too, nothing else."""
+    files = src.scan_configs(spark, _files_in_cases(spark, sf_dir))
+    return files.select("filename", "content", "error")
+
+
+@query
+def sanitize_folder_dry(spark, sf_dir):
+    """A dry run of the folder job, with a requested file that isn't there."""
+    folder = _files_in_cases(spark, sf_dir)
+    absent = spark.createDataFrame([("/no/such.cfg",)], "path string")
+    rows = jobs.sanitize_folder(spark, folder, f"{folder}-out", requested=absent, dry_run=True)
+    return rows.select(F.regexp_replace("file", "^.*/deep/", "").alias("file"), "modified", _joined("changes"), _long("change_count"), "error")
+
+
+@query
+def write_files(spark, sf_dir):
+    """Sanitized files written one by one, and listed by the executors."""
+    out = new_dir(spark, "files")
+    sinks.write_files(_run(spark, sf_dir), out, root="/configs")
+    listed = list_folder(spark, out)
+    return listed.select(F.regexp_extract("path", "/(site-[^/]*/[^/]*)$", 1).alias("name"), "length")
+
+
 @query
 def write_sanitized(spark, sf_dir):
     out = new_dir(spark, "sanitized")
@@ -723,6 +764,30 @@ def sanitize_dropped_files(spark, sf_dir):
     return table.select(F.regexp_extract("path", "filename=([^/]+)/", 1).alias("filename"), "sanitized", "modified", _long("change_count"))
 
 
+LONG_FILE = 2000
+
+
+@query
+def dropped_file_errors(spark, sf_dir):
+    """A drop folder with files above the length limit: the stream goes on, and they are dead letters."""
+    stream = st.config_stream(spark, _files_in_cases(spark, sf_dir), max_length=LONG_FILE)
+    done = st.sanitize_stream(stream).select("filename", "sanitized", "error")
+    rows, dead = st.run_with_errors(done, new_dir(spark, "stream"), new_dir(spark, "checkpoint"))
+    return rows.withColumn("table", F.lit("rows")).unionByName(dead.withColumn("table", F.lit("dead")))
+
+
+@query
+def findings_stream_batches(spark, sf_dir):
+    """Running totals over several batches that hold equal file names."""
+    folder, schema = new_dir(spark, "arriving"), fx.table(spark, sf_dir, "customer").schema
+    fx.table(spark, sf_dir, "customer").repartition(5, "c_nationkey").write.parquet(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    name = F.concat(F.lit("R-"), (F.col("c_custkey") % 40).cast("string"), F.lit(".conf"))
+    configs = rows.select(F.expr(fx.CONFIG_COLUMNS["path"]).alias("path"), name.alias("filename"), F.expr(fx.CONFIG_TEXT).alias("content"))
+    totals = st.findings_rollup(st.sanitize_stream(configs))
+    return st.run_rollup(totals, new_dir(spark, "rollup"), new_dir(spark, "checkpoint"))
+
+
 @query
 def findings_stream(spark, sf_dir):
     totals = st.findings_rollup(st.sanitize_stream(fx.config_stream_source(spark, sf_dir)))

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup table of at most this many (narrow) rows is broadcast.
+# A lookup table of at most this many rows and bytes is broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app: str = "cfgveil", master: str | None = None, **settings: str) -> SparkSession:
@@ -73,13 +74,15 @@ def join_lookup(
 ) -> DataFrame:
     """Join (inner or left) with a lookup table whose size is known before the plan is made.
 
-    The lookup is written once and counted: broadcast if it is small, sort-merge (where
-    adaptive execution splits hot keys) if not. `df` itself is never broadcast, however
+    The lookup is written once, counted and measured (the length of its rows as JSON):
+    broadcast if it is small, sort-merge (where adaptive execution splits hot keys) if not. `df` itself is never broadcast, however
     small the optimizer takes it to be: it may be the output of an explode, whose growth
     the optimizer's estimates ignore.
     """
     fixed = materialized(lookup, "lookup")
-    side = F.broadcast(fixed) if fixed.count() <= max_rows else fixed.hint("merge")
+    size = fixed.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    small = size["rows"] <= max_rows and (size["bytes"] or 0) <= BROADCAST_BYTES
+    side = F.broadcast(fixed) if small else fixed.hint("merge")
     return df.join(side, on, how)
 
 

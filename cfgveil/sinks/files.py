@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cfgveil.functions.text import file_name, relative_path
 from cfgveil.operators.report import results_csv, run_stats
+from cfgveil.sources.stores import write_bodies
 
 
 def write_sanitized(sanitized: DataFrame, out: str, *, partition_by: Sequence[str] = (), fmt: str = "parquet", only_modified: bool = False) -> None:
@@ -41,3 +43,12 @@ def write_report(lines: DataFrame, out: str, *, archive: str = "archive") -> Non
 def write_archives(archives: DataFrame, out: str) -> None:
     """Packed archives as a table (archive, volume, volumes, content)."""
     archives.write.parquet(out)
+
+
+def write_files(sanitized: DataFrame, out: str, *, root: str = "", column: str = "sanitized") -> DataFrame:
+    """Every text as a file of its own below `out`, under its path below `root` (its name alone without a root).
+
+    Returns (path, length) of the files written; the executors write them.
+    """
+    name = relative_path(F.col("path"), root) if root else file_name(F.col("path"))
+    return write_bodies(sanitized.select(name.alias("name"), F.encode(column, "UTF-8").alias("body")), out)

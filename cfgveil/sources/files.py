@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cfgveil.functions.text import decode_text, file_name
 from cfgveil.operators.archives import ARCHIVE_SUFFIXES, MAX_CELL
+from cfgveil.sources.stores import list_folder, reachable
 
 # The default file patterns.
 FILE_PATTERNS = ("*.txt", "*.conf", "*.config", "*.cfg")
@@ -57,6 +58,11 @@ def glob_regex(glob: str) -> str:
     return out
 
 
+def glob_pattern(patterns: Sequence[str]) -> str:
+    """A Java pattern for the names that any of the patterns or their variants selects."""
+    return r"(?s)\A(?:" + "|".join(glob_regex(g) for g in variants(patterns)) + r")\z"
+
+
 def _binary(spark: SparkSession, root: str, patterns: Sequence[str], recursive: bool) -> DataFrame:
     return (
         spark.read.format("binaryFile")
@@ -66,7 +72,7 @@ def _binary(spark: SparkSession, root: str, patterns: Sequence[str], recursive:
     )
 
 
-def _max_length(spark: SparkSession) -> int:
+def longest_file(spark: SparkSession) -> int:
     """The longest file that is read into a cell."""
     return min(MAX_CELL, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
 
@@ -90,10 +96,11 @@ def scan_configs(
 
     A file too long for one cell has null content and an error. Spark's readers skip files
     of length zero; `include_empty` adds them, from the rows of length zero in a `manifest`
-    (path as the scan gives it, length; only matching files) or else from the names Spark
-    has listed anyway, which pass the driver: give a manifest for corpora of very many files.
+    (path as the scan gives it, length; only matching files) or else from a listing made by
+    the executors (`list_folder`). Where they can't list (a glob for a root, a store that
+    only Spark reads) a manifest must be given.
     """
-    files, limit = _binary(spark, root, patterns, recursive), _max_length(spark)
+    files, limit = _binary(spark, root, patterns, recursive), longest_file(spark)
     text = decode_text(F.col("content"), normalize_newlines=normalize_newlines)
     name, none = file_name(F.col("path")).alias("filename"), F.lit(None).cast("string")
     # The filters stand on the relation itself: it must not open a file it cannot hold.
@@ -104,12 +111,11 @@ def scan_configs(
         return found
     if manifest is not None:
         empty = manifest.filter("length = 0").select("path")
+    elif reachable(spark, root):
+        matches = file_name(F.col("path")).rlike(glob_pattern(patterns))
+        empty = list_folder(spark, root, recursive=recursive).where((F.col("length") == 0) & matches).select("path")
     else:
-        listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "listed string")
-        # Listed names are URI-encoded and differ from `path` in the scheme's slashes.
-        plain = lambda c: F.regexp_replace(c, "^([a-zA-Z0-9]+:)/+", "$1/")
-        named = listed.select(plain(F.url_decode(F.regexp_replace("listed", r"\+", "%2B"))).alias("path"))
-        empty = named.join(files.select(plain(F.col("path")).alias("path")), "path", "left_anti")
+        raise ValueError(f"the executors can't list {root}: give a manifest, or include_empty=False")
     return found.unionByName(empty.select("path", name, F.lit("").alias("content"), none.alias("error")))
 
 
@@ -119,7 +125,7 @@ def scan_archives(spark: SparkSession, root: str, *, recursive: bool = True) ->
     An archive too long for one cell has null content; `expand_archives` gives it an error row.
     """
     patterns = [f"*{suffix}" for suffix in ARCHIVE_SUFFIXES]
-    files, limit = _binary(spark, root, patterns, recursive), _max_length(spark)
+    files, limit = _binary(spark, root, patterns, recursive), longest_file(spark)
     # The filters stand on the relation itself: it must not open a file it cannot hold.
     read = files.filter(F.col("length") <= limit).select("path", "length", "content")
     return read.unionByName(files.filter(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content")))

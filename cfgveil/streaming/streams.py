@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from cfgveil.functions.logs import redact_log
 from cfgveil.functions.text import decode_text, file_name
 from cfgveil.operators.report import file_secrets, with_name
 from cfgveil.operators.sanitize import sanitize
-from cfgveil.sources.files import FILE_PATTERNS, glob_variants
+from cfgveil.sources.files import FILE_PATTERNS, TOO_LONG, glob_variants, longest_file
+
+# The state function travels to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def config_stream(spark: SparkSession, folder: str, patterns=FILE_PATTERNS) -> DataFrame:
-    """A folder into which configuration files are dropped: path, filename, content."""
-    files = (
+def config_stream(spark: SparkSession, folder: str, patterns=FILE_PATTERNS, *, max_length: int | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """A folder into which configuration files are dropped: path, filename, content, error.
+
+    A file longer than one cell, `spark.sql.sources.binaryFile.maxLength` or `max_length`
+    is never opened: it becomes a row with an error and no content, and the stream goes on.
+    """
+    reader = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("pathGlobFilter", glob_variants(patterns))
         .option("recursiveFileLookup", "true")
-        .load(folder)
     )
-    return files.select("path", file_name(F.col("path")).alias("filename"), decode_text(F.col("content")).alias("content"))
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
+    files, limit = reader.load(folder), longest_file(spark)
+    limit = limit if max_length is None else min(limit, max_length)
+    name, none = file_name(F.col("path")).alias("filename"), F.lit(None).cast("string")
+    # The filters stand on the relation itself: it must not open a file it cannot hold.
+    read = files.filter(F.col("length") <= limit).select("path", name, decode_text(F.col("content")).alias("content"), none.alias("error"))
+    return read.unionByName(files.filter(F.col("length") > limit).select("path", name, none.alias("content"), F.lit(TOO_LONG).alias("error")))
 
 
 def sanitize_stream(configs: DataFrame, **options) -> DataFrame:
@@ -52,25 +72,66 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def run_with_errors(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Process what has arrived; (rows without an `error`, dead letters: rows with one) of the table at `out`.
+
+    Each batch is written once, under its epoch and by its outcome, so a repeated batch
+    overwrites only itself and dead letters can be read, and repaired, for themselves.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("failed", F.col("error").isNotNull()).write.mode("overwrite").partitionBy("failed").parquet(f"{out}/epoch={epoch}")
+
+    spark = stream.sparkSession
+    write(spark.createDataFrame([], stream.schema), -1)
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", LongType()), StructField("failed", BooleanType())])).parquet(out)
+    return rows.where("not failed").drop("epoch", "failed"), rows.where("failed").drop("epoch", "failed")
+
+
+def _first_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What a batch adds to a label and file name, and whether these were never met before."""
+    n, new = sum(int(b["n"].sum()) for b in batches), not state.exists
+    if new:
+        state.update((True,))
+    yield pd.DataFrame({"label": [key[0]], "n": [n], "new": [int(new)]})
+
+
 def run_rollup(added: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Process what has arrived; returns total and number of distinct file names per label, as `secrets_by_type`.
 
-    Each batch is summed per label and file name and written under its epoch, so a repeated
-    batch overwrites only itself; the totals are taken over all epochs, where equal names of
-    different folders or batches count once. Nothing arrived: no rows.
+    Which file names a label has met is keyed state, so equal names of different folders or
+    batches count once and a batch costs what it brings: it adds its sums to the totals of
+    the epoch before, a row for each label, and writes them under its own epoch. A repeated
+    batch starts from the same state and the same totals. Nothing arrived: no rows. State
+    is held on the executors' disks where the session names the RocksDB state store.
     """
     spark = added.sparkSession
+    schema = "label string, total_count bigint, affected_files bigint"
+    news = added.groupBy("label", "filename").applyInPandasWithState(_first_seen, "label string, n bigint, new bigint", "met boolean", "append", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy("label", "filename").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    write(spark.createDataFrame([], added.schema), -1)
-    query = (
-        added.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        old = [e for e in _epochs(spark, out) if e < epoch]
+        sums = batch.groupBy("label").agg(F.sum("n").alias("total_count"), F.sum("new").alias("affected_files"))
+        if old:
+            sums = sums.unionByName(spark.read.schema(schema).parquet(f"{out}/epoch={old[-1]}"))
+        totals = sums.groupBy("label").agg(F.sum("total_count").alias("total_count"), F.sum("affected_files").alias("affected_files"))
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        for gone in old[:-1]:  # the epoch before stays, for a repeat of this one
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/epoch={gone}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    query = news.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    epochs = spark.read.schema("label string, filename string, n bigint").parquet(out)
-    return epochs.groupBy("label").agg(F.sum("n").alias("total_count"), F.countDistinct("filename").alias("affected_files"))
+    done = _epochs(spark, out)
+    return spark.read.schema(schema).parquet(f"{out}/epoch={done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def _epochs(spark: SparkSession, out: str) -> list[int]:
+    """Epochs whose totals are whole, in order: two at most."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(out)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    names = [s.getPath().getName() for s in store.listStatus(where)] if store.exists(where) else []
+    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=") and store.exists(path(f"{out}/{n}/_SUCCESS")))

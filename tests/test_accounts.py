@@ -4,6 +4,7 @@ import pytest
 
 from cfgveil import BUILTIN
 from cfgveil.operators import accounts as acc
+from cfgveil.operators import occurrences as occ
 from cfgveil.operators import sanitize as san
 
 USER_RULE = BUILTIN.rules[1]
@@ -37,15 +38,25 @@ def collected(df):
     return {r.path: (r.renamed, r.m) for r in rows}
 
 
-@pytest.mark.parametrize("inline", [512, 0], ids=["in-row", "join"])
-def test_renaming_matches_brute_force(texts, spark, monkeypatch, inline):
+WAYS = pytest.mark.parametrize("inline, chars", [(512, 1000), (0, 1000), (0, 0)], ids=["in-row", "automaton", "join"])
+
+
+def way(monkeypatch, inline, chars):
     monkeypatch.setattr(acc, "INLINE_ACCOUNTS", inline)
+    monkeypatch.setattr(occ, "AUTOMATON_CHARS", chars)
+
+
+@WAYS
+def test_renaming_matches_brute_force(texts, spark, monkeypatch, inline, chars):
+    way(monkeypatch, inline, chars)
     rows = corpus()
     got = collected(acc.rename_accounts(texts(rows), acc.accounts_frame(spark, NAMES)))
     assert got == {p: renamed(t, NAMES) for p, t in rows.items()}
 
 
-def test_occurrences_match_brute_force(texts, spark):
+@pytest.mark.parametrize("chars", [1000, 20, 0])
+def test_occurrences_match_brute_force(texts, spark, monkeypatch, chars):
+    monkeypatch.setattr(occ, "AUTOMATON_CHARS", chars)
     rows = corpus()
     got = {(r.path, r.username): r.n for r in acc.occurring_accounts(texts(rows), acc.accounts_frame(spark, NAMES)).collect()}
     assert got == {(p, u): t.count(u) for p, t in rows.items() for u in NAMES if u in t}
@@ -53,6 +64,44 @@ def test_occurrences_match_brute_force(texts, spark):
     assert totals["ann"] == (sum(t.count("ann") for t in rows.values()), sum("ann" in t for t in rows.values()))
 
 
+@pytest.mark.parametrize("chars", [10_000, 40, 0])
+def test_literals_of_any_kind(texts, spark, chars):
+    rng = random.Random(8)
+    literals = ["a", "aa", "aba", "ab ab", " ", "\n", "é", "x" * 300, "ab" * 140, "b a", "none of it", "", "a"]
+    rows = {f"/{k}": "".join(rng.choice(["a", "b", "ab", " ", "\n", "é", "😀"]) for _ in range(rng.randint(0, 60))) for k in range(60)}
+    rows |= {"/long": "x" * 2000 + "ab" * 900 + "😀" * 300 + "aba", "/none": None, "/empty": ""}
+    listed = spark.createDataFrame([(x,) for x in literals], "literal string")
+    got = {(r.path, r.literal): r.n for r in occ.literal_counts(texts(rows), listed, automaton_chars=chars).collect()}
+    assert got == {(p, x): t.count(x) for p, t in rows.items() for x in set(literals) if x and t and x in t}
+
+
+def test_no_join_carries_a_text(texts, spark, monkeypatch):
+    """The plans' joins: whatever they join, `content` is not among its columns."""
+    for chars in (1000, 0):
+        monkeypatch.setattr(occ, "AUTOMATON_CHARS", chars)
+        found = acc.account_occurrences(texts(corpus()), acc.accounts_frame(spark, [n for n in NAMES if " " not in n]))
+        assert _content_joins(found) == 0
+    way(monkeypatch, 0, 1000)
+    assert _content_joins(acc.rename_accounts(texts(corpus()), acc.accounts_frame(spark, NAMES))) == 0
+    way(monkeypatch, 0, 0)
+    assert _content_joins(acc.rename_accounts(texts(corpus()), acc.accounts_frame(spark, NAMES))) == 1
+
+
+def _content_joins(df):
+    joins = []
+
+    def walk(node):
+        if node.nodeName() == "Join":
+            out = node.output()
+            joins.append(any(out.apply(i).name() == "content" for i in range(out.size())))
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+
+    walk(df._jdf.queryExecution().optimizedPlan())
+    return sum(joins)
+
+
 def test_merge_keeps_one_row_per_account(spark):
     a = acc.accounts_frame(spark, ["p", "q"], ["s"])
     b = acc.accounts_frame(spark, ["q", "r"], ["s", "t"])
@@ -95,16 +144,20 @@ def test_server_blocks(texts):
     assert [(r.block, r.line_no, r.key_type, r.secret) for r in rows] == [("A", 3, "7", "K1")]
     rows = acc.server_block_keys(texts([text]), "radius").collect()
     assert [(r.block, r.line_no, r.key_type, r.secret) for r in rows] == [("B", 8, "0", "R")]
+    both = acc.server_block_keys(texts([text, None, "", "x\n" * 20_000 + text]), ["tacacs", "radius"])
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.path, r.service, r.block, r.line_no) for r in both.collect()]
+    assert sorted(rows) == [("/c/f0.conf", "radius", "B", 8), ("/c/f0.conf", "tacacs", "A", 3), ("/c/f3.conf", "radius", "B", 20_008), ("/c/f3.conf", "tacacs", "A", 20_003)]
 
 
-@pytest.mark.parametrize("inline", [512, 0], ids=["in-row", "join"])
-def test_renaming_after_sanitizing_is_the_same(texts, spark, monkeypatch, inline):
+@WAYS
+def test_renaming_after_sanitizing_is_the_same(texts, spark, monkeypatch, inline, chars):
     rng = random.Random(5)
     lines = [*LINES.split("\n"), "! carol and bob", "  username carol privilege 1 password 7 Z", "joann bobann", "username joann secret 5 X"]
     df = texts(["\n".join(rng.sample(lines, rng.randint(1, len(lines)))) for _ in range(80)])
     names, service = ["ann", "bob", "carol", "joann", "zed"], ["zed"]
     want = {r.path: (r.sanitized, [c for c in r.changes if c.startswith("Username ")]) for r in san.sanitize(df, personal=names, service=service).collect()}
-    monkeypatch.setattr(acc, "INLINE_ACCOUNTS", inline)
+    way(monkeypatch, inline, chars)
     done = san.sanitize(df).select("path", "sanitized")
     named = acc.rename_accounts(done, acc.accounts_frame(spark, names, service), content="sanitized", user_lines=True)
     assert collected(named) == want

@@ -16,6 +16,7 @@ from cfgveil.packs import SAMPLE_BASIC
 from cfgveil.rules import RulePack
 from cfgveil.sinks import files as sinks
 from cfgveil.sources import files as src
+from cfgveil.sources.stores import list_folder
 from cfgveil.streaming import streams as st
 
 NOW = datetime(2024, 5, 6, 7, 8, 9)
@@ -288,3 +289,69 @@ def test_files_above_the_cell_limit_are_error_rows(spark, tmp_path):
     assert found == by_manifest == {"a.cfg": ("hostname a\n", None), "empty.cfg": ("", None), "long.cfg": (None, src.TOO_LONG)}
     assert members == {"a.zip": ("m.cfg", None), "long.zip": (None, "Archive exceeds the size limit of one cell")}
     assert done == {"a.cfg": None, "empty.cfg": None, "long.cfg": src.TOO_LONG}
+
+
+def test_the_executors_list_a_folder(spark, tmp_path):
+    root = tmp_path / "deep"
+    want = {}
+    for k in range(60):
+        folder = root / f"a{k % 4}" / f"b{k % 3}" / ("_hidden" if k % 20 == 0 else "c")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f {k}%+é.cfg").write_bytes(b"x" * k)
+        if k % 20:
+            want[f"file:{folder}/f {k}%+é.cfg"] = k
+    (root / ".crc").write_text("x")
+    assert {r.path: r.length for r in list_folder(spark, str(root)).collect()} == want
+    assert list_folder(spark, str(root), recursive=False).collect() == []
+    assert list_folder(spark, f"file://{root}/a1/b1/c/").count() == sum("/a1/b1/c/" in p for p in want)
+    assert {r.path for r in src.list_files(spark, str(root)).collect()} == {p for p, n in want.items() if n}
+    with pytest.raises(ValueError, match="manifest"):
+        src.scan_configs(spark, f"{root}/a*")
+
+
+def test_files_are_written_one_by_one(spark, tmp_path):
+    df = spark.createDataFrame([("/r/x/a.cfg", "A"), ("/r/b.cfg", ""), ("/r/né.cfg", "é\n")], "path string, sanitized string").repartition(2)
+    got = {r.path: r.length for r in sinks.write_files(df, str(tmp_path / "out"), root="/r").collect()}
+    assert got == {f"file:{tmp_path}/out/x/a.cfg": 1, f"file:{tmp_path}/out/b.cfg": 0, f"file:{tmp_path}/out/né.cfg": 3}
+    assert (tmp_path / "out" / "né.cfg").read_bytes() == "é\n".encode() and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["b.cfg", "né.cfg", "x"]
+
+
+def test_a_stream_survives_files_above_the_limit(spark, tmp_path):
+    root, out, check = tmp_path / "drop", str(tmp_path / "out"), str(tmp_path / "check")
+    root.mkdir()
+    (root / "a.cfg").write_text("enable secret 5 A\n")
+    (root / "long.cfg").write_text("enable secret 5 A\n" * 1000)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, "1000")
+    try:
+        def run():
+            done = st.sanitize_stream(st.config_stream(spark, str(root))).select("filename", "sanitized", "error")
+            return [sorted((r.filename, r.sanitized, r.error) for r in t.collect()) for t in st.run_with_errors(done, out, check)]
+
+        clean = "enable secret 5 <removed-enable-secret>\n"
+        assert run() == [[("a.cfg", clean, None)], [("long.cfg", None, src.TOO_LONG)]]
+        (root / "b.cfg").write_text("enable secret 5 B\n")
+        assert run() == [[("a.cfg", clean, None), ("b.cfg", clean, None)], [("long.cfg", None, src.TOO_LONG)]]
+    finally:
+        spark.conf.unset(key)
+
+
+def test_rollup_reads_no_earlier_batch(spark, tmp_path):
+    """Two epochs of totals at most, a row a label each; a repeated batch changes nothing."""
+    source, out, check = tmp_path / "drop", tmp_path / "out", tmp_path / "check"
+    source.mkdir()
+    for k in range(6):
+        (source / f"{k}").mkdir()
+        (source / f"{k}" / f"r{k % 2}.cfg").write_text("enable secret 5 A\ntacacs-server key K\n")
+
+    def run():
+        stream = st.config_stream(spark, str(source), files_per_batch=1)
+        rows = st.run_rollup(st.findings_rollup(st.sanitize_stream(stream)), str(out), str(check)).collect()
+        return {r.label: (r.total_count, r.affected_files) for r in rows}
+
+    want = {"Enable secrets": (6, 2), "TACACS keys": (6, 2)}
+    assert run() == want
+    assert sorted(p.name for p in out.iterdir()) == ["epoch=4", "epoch=5"]
+    for name in ("5", ".5.crc"):  # the last batch's commit was lost: it runs again
+        (check / "commits" / name).unlink()
+    assert run() == want
