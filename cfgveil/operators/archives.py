@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cfgveil.functions.text import decode_text, file_name
 from cfgveil.operators.chain import pinned
+from cfgveil.operators.ranking import numbered
 from cfgveil.operators.sanitize import sanitize
 
 # The member functions below travel to the workers by value, so that these need not have
@@ -142,7 +143,10 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows, held = [], 0
     for batch in batches:
-        for path, kind, data in zip(batch["path"], batch["kind"], batch["content"], strict=True):
+        for path, kind, refused, data in zip(batch["path"], batch["kind"], batch["refused"], batch["content"], strict=True):
+            if refused is not None:
+                rows.append((path, None, None, None, None, None, refused))
+                continue
             try:
                 for member in _members(path, kind, data):
                     rows.append((path, *member))
@@ -167,24 +171,14 @@ def expand_archives(archives: DataFrame, *, max_bytes: int = MAX_CELL) -> DataFr
     size = F.col("length") if "length" in archives.columns else F.octet_length("content")
     kind = {"length": size, "kind": archive_type(F.col("path"), F.col("content"))}
     typed = pinned(archives, ["path", "content"], kind)
-    fits = (F.col("length") <= max_bytes) & F.col("content").isNotNull()
-    able = F.coalesce(F.col("kind").isin(*EXPANDABLE), F.lit(False)) & fits
-    opened = typed.filter(able).select("path", "kind", "content").mapInPandas(_expand, MEMBER_SCHEMA)
-    reason = (
+    fits = F.coalesce(F.col("length") <= max_bytes, F.lit(False)) & F.col("content").isNotNull()
+    refused = (
         F.when(F.col("kind").isNull(), "Unsupported archive format")
         .when(~fits, "Archive exceeds the size limit of one cell")
-        .otherwise(F.concat(F.lit("Extraction not supported for "), F.col("kind")))
-    )
-    refused = typed.filter(~able).select(
-        F.col("path").alias("archive"),
-        F.lit(None).cast("string").alias("member"),
-        F.lit(None).cast("bigint").alias("size"),
-        F.lit(None).cast("bigint").alias("compressed_size"),
-        F.lit(None).cast("boolean").alias("encrypted"),
-        F.lit(None).cast("binary").alias("content"),
-        reason.alias("error"),
+        .when(~F.col("kind").isin(*EXPANDABLE), F.concat(F.lit("Extraction not supported for "), F.col("kind")))
     )
-    return opened.unionByName(refused)
+    able = F.when(refused.isNull(), F.col("content"))  # what can't be opened doesn't travel
+    return typed.select("path", "kind", refused.alias("refused"), able.alias("content")).mapInPandas(_expand, MEMBER_SCHEMA)
 
 
 def _pack(kind: str, members: pd.DataFrame) -> bytes:
@@ -293,6 +287,17 @@ def archive_info(members: DataFrame) -> DataFrame:
     )
 
 
+def archive_members(members: DataFrame, *, only_config: bool = False) -> DataFrame:
+    """The member list of each archive in order: archive, position, members (how many), member, is_config.
+
+    With `only_config` the list of its configuration files. An archive of any number of
+    members is numbered by many tasks.
+    """
+    named = members.filter(F.col("member").isNotNull()).select("archive", "member", is_config_file(F.col("member")).alias("is_config"))
+    listed = numbered(named.filter("is_config") if only_config else named, ["archive"], [F.asc("member")])
+    return listed.select("archive", F.col("idx").alias("position"), F.col("total").alias("members"), "member", "is_config")
+
+
 def archive_result(sanitized: DataFrame) -> DataFrame:
     """Per archive: extracted and sanitized files and errors; the errors themselves are `archive_errors`."""
     return sanitized.groupBy("archive").agg(

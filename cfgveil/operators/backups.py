@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cfgveil.functions.text import content_hash, file_stem, file_suffix
-from cfgveil.session import join_lookup
+from cfgveil.session import join_lookup, materialized
 
 # Fixed value: the format of a snapshot's timestamp. Its strings sort by time.
 STAMP = "%Y%m%d_%H%M%S"
@@ -94,16 +94,45 @@ def ancestors(path: Column) -> Column:
     return F.transform(above, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
 
 
+def _place(path: Column) -> Column:
+    """A key whose order puts a folder right before all that lies below it: no path holds NUL."""
+    return F.when(path == "/", F.lit("\0")).otherwise(F.concat(F.replace(path, F.lit("/"), F.lit("\0")), F.lit("\0")))
+
+
 def restore_directory(directories: DataFrame, backups: DataFrame, *, directory: str = "directory") -> DataFrame:
     """Latest snapshot of every file below the requested folders: directory, original_path, backup_path, timestamp.
 
-    A prefix join as an equi-join: every snapshot meets the folders above it through a
-    size-checked lookup, and only those that lie in a wanted folder are shuffled and reduced.
+    A prefix join by one sort. Snapshots are reduced to the newest of each file first. Files and
+    folders are then range-partitioned by place: the last folder before a file is either one
+    that holds it or lies, as the file does, below those that do. So each file takes the
+    requested folders above that last one (a chain no longer than its depth), of its own
+    range or of one before, and keeps those above itself: rows are made for matches only, and
+    a folder that holds most files is spread over as many ranges as these fill.
     """
-    wanted = directories.select(F.regexp_replace(directory, r"(.)/+\z", "$1").alias("directory")).distinct()
-    above = backups.select("original_path", "backup_path", "timestamp", F.explode(ancestors(F.col("original_path"))).alias("directory"))
-    newest = F.max(F.struct("timestamp", "backup_path")).alias("b")
-    return join_lookup(above, wanted, "directory").groupBy("directory", "original_path").agg(newest).select("directory", "original_path", "b.backup_path", "b.timestamp")
+    spark = backups.sparkSession
+    wanted = directories.select(F.regexp_replace(directory, r"(.)/+\z", "$1").alias("directory")).where("directory is not null").distinct()
+    above = wanted.select("directory", F.explode(ancestors(F.col("directory"))).alias("above"))
+    chains = above.join(wanted.select(F.col("directory").alias("above")), "above").groupBy("directory").agg(F.collect_set("above").alias("chain"))
+    newest = latest_backup(backups).where("original_path is not null")
+    empty = F.lit(None)
+    rows = chains.select(_place(F.col("directory")).alias("place"), F.lit(0).alias("kind"), "chain", empty.cast("string").alias("original_path"), empty.cast("string").alias("backup_path"), empty.cast("string").alias("timestamp")).unionByName(
+        newest.select(_place(F.col("original_path")).alias("place"), F.lit(1).alias("kind"), empty.cast("array<string>").alias("chain"), "original_path", "backup_path", "timestamp")
+    )
+    # Written, so that ranges and what is carried between them come from one layout.
+    laid = materialized(rows.repartitionByRange("place", "kind").withColumn("range", F.spark_partition_id()), "places")
+    # One small row a range: the chain that is open at its beginning.
+    last = laid.groupBy("range").agg(F.max_by("chain", F.when(F.col("kind") == 0, F.col("place"))).alias("chain"))
+    ends = sorted(last.collect(), key=lambda r: r["range"])
+    open_, carried = None, []
+    for r in ends:
+        carried.append((r["range"], open_))
+        open_ = r["chain"] if r["chain"] is not None else open_
+    before = spark.createDataFrame(carried, "range int, carried array<string>")
+    here = F.last("chain", ignorenulls=True).over(Window.partitionBy("range").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    files = laid.withColumn("here", here).where("kind = 1").join(F.broadcast(before), "range")
+    path = F.col("original_path")
+    holds = lambda d: (path == d) | F.startswith(path, F.when(d == "/", F.lit("/")).otherwise(F.concat(d, F.lit("/"))))
+    return files.select(F.explode(F.filter(F.coalesce("here", "carried"), holds)).alias("directory"), "original_path", "backup_path", "timestamp")
 
 
 def list_backups(backups: DataFrame, path: str | None = None) -> DataFrame:

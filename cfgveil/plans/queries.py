@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cfgveil import jobs, packs
 from cfgveil.functions import text as tx
 from cfgveil.functions.logs import redact_log
+from cfgveil.functions.sql import register_pack
 from cfgveil.operators import accounts as acc
 from cfgveil.operators import archives as arc
 from cfgveil.operators import backups as bak
@@ -22,7 +23,7 @@ from cfgveil.operators import report as rep
 from cfgveil.operators import sanitize as san
 from cfgveil.operators.ranking import numbered
 from cfgveil.plans import fixtures as fx
-from cfgveil.rules import Rule, custom_rules
+from cfgveil.rules import Rule, RulePack, custom_rules, library_rules, pack_from_settings, rules_frame
 from cfgveil.session import materialized, new_dir
 from cfgveil.sinks import files as sinks
 from cfgveil.sources import files as src
@@ -215,6 +216,19 @@ def rule_audit(spark, sf_dir):
     return audited.select(_long("ordinal"), "rule", "valid", "recursion_risk", "hits", "files")
 
 
+RISKY = (
+    Rule("doubled", r"(?:[a-z]+)+;", "x"), Rule("either", r"(?:o|w|ow)*ner!", "x"), Rule("twice", r"\d+\d+x", "x"), Rule("plain", r"owner (\S+)", "x"),
+    Rule("spaces", r"owner\s*\n?\s*#", "x"), Rule("done", r"owner(\s*)(\S*)", "x"),
+)
+
+
+@query
+def rule_ambiguity(spark, sf_dir):
+    """Rules whose patterns can read one text in many ways, beside what they find."""
+    audited = det.rule_audit(fx.configs(spark, sf_dir), [*RISKY, *packs.VENDOR_PACKS["cisco"].rules])
+    return audited.select(_long("ordinal"), "rule", "valid", "ambiguity", (F.col("witness").isNotNull()).alias("shown"), "hits", "files")
+
+
 @query
 def pack_coverage(spark, sf_dir):
     covered = det.pack_coverage(fx.configs(spark, sf_dir), packs.VENDOR_PACKS)
@@ -227,6 +241,109 @@ def pack_coverage_library(spark, sf_dir):
     return covered.select("pack", _long("rules"), _long("rules_hit"), "hits", "files")
 
 
+@query
+def detection_preview(spark, sf_dir):
+    """The first matches of each rule and text."""
+    found = det.detection_preview(fx.configs(spark, sf_dir), ["path"], LINE_PACK)
+    return found.select("path", _long("ordinal"), "rule", _long("position"), "value")
+
+
+LINE_PACK = packs.LIBRARY.override(library_rules({"any_line": {"pattern": r"(?m)^ ?(\w+)", "replacement": "x"}}))
+
+# Rules for tables that hold no device configuration.
+PAGE_RULES = RulePack("pages", library_rules({
+    "link": {"pattern": r'href="([^"]*)"', "replacement": 'href=""', "literals": ["href="]},
+    "script": {"pattern": r"<script>[^<]*", "replacement": "<script>", "literals": ["<script>"]},
+    "comment": {"pattern": r"<!-- (\w+ \d+) -->", "replacement": "", "literals": ["<!--"]},
+}))
+TALK_RULES = RulePack("talk", library_rules({
+    "the": {"pattern": r"\b(the|of)\b", "replacement": "-", "flags": ["IGNORECASE"]},
+    "capital": {"pattern": r"(?m)^[A-Z][a-z]+", "replacement": "X"},
+}))
+
+
+def _other_text_queries(name: str, pack: RulePack) -> None:
+    def detect(spark, sf_dir):
+        found = det.detect_secrets(fx.raw_text(spark, sf_dir, name), ["id"], pack)
+        return found.select("id", _long("ordinal"), "rule", _long("position"), "value")
+
+    def stats(spark, sf_dir):
+        return det.pattern_stats(fx.raw_text(spark, sf_dir, name), ["id"], pack).select("id", _long("ordinal"), "rule", "n")
+
+    for run, prefix in ((detect, "detect_custom"), (stats, "pattern_stats_custom")):
+        run.__name__ = f"{prefix}_{name}"
+        query(run)
+
+
+_other_text_queries("pages", PAGE_RULES)
+_other_text_queries("conversations", TALK_RULES)
+
+
+@query
+def detect_secrets_indexed(spark, sf_dir):
+    """As detect_secrets, each text meeting only the rules whose literal it holds."""
+    found = det.detect_secrets_indexed(fx.configs(spark, sf_dir), ["path"], packs.LIBRARY.rules)
+    return found.select("path", _long("ordinal"), "rule", _long("position"), "value")
+
+
+# As many rules as anyone keeps: half of them ignore case, one names no literal.
+MANY_RULES = tuple(
+    Rule(f"host_{k}", rf"hostname R-{k}\b", "hostname X", flags=("IGNORECASE",) if k % 2 else (), literals=(f"hostname r-{k}" if k % 2 else f"hostname R-{k}",))
+    for k in range(500)
+) + (Rule("interface", r"interface \S+", "interface X"),)
+
+
+@query
+def pattern_stats_indexed(spark, sf_dir):
+    """501 rules in one pass."""
+    return det.pattern_stats_indexed(fx.configs(spark, sf_dir), ["path"], MANY_RULES).select("path", _long("ordinal"), "rule", "n")
+
+
+# Packs of a user's own, and in SQL -------------------------------------------------------
+
+
+MERGED = packs.SAMPLE_BASIC.merge(pack_from_settings("own", {
+    "patterns": {
+        "vtp": {"pattern": r"vtp password (\S+)", "replacement": "vtp password <gone>", "description": "VTP"},
+        packs.SAMPLE_BASIC.rules[0].name: {"pattern": r"(?m)^! owner .*$", "replacement": "! owner <gone>"},
+    },
+    "service_accounts": ["admin"],
+    "personal_accounts": ["zoe", "adam"],
+}))
+
+
+@query
+def sanitize_merged_pack(spark, sf_dir):
+    """A sample pack merged with a user's settings: one rule new, one in the place of a sample's."""
+    return _rewritten(san.sanitize(fx.configs(spark, sf_dir), custom=MERGED, personal=(), service=()))
+
+
+@query
+def rules_table(spark, sf_dir):
+    """How often each rule of the merged pack hits, joined to the pack as a table."""
+    rules = rules_frame(spark, [MERGED])
+    hits = det.pattern_stats(fx.configs(spark, sf_dir), ["path"], MERGED).groupBy(F.col("rule").alias("name")).agg(F.sum("n").alias("hits"))
+    return rules.join(hits, "name", "left").select("pack", _long("ordinal"), "name", "pattern", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
+
+
+@query
+def sql_sanitize(spark, sf_dir):
+    """The built-in pack as a SQL function."""
+    text, *_ = register_pack(spark, packs.BUILTIN, "cfgveil_builtin")
+    return spark.sql(f"SELECT path, {text}(content) AS sanitized FROM {{configs}}", configs=fx.configs(spark, sf_dir))
+
+
+@query
+def sql_findings(spark, sf_dir):
+    """The library as a SQL table function, joined to the rules as another."""
+    _, findings, rules = register_pack(spark, packs.LIBRARY, "cfgveil_library")
+    return spark.sql(
+        f"""SELECT c.path, cast(f.ordinal AS bigint) AS ordinal, r.rule, cast(f.position AS bigint) AS position, f.value
+        FROM {{configs}} c, LATERAL {findings}(c.content) f JOIN {rules}() r ON r.ordinal = f.ordinal""",
+        configs=fx.configs(spark, sf_dir),
+    )
+
+
 # Accounts ---------------------------------------------------------------------------
 
 
@@ -334,6 +451,30 @@ def secrets_by_type(spark, sf_dir):
     return rep.secrets_by_type(_run(spark, sf_dir))
 
 
+@query
+def secrets_by_type_merged(spark, sf_dir):
+    """Stored sketches of five parts of the corpus added up, beside the exact counts; how far the estimate is off."""
+    done = _run(spark, sf_dir, "path", "filename", "vendor", "content")
+    parts = materialized(rep.label_sketches(done, ["vendor"]), "sketches")
+    merged = rep.merged_sketches(parts).withColumnRenamed("affected_files", "estimate")
+    both = rep.secrets_by_type(done).join(merged.drop("total_count"), "label").join(merged.select("label", F.col("total_count").alias("merged_count")), "label")
+    near = F.abs(F.col("estimate") - F.col("affected_files")) <= 0.1 * F.col("affected_files")
+    return both.select("label", "total_count", "merged_count", "affected_files", near.alias("near"))
+
+
+@query
+def results_written(spark, sf_dir):
+    """Results written as JSON lines and as CSV, read back and compared."""
+    rows = materialized(_results(spark, sf_dir), "results")
+    as_json, as_csv = new_dir(spark, "json"), new_dir(spark, "csv")
+    sinks.write_results_json(rows, as_json, stats_out=new_dir(spark, "stats"))
+    sinks.write_results_csv(rows, as_csv)
+    read = spark.read.schema("file string, modified boolean, change_count bigint, error string").json(as_json)
+    lines = spark.read.option("header", "true").csv(as_csv)
+    counted = lines.groupBy(F.col("File").alias("name"), F.col("Changes").cast("bigint").alias("change_count")).agg(F.count(F.lit(1)).alias("lines"))
+    return read.withColumn("name", tx.file_name(F.col("file"))).join(counted, ["name", "change_count"], "left").select("file", "modified", "change_count", "error", "lines")
+
+
 @query
 def results(spark, sf_dir):
     rows = _results(spark, sf_dir)
@@ -497,6 +638,14 @@ def roundtrip_volumes(spark, sf_dir):
     return opened.select(F.substring_index("archive", "#", 1).alias("archive"), "member", "size", F.md5("content").alias("digest"))
 
 
+@query
+def roundtrip_flat(spark, sf_dir):
+    """Members packed without their folders."""
+    packed = arc.repack_archives(_members(spark, sf_dir), "zip", preserve_structure=False)
+    opened = arc.expand_archives(packed.select(F.col("archive").alias("path"), "content"))
+    return opened.select("archive", "member", "size", F.md5("content").alias("digest"))
+
+
 @query
 def archive_types_by_content(spark, sf_dir):
     """Types by leading bytes: packed archives under a name without a suffix."""
@@ -550,6 +699,20 @@ def archive_info(spark, sf_dir):
     return info.select("archive", "total_files", "config_files", "size_mb", "encrypted")
 
 
+@query
+def archive_members(spark, sf_dir):
+    """The ordered list of the members of each archive."""
+    rows = arc.archive_members(arc.expand_archives(_archives(spark, sf_dir, "zip")))
+    return rows.select("archive", "position", "members", "member", "is_config")
+
+
+@query
+def archive_config_files(spark, sf_dir):
+    """The ordered list of its configuration files."""
+    plain = arc.expand_archives(_archives(spark, sf_dir, "zip")).withColumn("member", F.regexp_replace("member", "^cfg/", "data/"))
+    return arc.archive_members(plain, only_config=True).select("archive", "position", "members", "member")
+
+
 @query
 def sanitize_archives(spark, sf_dir):
     """Expand, sanitize the configuration members, pass the others through, pack, expand again."""
@@ -676,6 +839,18 @@ def restore_files(spark, sf_dir):
     return bak.restore_files(wanted, fx.backups(spark, sf_dir))
 
 
+@query
+def restore_contents(spark, sf_dir):
+    """Files saved on two days, changed in between, and their contents restored as of the first day."""
+    table = new_dir(spark, "backups")
+    rows = fx.configs(spark, sf_dir, "path", "content")
+    bak.append_backup(rows, table, "/backups", NOW.replace(day=30))
+    bak.append_backup(rows.withColumn("content", F.concat("content", F.lit("! changed\n"))), table, "/backups", NOW)
+    wanted, catalog = _requested(spark, sf_dir), bak.read_catalog(spark, table)
+    days = [bak.restore_files(wanted, catalog, day).withColumn("day", F.lit(day)) for day in ("20240130", "2024")]
+    return days[0].unionByName(days[1]).select("day", "path", "timestamp", "restored", F.md5("content").alias("digest"))
+
+
 @query
 def restore_directory(spark, sf_dir):
     folders = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("/configs/"), "event_type", F.lit("/")).alias("directory")).distinct()

@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cfgveil.functions.ambiguity import Ambiguity, ambiguity
 from cfgveil.functions.dialect import capture_groups, java_pattern, java_replacement
 
 RULE_SCHEMA = (
@@ -233,3 +234,11 @@ _RECURSIVE_GROUP = re.compile(r"\((?:\?:)?[^()]*(?:\||\\n|\n)[^()]*\)[*+]\??(?!\
 
 def recursion_risk(rule: Rule) -> bool:
     return rule.engine_pattern is None and bool(_RECURSIVE_GROUP.search(rule.pattern))
+
+
+def rule_ambiguity(rule: Rule) -> Ambiguity:
+    """Whether the pattern that runs can read a text in many ways."""
+    flags = re.NOFLAG
+    for letter, flag in (("i", re.IGNORECASE), ("m", re.MULTILINE), ("s", re.DOTALL)):
+        flags |= flag if letter in rule._prefix().split(")")[0] else re.NOFLAG
+    return ambiguity(rule.engine_pattern or rule.pattern, flags)

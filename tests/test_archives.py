@@ -165,7 +165,7 @@ def test_worker_functions_need_no_installed_package(tmp_path):
     code = (
         "import pickle, pandas as pd\n"
         "expand, pack = pickle.load(open('f.pkl', 'rb'))\n"
-        "batch = pd.DataFrame({'path': ['z.zip'], 'kind': ['zip'], 'content': [open('z.zip', 'rb').read()]})\n"
+        "batch = pd.DataFrame({'path': ['z.zip'], 'kind': ['zip'], 'refused': [None], 'content': [open('z.zip', 'rb').read()]})\n"
         "members = pd.concat(expand(iter([batch])))\n"
         "print(len(members), len(pack('tar.gz', members)) > 0)\n"
     )

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -89,3 +90,25 @@ def test_drop_expired_removes_days_and_rewrites_the_boundary(spark, tmp_path):
     (tmp_path / "backups" / "_old-2024-01-16").mkdir()
     assert bak.drop_expired(spark, table, now, 15) == []
     assert sorted(map(tuple, bak.read_catalog(spark, table).select("backup_path", "original_path", "content").collect())) == wanted
+
+
+def test_restore_directory_against_brute_force(spark):
+    """Nested, root, equal, absent and look-alike folders, in few and in many ranges."""
+    rnd = random.Random(11)
+    part = lambda: rnd.choice(["a", "b", "a-x", "a b", "é", "a0", "~"])
+    paths = sorted({"/" + "/".join(part() for _ in range(rnd.randint(1, 5))) for _ in range(300)}) + ["rel/a", "rel"]
+    folders = sorted({p.rsplit("/", rnd.randint(0, 3))[0] or "/" for p in rnd.sample(paths, 60)}) + ["/", "/none", "/a/", "rel", None]
+    rows = [(f"/b/{k}{d}", p, f"2024010{d}_000000", "h", True, 1) for k, p in enumerate(paths) for d in range(1, 4)]
+    catalog = spark.createDataFrame(rows, "backup_path string, original_path string, timestamp string, file_hash string, compressed boolean, size bigint").repartition(5)
+    names = {f.rstrip("/") or "/" for f in folders if f}
+    below = lambda f, p: p == f or p.startswith("/" if f == "/" else f + "/")
+    want = sorted((f, p, "20240103_000000") for f in names for p in paths if below(f, p))
+    for n in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = bak.restore_directory(spark.createDataFrame([(f,) for f in folders], "directory string"), catalog).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert sorted((r.directory, r.original_path, r.timestamp) for r in got) == want
+    assert bak.restore_directory(spark.createDataFrame([], "directory string"), catalog).collect() == []
+    assert bak.restore_directory(spark.createDataFrame([("/",)], "directory string"), catalog.limit(0)).collect() == []

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cfgveil import BUILTIN
 from cfgveil.operators import accounts as acc
@@ -59,6 +60,18 @@ def test_distinct_files_are_counted_in_two_steps(spark):
     assert re.search(r"hashpartitioning\(label#\d+, filename#\d+", text)
 
 
+def test_archives_are_opened_once(spark):
+    packed = arc.repack_archives(fx.configs(spark, SF, "archive", "member", "content"), "zip").select(F.col("archive").alias("path"), "content")
+    text = optimized(arc.archive_info(arc.expand_archives(packed)))
+    assert text.count("FlatMapGroupsInPandas") == 1 and text.count("MapInPandas") == 1
+
+
+def test_a_report_reads_its_results_once(spark):
+    done = san.sanitize(fx.configs(spark, SF, "path", "filename", "archive", "content")).select("archive", "path", "filename", "modified", "change_count", "findings")
+    text = plan(rep.security_report(done, "now"))
+    assert text.count("FileScan parquet") == 1 and "Join" not in text
+
+
 def test_shared_folder_is_named_or_refused():
     from types import SimpleNamespace
 

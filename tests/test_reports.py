@@ -98,3 +98,17 @@ def test_top_changed_and_stats(run):
     assert [r.change_count for r in top] == sorted((r.change_count for r in run.collect()), reverse=True)[:5]
     s = rep.run_stats(rows).first()
     assert (s.files_processed, s.files_modified, s.errors) == (120, run.filter("modified").count(), 0)
+
+
+def test_sketches_add_up(spark):
+    """Parts counted on their own and added up are within the stated error of one run over all."""
+    rows = [(f"/d{d}/f{k}.cfg", f"f{k}.cfg", d, "enable secret 5 A\n" * (1 + k % 2)) for d in range(3) for k in range(d * 400, 2000 + d * 400)]
+    done = san.sanitize(spark.createDataFrame(rows, "path string, filename string, day int, content string"))
+    whole = rep.secrets_by_type(done).collect()
+    merged = rep.merged_sketches(rep.label_sketches(done, ["day"])).collect()
+    assert [(r.label, r.total_count) for r in merged] == [(r.label, r.total_count) for r in whole]
+    assert whole[0].affected_files == 2800 and abs(merged[0].affected_files - 2800) < 3 * 0.02 * 2800
+    days = {r.day: r.affected_files for r in rep.merged_sketches(rep.label_sketches(done, ["day"]), ["day"]).collect()}
+    assert set(days) == {0, 1, 2} and all(abs(n - 2000) < 3 * 0.02 * 2000 for n in days.values())
+    few = rep.merged_sketches(rep.label_sketches(done.where("filename in ('f1.cfg', 'f900.cfg')"))).first()
+    assert few.affected_files == 2
