@@ -70,30 +70,34 @@ def failures() -> dict[str, Column]:
     }
 
 
-def host_verdicts(stats: DataFrame, host: str, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(stats: DataFrame, host: str, deviations: float = 1.0) -> DataFrame:
     """(host, n_docs, rate_<rule>..., rejected): shrunk failure rates of every host.
 
     Each rule's rates over hosts give a beta prior by the method of moments (mean and
     variance of the rates, hosts counted alike); a host's rate is its posterior mean, so a
-    host with few documents stays near the others. A host is rejected if any shrunk rate is
-    above `max_rate`. Rates without spread (one host, or all alike) take a prior of the mean
-    that weighs as much as 100 documents.
+    host with few documents stays near the others. A host is rejected if some rule's shrunk rate
+    lies more than `deviations` of its posterior standard deviations above the mean of the
+    hosts (one: the host is worse than the corpus with a probability of about 0.84). Rates
+    without spread (one host, or all alike) take a prior of the mean that weighs as much as
+    100 documents.
     """
     fails = failures()
     counts = stats.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(fails[r].cast("long")).alias(f"k_{r}") for r in RULES])
     rate = {r: F.col(f"k_{r}") / F.col("n_docs") for r in RULES}
     prior = counts.agg(*[f.alias(f"{k}_{r}") for r in RULES for k, f in (("m", F.avg(rate[r])), ("v", F.var_pop(rate[r])))])
     joined = counts.crossJoin(F.broadcast(prior))  # one row
-    out = []
+    worse = F.lit(False)
     for r in RULES:
         m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
         weight = F.when((v > 0) & (m * (1 - m) > v), m * (1 - m) / v - 1).otherwise(F.lit(100.0))
-        out.append(((F.col(f"k_{r}") + m * weight) / (F.col("n_docs") + weight)).alias(f"rate_{r}"))
-    rates = joined.select(host, "n_docs", *out)
-    return rates.withColumn("rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_rate)
+        shrunk, above = (F.col(f"k_{r}") + m * weight) / (F.col("n_docs") + weight), F.col(f"rate_{r}") - m
+        joined = joined.withColumns({f"rate_{r}": shrunk, f"weight_{r}": weight})
+        spread = F.col(f"rate_{r}") * (1 - F.col(f"rate_{r}"))
+        worse = worse | ((above > 0) & (above * above * (F.col("n_docs") + F.col(f"weight_{r}") + 1) > deviations * deviations * spread))
+    return joined.select(host, "n_docs", *[f"rate_{r}" for r in RULES], worse.alias("rejected"))
 
 
-def quality(df: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", *, max_rate: float = 0.5) -> DataFrame:
+def quality(df: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", *, deviations: float = 1.0) -> DataFrame:
     """Judge every document by its own text and by its host.
 
     Returns (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -108,7 +112,7 @@ def quality(df: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
     """
     kept = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
     stats, _ = stored(document_stats(kept, "text", ["id", "host"]), "stats")
-    hosts, _ = stored(host_verdicts(stats, "host", max_rate).select(F.col("host").alias("of"), F.col("rejected")), "hosts")
+    hosts, _ = stored(host_verdicts(stats, "host", deviations).select(F.col("host").alias("of"), F.col("rejected")), "hosts")
     judged = join_checked(stats, hosts, {"host": "of"}, "left", 100)
     fails = failures()
     base = fails["short"] | fails["repetitive"]

@@ -26,7 +26,8 @@ _RATES = {
     "lines": "10 * n_dup_lines > 3 * greatest(n_words / 10, 1.0)",
     "word_length": "word_chars > 15 * n_words OR word_chars < 2 * n_words",
 }
-_SHRUNK = {r: f"(k_{r} + m_{r} * w_{r}) / (n_docs + w_{r})" for r in _RATES}
+_SHRUNK = {r: f"((k_{r} + m_{r} * w_{r}) / (n_docs + w_{r}))" for r in _RATES}
+_WORSE = {r: f"({x} > m_{r} AND ({x} - m_{r}) * ({x} - m_{r}) * (n_docs + w_{r} + 1) > {x} * (1 - {x}))" for r, x in _SHRUNK.items()}
 
 SQL["op4_host_quality"] = f"""
 WITH split AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
@@ -42,7 +43,7 @@ WITH split AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_al
      hosts AS (SELECT source, count(*) AS n_docs, {", ".join(f"count(*) FILTER ({c}) AS k_{r}" for r, c in _RATES.items())} FROM stats GROUP BY source),
      moments AS (SELECT {", ".join(f"avg(k_{r} / n_docs) AS m_{r}, var_pop(k_{r} / n_docs) AS v_{r}" for r in _RATES)} FROM hosts),
      prior AS (SELECT {", ".join(f"m_{r}, CASE WHEN v_{r} > 0 AND m_{r} * (1 - m_{r}) > v_{r} THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE 100.0 END AS w_{r}" for r in _RATES)} FROM moments),
-     verdicts AS (SELECT source, greatest({", ".join(_SHRUNK.values())}) > 0.5 AS rejected FROM hosts, prior)
+     verdicts AS (SELECT source, {" OR ".join(_WORSE.values())} AS rejected FROM hosts, prior)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        ({_RATES["short"]} OR {_RATES["repetitive"]}) AS base_failed, rejected AS host_rejected,
        NOT ({_RATES["short"]} OR {_RATES["repetitive"]}) AND NOT (rejected AND ({_RATES["symbols"]} OR {_RATES["lines"]} OR {_RATES["word_length"]})) AS kept

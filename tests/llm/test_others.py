@@ -58,6 +58,15 @@ def test_host_rates_shrink(spark):
     assert 0.8 < got["spam"].rate_short < 0.9 + 1e-9 and got["small"].rate_short < 1  # pulled to the others
 
 
+def test_hosts_decide(spark):
+    """On the given table some hosts are rejected, and some of their documents go that the base rules would keep."""
+    for sf in ("sf0.01", "sf0.1"):
+        rows = quality(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+        lost = [r for r in rows if not r.base_failed and not r.kept]
+        assert lost and all(r.host_rejected for r in lost)
+        assert any(r.host_rejected and r.kept for r in rows) and any(not r.host_rejected for r in rows)
+
+
 def test_bounds_are_optimal():
     rnd = random.Random(1)
     for _ in range(200):
