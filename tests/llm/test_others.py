@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -20,7 +21,7 @@ from cfgveil.llm.decontamination import RADIUS, HammingIndex, contaminated, with
 from cfgveil.llm.host_rules import host_verdicts, keep_good, quality
 from cfgveil.llm.packing import bucket_bounds, pack, token_counts
 from cfgveil.llm.sharding import balanced_shards
-from cfgveil.llm.toxicity import LexiconAutomaton, Reader, _codes, mine_lexicon, toxicity
+from cfgveil.llm.toxicity import LexiconAutomaton, Reader, _codes, mine_lexicon, mine_reporting, toxicity, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -266,11 +267,75 @@ def test_automaton():
 
 
 def test_context_features():
-    reader = Reader(["idiot"])
+    reader = Reader(["idiot"], ["said"])
     texts = ["You Idiot!", 'he said "idiot" twice', "an idoit", None, "", "idiotic idiots", 'open " idiot']
     assert reader.features(texts).tolist() == [[1, 0, 0, 0], [1, 0, 1, 1], [0, 1, 0, 0], [0] * 4, [0] * 4, [0, 1, 0, 0], [1, 0, 0, 0]]
 
 
+def brute_features(text, terms, reporting):
+    """Word by word and line by line."""
+    out, before = [0, 0, 0, 0], []
+    for k, line in enumerate((text or "").lower().split("\n")):
+        for m in re.finditer(r"[^\W_]+", line):
+            for word, at in _brute_words(m):
+                fuzzy = any(len(t) >= 5 and edit_distance(word, t) == 1 for t in terms)
+                if word in terms or fuzzy:
+                    quotes = lambda part: sum(part.count(c) for c in '"“”«»')
+                    out[0 if word in terms else 1] += 1
+                    out[2] += quotes(line[:at]) % 2 == 1 and quotes(line[at + len(word) :]) > 0
+                    out[3] += any(w in reporting for w in before[-4:])
+                before.append(word)
+    return out
+
+
+def _brute_words(m):
+    for part in re.finditer("[぀-ヿ㐀-䶿一-鿿𠀀-\U0003ffff]+|[^぀-ヿ㐀-䶿一-鿿𠀀-\U0003ffff]+", m.group()):
+        word, at = part.group(), m.start() + part.start()
+        if len(word) > 1 and re.match("[぀-ヿ㐀-䶿一-鿿𠀀-\U0003ffff]", word):
+            yield from ((word[i : i + 2], at + i) for i in range(len(word) - 1))
+        else:
+            yield word, at
+
+
+def test_features_against_brute_force():
+    rnd = random.Random(21)
+    terms, reporting = ["idiot", "笨蛋", "дурак", "trottel", "바보", "qz"], ["said", "说了"]
+    bits = ["idiot", "idoit", "Idiots", "trotel", "trottel", "дурак", "дурок", "笨蛋", "他说了笨蛋吗", "바보", "said", '"', "“", "»", "\n", " ", ", ", "x", "qz", "_", "你", "３idiot", "İ", "𠀀𠀁"]
+    texts = [None, ""] + ["".join(rnd.choice(bits) + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    got = Reader(terms, reporting).features(texts)
+    assert got.tolist() == [brute_features(t, terms, reporting) for t in texts]
+    assert got[:, 0].sum() > 100 and got[:, 1].sum() > 50 and got[:, 2].sum() > 20 and got[:, 3].sum() > 20
+
+
+def test_words_are_found_alike():
+    rnd = random.Random(22)
+    reader = Reader(["x"])
+    for _ in range(300):
+        text = "".join(rnd.choice("aÉß1_ .\n你好あア𠀀바é") for _ in range(rnd.randint(0, 30))).lower()
+        starts, ends = reader.spans(_codes(text)) if text else ([], [])
+        assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == words_of(text)
+
+
+def test_long_lines_take_linear_time():
+    line = 'he said "you idiot" and more of it, ' * 280_000  # 10 MB without a line end
+    start = time.perf_counter()
+    assert Reader(["idiot"], ["said"]).features([line]).tolist() == [[280_000, 0, 280_000, 280_000]]
+    assert time.perf_counter() - start < 60
+
+
+def test_any_script_is_learned(spark):
+    """A term, and the words that tell of quoted speech, in a script without blanks."""
+    rnd = random.Random(23)
+    rows = [(i, "".join(rnd.choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(30)) + ("笨蛋" if i % 4 == 0 else "") + "".join(rnd.choice("辰宿列张") for _ in range(5))) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity(df, labels).collect()
+    assert all(r.predicted == (r.doc_id % 4 == 0) for r in got if r.held_out)
+    talk = [(f"w{rnd.randint(0, 99)} " * 9 + ("narrator told of idiot" if i % 2 else "you are idiot"), 1 - i % 2) for i in range(200)]
+    found = mine_reporting(spark.createDataFrame(talk, "text string, toxic int"), ["idiot"])
+    assert {"narrator", "told", "of"} <= set(found) and "are" not in found
+
+
 def test_toxicity(spark, edges, empty):
     rnd = random.Random(6)
     rows, labels = [], []
