@@ -20,8 +20,8 @@ RADIUS = 40
 PARTS = 8  # blocks of 16 bits; within RADIUS some block differs in RADIUS // PARTS bits at most
 # Items are searched for in groups of at most this many bytes, one pass over the documents each.
 ITEM_BYTES = 64 << 20
-MAX_ITEMS = 2048  # items in one pass, about: the index takes 64 KB for each
 FEW = 8  # fingerprints that are compared one by one, without tables
+DENSE = 2048  # fingerprints up to which an index has bit tables, 64 KB for each; beyond, sorted block values
 
 
 def plain(data: np.ndarray) -> np.ndarray:
@@ -51,35 +51,59 @@ def _near_values(radius: int) -> np.ndarray:
 class HammingIndex:
     """Multi-index of fingerprints: finds all within the radius of a query, by the pigeonhole rule.
 
-    Each of PARTS blocks has a table from 16-bit values to the items whose block lies within
-    RADIUS // PARTS bits. Two fingerprints within RADIUS agree so far in one block at least.
-    The tables take 64 KB for each item; fewer than FEW items have none.
+    Two fingerprints within RADIUS differ in RADIUS // PARTS bits at most in one block at least.
+    Up to `dense` fingerprints each of PARTS blocks has a table from 16-bit values to the items
+    whose block lies so near (64 KB for each; fewer than FEW have none). More of them are
+    sorted by block value, 4 bytes for each and block, and a query looks up all values near
+    its own. Both find the same pairs.
     """
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, dense: int = DENSE) -> None:
         self.prints, self.radius = prints, radius
         self.blocks = prints.view(np.uint16).reshape(-1, PARTS)
-        near = _near_values(radius // PARTS)
-        self.tables = []
+        self.near = _near_values(radius // PARTS)
+        self.tables, self.sorted = [], []
+        if len(prints) > dense:
+            for part in range(PARTS):
+                order = np.argsort(self.blocks[:, part], kind="stable").astype(np.int32)
+                bounds = np.searchsorted(self.blocks[order, part], np.arange((1 << 16) + 1)).astype(np.int32)
+                self.sorted.append((order, bounds))
+            return
         for part in range(PARTS if len(prints) >= FEW else 0):
             mask = np.zeros((1 << 16, (len(prints) + 7) // 8), np.uint8)
             for item in range(len(prints)):
-                mask[near ^ self.blocks[item, part], item >> 3] |= np.uint8(1 << (item & 7))
+                mask[self.near ^ self.blocks[item, part], item >> 3] |= np.uint8(1 << (item & 7))
             self.tables.append(mask)
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs within the radius."""
-        if not self.tables:
+        if self.sorted:
+            found = [self._near(values) for values in queries.view(np.uint16).reshape(-1, PARTS)]
+            q = np.repeat(np.arange(len(queries)), [len(f) for f in found])
+            i = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
+        elif not self.tables:
             return np.nonzero(np.bitwise_count(queries[:, None] ^ self.prints[None]).sum(axis=2) <= self.radius)
-        values = queries.view(np.uint16).reshape(-1, PARTS)
-        met = self.tables[0][values[:, 0]]
-        for part in range(1, PARTS):
-            met = met | self.tables[part][values[:, part]]
-        q, i = np.nonzero(np.unpackbits(met, axis=1, bitorder="little")[:, : len(self.prints)])
+        else:
+            values = queries.view(np.uint16).reshape(-1, PARTS)
+            met = self.tables[0][values[:, 0]]
+            for part in range(1, PARTS):
+                met = met | self.tables[part][values[:, part]]
+            q, i = np.nonzero(np.unpackbits(met, axis=1, bitorder="little")[:, : len(self.prints)])
         away = np.bitwise_count(queries[q] ^ self.prints[i]).sum(axis=1)
         ok = away <= self.radius
         return q[ok], i[ok]
 
+    def _near(self, values: np.ndarray) -> np.ndarray:
+        """The items that have some block near that of the query."""
+        met = np.zeros(len(self.prints), bool)
+        for (order, bounds), value in zip(self.sorted, values, strict=True):
+            wanted = self.near ^ value
+            first, last = bounds[wanted], bounds[wanted + 1]
+            some = last > first
+            first, n = first[some], (last - first)[some]
+            met[order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]] = True
+        return np.flatnonzero(met)
+
 
 class Items:
     """Benchmark items by window length, with their shingles, and one Hamming index per length."""
@@ -100,12 +124,15 @@ class Items:
             flat = np.concatenate([np.repeat(v, c) for _, v, c in items])
             ends_ = np.cumsum([c.sum() for _, _, c in items])
             self.by_length[n] = (items, HammingIndex(simhash(flat, np.r_[0, ends_])))
-        self.lengths: dict[int, set[int]] = defaultdict(set)  # of the items that hold a shingle
-        for n, (items, _) in self.by_length.items():
-            for _, values, _ in items:
-                for v in values.tolist():
-                    self.lengths[v].add(n)
-        self.known = np.unique(hashed)
+        # The lengths of the items that hold a shingle, shingle by shingle.
+        held = [(v, np.full(len(v), n)) for n, (items, _) in self.by_length.items() for _, v, _ in items]
+        value, length = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, U), np.zeros(0, np.int64))
+        order = np.lexsort((length, value))
+        value, length = value[order], length[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (length[1:] != length[:-1])
+        self.known, self.first = np.unique(value[new], return_index=True)
+        self.first, self.length = np.append(self.first, new.sum()), length[new]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> U(44)).astype(np.int64)] = True
 
@@ -114,6 +141,12 @@ class Items:
         at = np.flatnonzero(self.filter[(hashed >> U(44)).astype(np.int64)])
         return at[np.isin(hashed[at], self.known)]
 
+    def lengths(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into `hashed`, length) for every length of an item that holds the shingle; all are known ones."""
+        k = np.searchsorted(self.known, hashed)
+        n = self.first[k + 1] - self.first[k]
+        return np.repeat(np.arange(len(hashed)), n), self.length[np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
 
 def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
     """Weighted Jaccard similarity of two multisets (sorted values, counts)."""
@@ -129,17 +162,15 @@ def _matches(hashed: np.ndarray, hits: np.ndarray, n_words: int, items: Items, s
     windows of w shingles have similarity s only if they share 2 w s / (1 + s); so windows
     with fewer hits of items of their length cannot match and are not fingerprinted.
     """
-    by_length = defaultdict(list)
-    for at, value in zip(hits.tolist(), hashed[hits].tolist(), strict=True):
-        for length in items.lengths[value]:
-            by_length[length].append(at)
-    for length, at_hits in sorted(by_length.items()):
+    of, lengths = items.lengths(hashed[hits])
+    for length in np.unique(lengths).tolist():
+        at_hits = hits[of[lengths == length]]
         rows, index = items.by_length[length]
         if length > n_words or (length < size and length != n_words):
             continue
         width = max(1, length - size + 1)  # shingles of a window
         hit = np.zeros(len(hashed) + 1, np.int64)
-        hit[np.array(at_hits) + 1] = 1
+        hit[at_hits + 1] = 1
         seen = np.cumsum(hit)
         starts = np.flatnonzero((100 + percent) * (seen[width:] - seen[: len(seen) - width]) >= 2 * width * percent)
         best: dict[int, tuple[float, int]] = {}
@@ -159,7 +190,7 @@ def _matches(hashed: np.ndarray, hits: np.ndarray, n_words: int, items: Items, s
 
 def contaminated(
     df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", *, item: str = "item_id", item_text: str = "text",
-    shingle: int = 5, percent: int = 80, item_bytes: int = ITEM_BYTES, max_items: int = MAX_ITEMS,
+    shingle: int = 5, percent: int = 80, item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """Benchmark items that occur in documents, exactly or nearly.
 
@@ -175,12 +206,12 @@ def contaminated(
     Null and empty texts match nothing, on either side; null ids are carried as they are;
     items of equal text are all reported; repeated rows each give their rows. Other columns
     are not read. No shuffle: items go to the tasks in groups of at most `item_bytes` of
-    text and about `max_items` items, one pass over the documents for each group.
+    text (any number of items), one pass over the documents for each group.
     """
     spark = df.sparkSession
     rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
-    total, count = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    groups = max(1, -(-2 * (total or 0) // item_bytes), -(-count // max_items))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    groups = max(1, -(-2 * (total or 0) // item_bytes))
     rows = rows.withColumn("group", F.pmod(F.xxhash64("item", "text"), F.lit(groups)))
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     out = None

@@ -113,14 +113,65 @@ def test_hamming_index_is_bounded():
         assert [x.tolist() for x in index.search(items)] == [list(range(n))] * 2
 
 
-def test_many_items_take_several_passes(spark):
+def test_sorted_index_finds_the_same():
+    rng = np.random.default_rng(6)
+    items = rng.integers(0, 2**63, (3000, 2), dtype=np.uint64)
+    asked = np.repeat(items[::30], 4, axis=0)
+    for row in asked:
+        for bit in rng.choice(128, rng.integers(0, 50), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    index = HammingIndex(items)
+    assert not index.tables and sum(o.nbytes for o, _ in index.sorted) == 8 * 4 * len(items)
+    got = set(zip(*(x.tolist() for x in index.search(asked)), strict=True))
+    away = np.bitwise_count(asked[:, None] ^ items[None]).sum(axis=2)
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(away <= RADIUS)), strict=True))
+
+
+def test_any_number_of_items_takes_one_pass(spark):
     rnd = random.Random(12)
-    items = [(i, " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(10 + i % 3))) for i in range(60)]
-    df = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    few = contaminated(df, bench, max_items=20)
-    assert few._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 3
-    assert {(r.doc_id, r.item_id) for r in few.collect()} == {(i, i) for i, _ in items}
+    items = [(i, " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(10 + i % 3))) for i in range(9000)]
+    df = spark.createDataFrame([(i, f"before {t} after") for i, t in items[::100]], "doc_id long, text string")
+    found = contaminated(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i, _ in items[::100]}
+
+
+def shingle_counts(words):
+    return Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+
+
+def test_recall_against_every_window(spark):
+    """Items changed here and there in documents, against the similarity of every window of their length."""
+    rnd = random.Random(31)
+    items = [[f"w{rnd.randint(0, 400)}" for _ in range(rnd.choice([12, 20, 30, 45]))] for _ in range(60)]
+    docs = []
+    for _ in range(150):
+        words = [f"v{rnd.randint(0, 400)}" for _ in range(rnd.randint(5, 60))]
+        item = list(rnd.choice(items))
+        for _ in range(rnd.choice([0, 1, 1, 2])):
+            item[rnd.choice([0, 1, 2, len(item) - 2, len(item) - 1, rnd.randrange(len(item))])] = "changed"
+        at = rnd.randint(0, len(words))
+        docs.append(words[:at] + item + words[at:])
+    want = set()
+    for d, words in enumerate(docs):
+        for i, item in enumerate(items):
+            own = shingle_counts(item)
+            for at in range(len(words) - len(item) + 1):
+                there = shingle_counts(words[at : at + len(item)])
+                both = sum((own & there).values())
+                if 100 * both >= 80 * (sum(own.values()) + sum(there.values()) - both):
+                    want.add((d, i))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(df, bench).collect()}
+    assert got <= want and len(want) > 80 and len(got) >= 0.99 * len(want)
+
+
+def test_decontamination_of_megabytes(spark):
+    item = " ".join(f"q{k}" for k in range(40))
+    long = " ".join(f"w{k % 5000}" for k in range(600_000))
+    df = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, long)], "doc_id long, text string")
+    assert [r.doc_id for r in contaminated(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [1]
 
 
 def test_decontamination(spark, edges, empty):
