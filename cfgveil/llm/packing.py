@@ -17,16 +17,16 @@ from cfgveil.operators.ranking import numbered
 
 # How the vocabulary splits text before merging (fixed value of the published vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# White space is cut after this many characters: the tokenizer's matcher runs out of stack on
-# runs of some hundred thousand.
-SPACE_RUN = re.compile(r"\s{4096}")
+# The tokenizer's matcher runs out of stack on white space of some hundred thousand characters
+# (those that have the property in Unicode), so long runs are matched here.
+SPACE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def token_counts(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens) of every whole text, by a byte-level BPE vocabulary file in rank format.
 
     The file is read once by the driver and sent to the tasks. Null counts as empty. Texts are
-    encoded whole; only runs of 4096 white-space characters end a part (see SPACE_RUN).
+    encoded whole, with white space of any length (see `count_tokens`).
     """
     with open(vocabulary, "rb") as file:
         ranks = file.read()
@@ -38,19 +38,26 @@ def token_counts(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str =
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         coder = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         for part in pieces(batches, 1 << 20):
-            counts = [sum(len(coder.encode_ordinary(s)) for s in _segments(t)) for t in part["text"].to_pylist()]
+            counts = [count_tokens(coder, t or "") for t in part["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(counts, pa.int64())], ["id", "n_tokens"])
 
     narrow = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     return narrow.mapInArrow(run, "id long, n_tokens long").withColumnRenamed("id", id)
 
 
-def _segments(text: str | None) -> Iterator[str]:
-    at = 0
-    for run in SPACE_RUN.finditer(text or ""):
-        yield text[at : run.end()]
-        at = run.end()
-    yield (text or "")[at:]
+def count_tokens(coder, text: str) -> int:
+    """The number of tokens that `coder.encode_ordinary` gives, for any text.
+
+    PATTERN takes a run of white space up to its last character as one word, as no word reaches
+    into it from before, and the last one goes with what follows; a run at the text's end is
+    one word as a whole. So a long run is encoded as that word, without matching it.
+    """
+    n = at = 0
+    for run in SPACE_RUN.finditer(text):
+        to = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(coder.encode_ordinary(text[at : run.start()])) + len(coder._encode_single_piece(text[run.start() : to]))
+        at = to
+    return n + len(coder.encode_ordinary(text[at:]))
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:

@@ -1,5 +1,6 @@
 """Quality, packing, decontamination, chat, language model, sharding, toxicity, pipeline."""
 
+import base64
 import itertools
 import math
 import random
@@ -12,10 +13,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from cfgveil.llm import chat, oracle, pitman_yor, queries
+from cfgveil.llm import chat, oracle, packing, pitman_yor, queries
 from cfgveil.llm.chat import assemble, format_chats, parse, unescape
 from cfgveil.llm.decontamination import RADIUS, HammingIndex, contaminated, without_benchmark
 from cfgveil.llm.host_rules import host_verdicts, keep_good, quality
@@ -91,6 +93,35 @@ def test_packing(spark, edges, empty):
     assert pack(token_counts(empty, queries.VOCABULARY)).collect() == []
 
 
+def test_long_white_space_is_counted_exactly(monkeypatch):
+    """As the tokenizer counts runs that it can still match itself, and longer ones at all."""
+    with open(queries.VOCABULARY, "rb") as file:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    coder = tiktoken.Encoding("test", pat_str=packing.PATTERN, mergeable_ranks=table, special_tokens={})
+    assert packing.count_tokens(coder, "a" + " \n" * 500_000 + "b") > 500_000
+    monkeypatch.setattr(packing, "SPACE_RUN", re.compile(packing.SPACE_RUN.pattern.replace("4096", "3")))
+    rnd = random.Random(41)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["a", "word", "7", ".", "é", "'s", " ", "  ", "   ", "\n", "\t", "\xa0", "\u3000", "\x1c", " " * 20, "\n" * 9, " \n\n "]) for _ in range(rnd.randint(0, 12)))
+        assert packing.count_tokens(coder, text) == len(coder.encode_ordinary(text)), repr(text)
+
+
+def test_batches_against_brute_force(spark):
+    rnd = random.Random(42)
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice([None, 0, 3, rnd.randint(0, 90), rnd.randint(0, 400)])) for _ in range(300)]
+    given = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, n_tokens long, bucket int").repartition(4)
+    got = pack(given, max_tokens=128, buckets=4, batch_tokens=512).collect()
+    parts = [(i, p, 128 * p, min(128, (n or 0) + 1 - 128 * p)) for i, n in rows for p in range(-(-((n or 0) + 1) // 128))]
+    counts = Counter(p[3] for p in parts)
+    bounds = bucket_bounds(np.array(sorted(counts)), np.array([counts[n] for n in sorted(counts)]), 4)
+    want = []
+    for k, bound in enumerate(bounds):
+        mine = sorted((p for p in parts if (bounds[k - 1] if k else 0) < p[3] <= bound), key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[3]))
+        each = max(1, 512 // bound)
+        want += [(*p, k, bound, at // each, at % each) for at, p in enumerate(mine)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_hamming_index_finds_all_in_radius():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 2**63, (50, 2), dtype=np.uint64)
