@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cfgveil.llm.blocks import pieces, utf8
+from cfgveil.llm.tables import drop, join_checked, stored
 
 # The template. Each control string begins with < or [ and one of / s I R <.
 OPEN = b"<s>"
@@ -118,7 +119,7 @@ def assemble(turns: pa.Table) -> pa.Table:
     spans = np.stack([begin, begin + length[:, 2][own]], axis=1).ravel()
     counts = 2 * np.bincount(conversation[own], minlength=len(first))
     loss = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(spans, pa.int64()))
-    parts = {"part": pa.array(part[first])} if "part" in turns.column_names else {}
+    parts = {c: turns[c].combine_chunks().take(pa.array(first)) for c in ("part", "parts") if c in turns.column_names}
     return pa.table({"conv": conv.take(pa.array(first)), **parts, "formatted": formatted.cast(pa.string()), "loss": loss})
 
 
@@ -132,13 +133,12 @@ def fill(out: np.ndarray, source: np.ndarray, start: np.ndarray, to: np.ndarray)
 
 
 def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", *, batch_bytes: int = 2 << 20, part_bytes: int = 16 << 20) -> DataFrame:
-    """(conv, part, formatted, loss): each conversation, turns in order, no turn left out.
+    """(conv, part, parts, formatted, loss): each conversation, turns in order, no turn left out.
 
-    A conversation is one row, of part 0, if its texts and roles have `part_bytes` bytes at
-    most. A longer one is several rows, parts of whole turns in order (0, 1...), next to each
-    other and in order in their partition: the texts of its parts one after another are the
-    conversation, and `loss` counts from the beginning of its own part. A turn longer than
-    `part_bytes` is a part of its own.
+    A conversation is one row, part 0 of 1, if its texts and roles have `part_bytes` bytes at
+    most. A longer one is several rows, whole turns in order: a part holds the turns that begin
+    in its stretch of `part_bytes` bytes. The texts of the parts one after another are the
+    conversation, and `loss` counts from the beginning of its own part. Rows come in no order.
 
     Turns are ordered by turn (nulls first), then role, then text. Null texts and roles count
     as empty; a role other than system, user and assistant keeps its name; control strings
@@ -146,41 +146,64 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     id are one conversation. Repeated rows are turns of their own. Other columns are not read.
     An empty table gives an empty table.
 
-    Rows are hash-partitioned by conversation and sorted, and stream through the task in
-    batches; only the part at a batch's end is carried over.
+    Rows are hash-partitioned by conversation and part, so a conversation of any length is
+    spread over the cluster; a task holds one part and never a whole long conversation.
     """
     rows = df.select(
         F.col(f"`{conv}`").cast("long").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"),
         F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
-    ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
+    keys = ["conv", "part", "turn", "role", "text"]
+    ordered = _in_parts(rows, part_bytes).repartition("conv", "part").sortWithinPartitions(*keys).select("conv", "part", "parts", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        begun, part, used = False, 0, 0
-        of = None  # the conversation of the row before
+        of = None  # the conversation and part of the row before
         for table in pieces(batches, batch_bytes):
-            sizes = pc.add(pc.binary_length(table["role"]), pc.binary_length(table["text"])).to_pylist()
-            parts, last = [], 0  # the last part of the batch begins at row `last`
-            for k, (key, size) in enumerate(zip(table["conv"].to_pylist(), sizes, strict=True)):
-                if not begun or key != of:
-                    begun, of, part, used, last = True, key, 0, 0, k
-                elif used + size > part_bytes:
-                    part, used, last = part + 1, 0, k
-                used += size
-                parts.append(part)
-            table = table.append_column("part", pa.array(parts, pa.int64()))
-            goes_on = bool(held) and held[0]["conv"][0] == table["conv"][0] and held[0]["part"][0] == table["part"][0]
-            if held and (last or not goes_on):
-                yield from assemble(pa.concat_tables([*held, table.slice(0, last)])).to_batches()
+            pairs = list(zip(table["conv"].to_pylist(), table["part"].to_pylist(), strict=True))
+            last = next((k for k in range(len(pairs) - 1, 0, -1) if pairs[k] != pairs[k - 1]), 0)
+            if held and (last or pairs[0] != of):
+                whole = [*held, table.slice(0, last)] if pairs[0] == of else held
+                yield from assemble(pa.concat_tables(whole)).to_batches()
+                if pairs[0] != of and last:
+                    yield from assemble(table.slice(0, last)).to_batches()
                 held = []
             elif last:
                 yield from assemble(table.slice(0, last)).to_batches()
             held.append(table.slice(last))
+            of = pairs[-1]
         if held:
             yield from assemble(pa.concat_tables(held)).to_batches()
 
-    return ordered.mapInArrow(run, "conv long, part long, formatted string, loss array<long>").withColumnRenamed("conv", conv)
+    return ordered.mapInArrow(run, "conv long, part long, parts long, formatted string, loss array<long>").withColumnRenamed("conv", conv)
+
+
+def _in_parts(rows: DataFrame, part_bytes: int) -> DataFrame:
+    """`rows` with the number of each turn's part and of its conversation's parts.
+
+    Conversations of more than `part_bytes` are range-partitioned in order and written; the
+    bytes before a turn are those of earlier ranges, one small row for each range and
+    conversation, and those before it in its own.
+    """
+    size = (F.octet_length("role") + F.octet_length("text")).cast("long")
+    large, path = stored(rows.groupBy(F.col("conv").alias("of")).agg(F.sum(size).alias("bytes")).where(F.col("bytes") > part_bytes), "large")
+    if large.isEmpty():
+        drop(rows.sparkSession, path)
+        return rows.withColumns({"part": F.lit(0).cast("long"), "parts": F.lit(1).cast("long")})
+    small = join_checked(rows, large, {"conv": "of"}, "left_anti", 32).withColumns({"part": F.lit(0).cast("long"), "parts": F.lit(1).cast("long")})
+    order = ["turn", "role", "text"]
+    ranged = join_checked(rows, large, {"conv": "of"}, "left_semi", 32).repartitionByRange("conv", *order).withColumn("range", F.spark_partition_id())
+    laid, _ = stored(ranged.withColumn("size", size), "turns")
+    sums = laid.groupBy("conv", "range").agg(F.sum("size").alias("bytes"))
+    earlier = F.sum("bytes").over(Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets, _ = stored(sums.select(F.col("conv").alias("c"), F.col("range").alias("r"), F.coalesce(earlier, F.lit(0)).alias("earlier")), "offsets")
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("conv", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = join_checked(laid.withColumn("inside", inside), offsets, {"conv": "c", "range": "r"}, "inner", 32)
+    placed, _ = stored(met.select("conv", *order, F.floor((F.col("earlier") + F.col("inside")) / part_bytes).cast("long").alias("stretch")), "placed")
+    whole = Window.partitionBy("c")
+    found = placed.select(F.col("conv").alias("c"), F.col("stretch").alias("s")).distinct()  # a row for each part
+    numbers, _ = stored(found.select("c", "s", (F.row_number().over(whole.orderBy("s")) - 1).cast("long").alias("part"), F.count(F.lit(1)).over(whole).alias("parts")), "parts")
+    return small.unionByName(join_checked(placed, numbers, {"conv": "c", "stretch": "s"}, "inner", 40).select("conv", *order, "part", "parts"))
 
 
 TURN = re.compile(

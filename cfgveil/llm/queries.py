@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from cfgveil.llm.pitman_yor import score
 from cfgveil.llm.prefix_trie import prefix_trie
 from cfgveil.llm.sharding import balanced_shards
 from cfgveil.llm.suffix_dedup import remove_repeats
+from cfgveil.llm.tables import stored
 from cfgveil.llm.toxicity import toxicity
 from cfgveil.llm.whitening import whiten
 
@@ -70,29 +71,56 @@ def op6_chat_format(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], given.schema)
 
-    def read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The parts of a conversation come one after another: what is told of it grows part by part.
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        open_: list = []
-        told = lambda: [open_[0], open_[1], open_[2].hexdigest(), open_[3], open_[4].hexdigest(), open_[5]]
-        for frame in frames:
-            rows = []
-            for conv, part, formatted, loss in frame.itertuples(index=False):
-                if part == 0:
-                    if open_:
-                        rows.append(told())
-                    open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                turns, body = parse(formatted, part), formatted.encode()
-                said = "".join(unescape(body[a:b].decode()) for a, b in zip(loss[::2], loss[1::2], strict=True))
-                open_[2].update("".join(f"{role}\n{text}\n" for role, text in turns).encode())
-                open_[4].update(said.encode())
-                open_[1], open_[3], open_[5] = open_[1] + len(turns), open_[3] + len(said), open_[5] + len(formatted)
-            yield pd.DataFrame(rows, columns=names)
-        if open_:
-            yield pd.DataFrame([told()], columns=names)
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    told_schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+    class Told:
+        """What is told of a conversation; it grows part by part."""
+
+        def __init__(self, conv: int | None) -> None:
+            self.conv, self.turns, self.said, self.n, self.chars, self.size = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+
+        def add(self, part: int, formatted: str, loss: list[int]) -> None:
+            turns, body = parse(formatted, part), formatted.encode()
+            said = "".join(unescape(body[a:b].decode()) for a, b in zip(loss[::2], loss[1::2], strict=True))
+            self.turns.update("".join(f"{role}\n{text}\n" for role, text in turns).encode())
+            self.said.update(said.encode())
+            self.n, self.chars, self.size = self.n + len(turns), self.chars + len(said), self.size + len(formatted)
 
+        def row(self) -> dict:
+            return dict(zip(names, (self.conv, self.n, self.turns.hexdigest(), self.chars, self.said.hexdigest(), self.size), strict=True))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Conversations of one part are told at once, parts of longer ones go on."""
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                told = Told(r["conv_id"])
+                if r["parts"] == 1:
+                    told.add(0, r["formatted"], r["loss"])
+                rows.append(told.row() | ({"part": None, "formatted": None, "loss": None} if r["parts"] == 1 else {c: r[c] for c in ("part", "formatted", "loss")}))
+            yield pa.RecordBatch.from_pylist(rows, schema=mixed)
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A digest runs over a conversation from its beginning: its parts come one after another."""
+        told = None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["part"] == 0:
+                    rows += [told.row()] if told else []
+                    told = Told(r["conv_id"])
+                told.add(r["part"], r["formatted"], r["loss"])
+            yield pa.RecordBatch.from_pylist(rows, schema=narrow)
+        if told:
+            yield pa.RecordBatch.from_pylist([told.row()], schema=narrow)
+
+    narrow = pa.schema([(c, pa.string() if "sha" in c else pa.int64()) for c in names])
+    mixed = pa.schema([*narrow, pa.field("part", pa.int64()), pa.field("formatted", pa.string()), pa.field("loss", pa.list_(pa.int64()))])
     chats = format_chats(given.union(probe))
-    return chats.mapInPandas(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    done, _ = stored(chats.mapInArrow(whole, f"{told_schema}, part long, formatted string, loss array<long>"), "told")
+    long = done.where("part is not null").select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return done.where("part is null").select(*names).unionByName(long.mapInArrow(in_order, told_schema))
 
 
 @query

@@ -242,7 +242,7 @@ def test_chat_round_trip():
 
 def test_chat_batches(spark):
     rows = [(i % 7 if i % 11 else None, i if i % 5 else None, ["user", "assistant", None][i % 3], None if i % 13 == 0 else f"t{i} </s>" * (i % 4)) for i in range(300)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("x", "y")
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], "conv_id long, turn long, role string, text string, part string, conv long")  # clashing names
     for size in (200, 1 << 20):
         got = {r.conv_id: parse(r.formatted) for r in format_chats(df, batch_bytes=size).collect()}
         want = {}
@@ -304,10 +304,12 @@ def test_chat_parts(spark, tmp_path):
         for r in format_chats(df, batch_bytes=size, part_bytes=1000).collect():
             parts.setdefault(r.conv_id, []).append(r)
         for c, got in parts.items():
+            got.sort(key=lambda r: r.part)
+            assert {r.parts for r in got} == {len(got)} and max(len(r.formatted) for r in got[:-1]) < 12_000
             assert [r.part for r in got] == list(range(len(got))) and len(got) > 3
             assert "".join(r.formatted for r in got) == whole[c]
             assert [t for r in got for t in parse(r.formatted, r.part)] == want[c]
-            assert all(len(parse(r.formatted, r.part)) == 1 for r in got if len(r.formatted.encode()) > 3000)
+            assert all(sum(len(x.encode()) for _, x in parse(r.formatted, r.part)[:-1]) <= 1000 for r in got)  # a part and one turn
             spans = [unescape(r.formatted.encode()[a:b].decode()) for r in got for a, b in zip(r.loss[::2], r.loss[1::2], strict=True)]
             assert spans == [x for r, x in want[c] if r == "assistant"]
     df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
