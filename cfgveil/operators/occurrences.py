@@ -85,10 +85,9 @@ def _by_automata(df: DataFrame, words: DataFrame, chars: int, content: str, key:
     for k in range(max(shards, 1)):
         shard = words if shards <= 1 else words.where(F.pmod(F.xxhash64("literal"), F.lit(shards)) == k)
         listed = sorted(r[0] for r in shard.collect())
-        named = F.transform("__found", lambda x: F.struct(F.get(F.col("__words"), x["literal"]).alias("literal"), x["n"].alias("n")))
-        rows = df.select(F.col(key), counted_literals(F.col(content), listed).alias("__found")).where(F.size("__found") > 0)
-        rows = rows.withColumn("__words", _array(listed)).select(key, F.inline(named))
-        part = rows.groupBy(key, "literal").agg(F.sum("n").alias("n"))
+        rows = df.select(F.col(key), F.inline(counted_literals(F.col(content), listed)))
+        # The list is a constant of the plan, not a column of its rows.
+        part = rows.groupBy(key, "literal").agg(F.sum("n").alias("n")).withColumn("literal", F.get(_array(listed), F.col("literal")))
         out = part if out is None else out.unionByName(part)
     return out
 
