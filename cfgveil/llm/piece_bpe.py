@@ -8,6 +8,7 @@ from the left, and the array is compacted; words without a pair leave it.
 from __future__ import annotations
 
 import codecs
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from cfgveil.llm.blocks import pieces, utf8
 SPACE = 0x2581  # what the model writes for a blank
 NONE = np.int32(2**31 - 1)  # the rank of a pair that is no piece
 BATCH_BYTES = 4 << 20
+LONG_WORD = 4096  # symbols from which a word is merged by itself
 
 
 @dataclass
@@ -128,6 +130,11 @@ def merge_words(vocab: Vocabulary, symbol: np.ndarray, offsets: np.ndarray) -> t
     word = np.repeat(np.arange(n_words), np.diff(offsets))
     symbol = symbol.astype(np.int32)
     done: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in np.flatnonzero(np.diff(offsets) > LONG_WORD).tolist():
+        alone = merge_long(vocab, symbol[offsets[w] : offsets[w + 1]])
+        done.append((np.full(len(alone), w), alone))
+    short = np.repeat(np.diff(offsets) <= LONG_WORD, np.diff(offsets))
+    word, symbol = word[short], symbol[short]
     piece, rank = np.full(len(symbol), -1, np.int32), np.full(len(symbol), NONE, np.int32)
     renew = np.flatnonzero(word[1:] == word[:-1])
     while len(symbol):
@@ -181,6 +188,60 @@ def merge_words(vocab: Vocabulary, symbol: np.ndarray, offsets: np.ndarray) -> t
     return symbol[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n_words))])
 
 
+def merge_long(vocab: Vocabulary, symbol: np.ndarray) -> np.ndarray:
+    """The merges of one long word: as in `merge_words`, but a round looks at the places of its
+    rank alone, which wait under it, and not at the whole word. Symbols are linked, not moved.
+    """
+    n = len(symbol)
+    symbol, alive = symbol.copy(), np.ones(n, bool)
+    behind, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: none
+    piece, rank = np.full(n, -1, np.int32), np.full(n, NONE, np.int32)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def wait(at: np.ndarray) -> None:
+        at = at[rank[at] != NONE]
+        at = at[np.argsort(rank[at], kind="stable")]
+        for group in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+            r = int(rank[group[0]])
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(group)
+
+    piece[:-1], rank[:-1] = lookup(vocab, symbol[:-1], symbol[1:])
+    wait(np.arange(n - 1))
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(waiting.pop(r)))
+        at = at[alive[at] & (rank[at] == r)]
+        if not len(at):
+            continue
+        first = np.concatenate([[True], behind[at[:-1]] != at[1:]])
+        order = np.arange(len(at))
+        chosen = (order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 0
+        rest, at = at[~chosen], at[chosen]
+        made, second = piece[at], behind[at]
+        left, right = before[at], behind[second]
+        merged_before = np.concatenate([[False], left[1:] == second[:-1]])
+        beside = np.where(merged_before, np.concatenate([made[:1], made[:-1]]), symbol[left])
+        rank_left = np.where(left >= 0, lookup(vocab, beside, made)[1], NONE)
+        rank_right = np.where(right < n, lookup(vocab, made, symbol[np.minimum(right, n - 1)])[1], NONE)
+        holds = np.flatnonzero(np.minimum(rank_left, rank_right) <= r)
+        if len(holds) and holds[0] + 1 < len(at):
+            rest, at = np.concatenate([rest, at[holds[0] + 1 :]]), at[: holds[0] + 1]
+            made, second, right = piece[at], behind[at], behind[behind[at]]
+        symbol[at], alive[second], behind[at] = made, False, right
+        before[right[right < n]] = at[right < n]
+        touched = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+        pair = touched[behind[touched] < n]
+        rank[touched] = NONE
+        piece[pair], rank[pair] = lookup(vocab, symbol[pair], symbol[behind[pair]])
+        wait(touched)
+        wait(np.setdiff1d(rest[alive[rest]], touched))
+    return symbol[alive]
+
+
 def _as_ids(vocab: Vocabulary, symbol: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols as ids: characters that are no piece (negative: -1 - code point) as their UTF-8 bytes."""
     raw = (symbol < 0) | (symbol >= vocab.size)
@@ -319,8 +380,7 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text", out: str = "ids
     has the end id alone (with `end`). Repeated rows are encoded each; other columns come back
     as they are, but one named `out` is replaced. An empty table gives an empty table. The
     model file is read once by the driver, and its tables (some 8 MB) go to the executors.
-    There is no shuffle. A word costs as many rounds as it has different merges, so a text of
-    letters without any blank or sign costs rounds over all of it.
+    There is no shuffle; a text without any blank or sign costs no more a byte than others.
     """
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(model))
 

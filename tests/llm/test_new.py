@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from cfgveil.llm import queries
+from cfgveil.llm import piece_bpe, queries
 from cfgveil.llm.blocks import utf8
 from cfgveil.llm.piece_bpe import decode_ids, decode_pieces, encode_pieces, encode_texts, read_vocabulary
 from cfgveil.llm.prefix_trie import WIDTH, Node, RadixTree, prefix_trie
@@ -49,6 +50,20 @@ def test_pieces_as_the_library(vocab, library):
     assert ids == want and decoded == [library.decode(w) for w in want]
 
 
+def test_long_words_as_the_library(vocab, library, monkeypatch):
+    """Words without an end merge as short ones do, in time that grows with their length."""
+    monkeypatch.setattr(piece_bpe, "LONG_WORD", 2)
+    rnd = random.Random(3)
+    kinds = ["ab", "abc ", "etaoin ", "aé", "abcdefghijklmnopqrstuvwxyz", " ", "ACGT", "Theandingerosin", "😀日本ñ", "x"]
+    texts = ["".join(rnd.choice(kind) for _ in range(rnd.choice([3, 9, 80, 900]))) for kind in kinds for _ in range(25)]
+    assert coded(vocab, texts)[0] == [library.encode(t, add_eos=True) for t in texts]
+    monkeypatch.undo()
+    long = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=400_000))
+    start = time.perf_counter()
+    assert coded(vocab, [long])[0] == [library.encode(long, add_eos=True)]
+    assert time.perf_counter() - start < 30
+
+
 def test_any_ids_decode_as_in_the_library(vocab, library):
     rnd = random.Random(2)
     lists = [[rnd.randint(0, rnd.choice([5, 258, 31_999])) for _ in range(rnd.randint(0, 20))] for _ in range(2000)]
