@@ -133,9 +133,9 @@ def dedup_lines(
         table = PerfectHash(key_high, key_low)
         slot = table.index(key_high, key_low)
         prints = np.empty(table.size, np.uint32)
-        counts = np.empty(table.size, np.uint16)
+        counts = np.empty(table.size, np.uint32)
         prints[slot] = (key_low >> U(32)).astype(np.uint32)
-        counts[slot] = np.minimum(documents, min(min_docs, 65535))
+        counts[slot] = np.minimum(documents, min_docs)
         repeated = counts >= min_docs
         keeper_at = np.cumsum(repeated) - 1
         keepers = np.empty(int(repeated.sum()), np.int64)

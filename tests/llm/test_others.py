@@ -22,7 +22,7 @@ from cfgveil.llm.chat import assemble, format_chats, parse, unescape
 from cfgveil.llm.decontamination import RADIUS, HammingIndex, contaminated, without_benchmark
 from cfgveil.llm.host_rules import host_verdicts, keep_good, quality
 from cfgveil.llm.packing import bucket_bounds, pack, token_counts
-from cfgveil.llm.sharding import balanced_shards
+from cfgveil.llm.sharding import balanced_shards, write_shards
 from cfgveil.llm.toxicity import LexiconAutomaton, Reader, _codes, mine_lexicon, mine_reporting, toxicity, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -465,3 +465,50 @@ def test_pipeline(spark):
     one = corpus_pipeline.near_dedup(spark, lines, SF)
     clean = corpus_pipeline.decontamination(spark, one, SF)
     assert {r.doc_id for r in out} == {r.doc_id for r in clean.collect()} and clean.columns == docs.columns
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows and ids, clashing names, empty tables."""
+    rnd = random.Random(51)
+    body = lambda n: " ".join(f"w{rnd.randint(0, 3000)}" for _ in range(n))
+    clean, item, shared = [body(120) for _ in range(8)], body(30), "this very line is held by several of the documents"
+    rows = [(k, t, "en", "src0" if k % 2 else None, len(t)) for k, t in enumerate(clean)]
+    rows += [(20, clean[0], "en", "src0", 0), (21, clean[1] + " one two", None, None, None), (22, f"{body(60)} {item} {body(9)}", "en", "src1", 1)]
+    rows += [(30 + k, f"{body(80)}\n{shared}\n{body(9)}", "en", "src1", 1) for k in range(4)]
+    rows += [(3, clean[3], "en", "src0", 0), (None, body(90), None, None, None), (40, None, "en", None, 0), (41, "", "en", "src1", 0), (42, " \n\t", "en", "src1", 3), (43, body(60_000), "en", "src1", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(*r, 7, "x", 5) for r in rows], schema + ", shard int, component_id string, part long").repartition(3)
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    for name, table in (("documents", df), ("benchmark", bench)):
+        table.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        table.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    lines = corpus_pipeline.line_dedup(spark, docs, "")
+    assert lines.schema == docs.schema and sum(shared in (r.text or "") for r in lines.collect()) == 1
+    assert corpus_pipeline.line_dedup(spark, docs.drop("n_chars"), "").columns == docs.drop("n_chars").columns
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    # Copies and near copies go (20, 21), the benchmark passage (22), texts without 50 words; a repeated row stays as often.
+    assert Counter(r.doc_id for r in out if r.piece == 0) == Counter([*range(8), 3, *range(30, 34), None, 43])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_shards_against_brute_force(spark):
+    rnd = random.Random(52)
+    rows = [(rnd.choice([None, *range(60)]), rnd.choice([None, "", "é" * rnd.randint(0, 90), "x" * rnd.randint(0, 400)])) for _ in range(700)]
+    got = balanced_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 9).collect()
+    told = sorted(((i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    whole, at, slots, want = sum(r[2] for r in told), 0, Counter(), []
+    for i, crc, size in told:
+        shard = min(8, (2 * at + size) * 9 // (2 * whole))  # where the middle of the row falls
+        want.append((i, size, crc, "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        at += size
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_shards_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"text {k}" * (k % 5), "x") for k in range(200)], "doc_id long, text string, slot string").repartition(4)
+    assigned = balanced_shards(df, 6)
+    write_shards(df, assigned, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter((r.doc_id, r.text, r["__shard"]) for r in back.collect()) == Counter((r.doc_id, f"text {r.doc_id}" * (r.doc_id % 5), r.shard) for r in assigned.collect())
