@@ -1,7 +1,11 @@
 """From raw documents to packed training batches, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next stage's docs.
+and read again as the next stage's docs. Only doc_id, text, source and n_chars are read; other
+columns come back as they are, whatever their names. Texts that are null, empty or of few words
+go in the first stage; rows with a null id are judged by their own text and stay if it is good;
+repeated rows and rows that share an id stay or go together, except that only their own
+lines are dropped. An empty table gives no batches.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents share go, save in the largest doc_id holding them."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    kept = dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
