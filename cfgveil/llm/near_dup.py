@@ -133,6 +133,22 @@ def _alone(sets: DataFrame) -> DataFrame:
     return single.where("n = 1").groupBy("node", "set_a").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, set_a): buckets of the rarest shingles of each set, any two of `sets` that are linked in one at least.
+
+    Of n shingles two linked sets share `percent` of either's. In one order for all sets, by
+    rising frequency, the first n - ceil(n * percent / 100) + 1 of each thus have one in common.
+    Shingles that no other set has come first and bring nobody together, so the sets of a
+    family whose members differ by more than linked ones may have few keys or none.
+    """
+    each = sets.select("node", "set_a", F.size("body").alias("n"), F.explode("body").alias("key"))
+    often = each.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    mine = Window.partitionBy("node", "set_a")
+    known = each.join(often, F.col("key") == F.col("of")).withColumns({"nth": F.row_number().over(mine.orderBy("m", "key")), "known": F.count(F.lit(1)).over(mine)})
+    place = F.col("n") - F.col("known") + F.col("nth")
+    return known.where(place <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "node", "set_a")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the similarity.
 
@@ -187,12 +203,13 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
 
     Equal sets become one node first, with partial aggregation, so copies are never paired.
     Band buckets then propose links; those that pass exact bounds (parity bitmaps, shared
-    shingles) are verified on the full sets: first every member with
-    the one member of its bucket that shares most buckets (a family's origin); then, where a
-    bucket is not connected yet, with CENTERS, CENTERS^2... further members, across components
-    only, until it is connected or has been tested in full. So no link that any band
-    proposes is missing from the components, and a bucket of
-    true near copies costs one pair for each member.
+    shingles) are verified on the full sets: every member with the one member of its bucket
+    that shares most buckets (a family's origin). The sets of buckets that this leaves
+    unconnected are dealt anew, to buckets of their rarest shingles, which hold every link
+    among them; there a bucket is tested with 1, CENTERS, CENTERS^2... of its members, across
+    components only, until it is connected or has been tested in full. So no link that any
+    band proposes is missing from the components, a bucket of true near copies costs one pair
+    for each member, and alike texts that stay unlinked meet only where they share rare shingles.
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -209,34 +226,55 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     linkable = members.join(_alone(sets), ["node", "set_a"], "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
     linkable, linkable_path = stored(_shared_buckets(linkable.where(100 * F.col("s") >= percent * F.col("n")).select("node", "set_a", "n", "s", "key")), "linkable")
     drop(spark, members_path, candidates_path)
-    weight = linkable.groupBy("node").agg(F.sum("m").alias("weight")).join(nodes.select("node", "bits"), "node")
-    weighed, weighed_path = stored(linkable.join(weight, "node").select("key", "node", "n", "s", "weight", "bits"), "weighed")
+    weight = linkable.groupBy("node", "set_a").agg(F.sum("m").alias("weight")).join(nodes.select("node", "set_a", "bits"), ["node", "set_a"])
+    weighed, weighed_path = stored(linkable.join(weight, ["node", "set_a"]).select("key", "node", "set_a", "n", "s", "weight", "bits"), "weighed")
     drop(spark, linkable_path)
     links, links_path = stored(_same_id(rows, nodes), "linked")
     tested, tested_path = stored(spark.createDataFrame([], "a long, b long"), "tested")
-    used, used_path = stored(spark.createDataFrame([], "key long, node long"), "used")
     groups = spark.createDataFrame([], "node long, component long") if links.isEmpty() else components(links)
-    for turn in itertools.count():
+
+    def unjoined(buckets: DataFrame) -> DataFrame:
+        """The members of buckets that lie in several components, with theirs."""
         found = groups.select(F.col("node").alias("of"), "component")
-        state = weighed.join(found, F.col("node") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "node"))
+        state = buckets.join(found, F.col("node") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "node"))
         apart = state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select(F.col("key").alias("of"))
-        unjoined, state_path = stored(state.join(apart, F.col("key") == F.col("of")).drop("of"), "unjoined")
-        free = unjoined.join(used, ["key", "node"], "left_anti") if turn else unjoined
-        nearest = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-        centers, centers_path = stored(free.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= CENTERS**turn), "centers")
-        if centers.isEmpty():
-            drop(spark, state_path, centers_path)
-            break
-        pairs, pairs_path = stored(_across(unjoined, centers, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        return state.join(apart, F.col("key") == F.col("of")).drop("of")
+
+    def connect(members: DataFrame, centers: DataFrame) -> None:
+        """Test the members with the centers of their buckets, and take up the links."""
+        nonlocal links, links_path, tested, tested_path, groups
+        pairs, pairs_path = stored(_across(members, centers, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
         fresh, fresh_path = stored(_linked(pairs, sets, percent), "fresh")
         nothing_new = fresh.isEmpty()
         new_links, new_path = stored(links.union(fresh), "linked")
         new_tested, new_tested_path = stored(tested.union(pairs), "tested")
-        new_used, new_used_path = stored(used.union(centers.select("key", "node")), "used")
-        drop(spark, fresh_path, state_path, centers_path, pairs_path, links_path, tested_path, used_path)
-        links, links_path, tested, tested_path, used, used_path = new_links, new_path, new_tested, new_tested_path, new_used, new_used_path
+        drop(spark, fresh_path, pairs_path, links_path, tested_path)
+        links, links_path, tested, tested_path = new_links, new_path, new_tested, new_tested_path
         if not nothing_new:
             groups = components(links)
+
+    fields = ["node", "n", "s", "bits", "component"]
+    state, state_path = stored(unjoined(weighed), "unjoined")
+    first = F.max_by(F.struct(*fields), F.struct("weight", (-F.col("node")).alias("least")))  # pre-aggregated: a bucket of any size
+    connect(state, state.groupBy("key").agg(first.alias("c")).select("key", "c.*"))
+    drop(spark, state_path)
+    rest, rest_path = stored(unjoined(weighed).select("node", "set_a", "n", "s", "weight", "bits").distinct(), "rest")
+    rare = _shared_buckets(_rare_buckets(sets.join(rest.select("node", "set_a"), ["node", "set_a"], "left_semi"), percent))
+    rare, rare_path = stored(rare.drop("m").join(rest, ["node", "set_a"]), "rare")
+    used, used_path = stored(spark.createDataFrame([], "key long, node long, set_a long"), "used")
+    for turn in itertools.count():
+        state, state_path = stored(unjoined(rare), "unjoined")
+        nearest = Window.partitionBy("key").orderBy(F.desc("weight"), "node", "set_a")
+        free = state.join(used, ["key", "node", "set_a"], "left_anti").withColumn("nth", F.row_number().over(nearest))
+        centers, centers_path = stored(free.where(F.col("nth") <= CENTERS**turn).select("key", "set_a", *fields), "centers")
+        if centers.isEmpty():
+            drop(spark, state_path, centers_path)
+            break
+        connect(state, centers)
+        new_used, new_used_path = stored(used.union(centers.select("key", "node", "set_a")), "used")
+        drop(spark, state_path, centers_path, used_path)
+        used, used_path = new_used, new_used_path
+    drop(spark, weighed_path, rest_path, rare_path, used_path)
     whole = nodes.select("set_a", "set_b", "node").join(groups.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")
     labels, _ = stored(whole.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "labels")
     labels = labels.withColumnsRenamed({"set_a": "a", "set_b": "b"})
