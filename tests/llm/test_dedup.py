@@ -1,7 +1,7 @@
 """Line, suffix and near-duplicate removal against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import pairwise
 
 import numpy as np
@@ -9,7 +9,7 @@ import pytest
 
 from cfgveil.llm.components import components
 from cfgveil.llm.line_dedup import PerfectHash, dedup_lines
-from cfgveil.llm.near_dup import near_duplicates, parities, superminhash, without_near_duplicates
+from cfgveil.llm.near_dup import _rare_buckets, near_duplicates, parities, superminhash, without_near_duplicates
 from cfgveil.llm.suffix_dedup import remove_repeats, separated, sort_suffixes
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -176,6 +176,38 @@ def test_near_against_brute_force(spark, percent):
         assert all(exact[r.component_id] == exact[r.doc_id] for r in near_duplicates(df, shingle=4, percent=70).collect())
 
 
+def _keys(spark, sets, percent=80):
+    df = spark.createDataFrame([(k, k, sorted(x)) for k, x in enumerate(sets)], "node long, set_a long, body array<long>").repartition(3)
+    keys = defaultdict(set)
+    for r in _rare_buckets(df, percent).collect():
+        keys[r.node].add(r.key)
+    return keys
+
+
+def test_rare_buckets_hold_every_link(spark):
+    rnd = random.Random(9)
+    sets = [{rnd.randint(0, 40) for _ in range(rnd.randint(1, 12))} for _ in range(150)]
+    for _ in range(40):
+        base = rnd.choice(sets)
+        sets.append((base - set(rnd.sample(sorted(base), 1 if len(base) > 2 else 0))) | {rnd.randint(0, 60)})
+    for percent in (80, 65):
+        keys = _keys(spark, sets, percent)
+        linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        assert len(linked) > 30 and all(keys[a] & keys[b] for a, b in linked)
+
+
+def test_families_of_unlinked_texts_stay_cheap(spark):
+    """Twice the members of a family of alike but unlinked texts have about twice the meetings, not four times."""
+    def meetings(n):
+        rnd = random.Random(10)
+        base = list(range(400))
+        sets = [{x if rnd.random() > 0.25 else rnd.randint(10**6, 10**9) for x in base} for _ in range(n)]
+        sizes = Counter(k for ks in _keys(spark, sets).values() for k in ks)
+        return sum(m * m for m in sizes.values() if m > 1) + n
+
+    assert meetings(400) < 3 * meetings(200)
+
+
 def test_near_repeated_ids(spark):
     """Rows that share an id are one node, whichever of their texts also occur under smaller ids."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
