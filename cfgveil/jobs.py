@@ -1,12 +1,13 @@
 """End-to-end jobs: a folder of files, a folder of archives, a restore.
 
 Each job writes its rewritten texts once and derives results and reports from what it
-wrote, so the rules run once per text.
+wrote, so the rules run once per text. Tables that operators write for themselves are gone at its end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from cfgveil.operators import report as rep
 from cfgveil.operators.sanitize import sanitize
 from cfgveil.packs import BUILTIN
 from cfgveil.rules import RulePack
+from cfgveil.session import scratch
 from cfgveil.sinks import files as sinks
 from cfgveil.sources import files as src
 
@@ -48,22 +50,23 @@ def sanitize_folder(
     `backup_table`. `requested` paths that are not there, and files too long for one cell, become error rows. A dry run
     writes nothing and returns the same results.
     """
-    configs = src.scan_configs(spark, root, patterns, recursive=recursive, include_empty=include_empty)
-    backup = None
-    if backup_table and not dry_run:
-        taken = now or datetime.now()
-        bak.append_backup(configs.filter("error IS NULL"), backup_table, backup_dir, taken)
-        # What was saved is what is sanitized, whatever happens to the folder meanwhile.
-        mine = (F.col("timestamp") == f"{taken:{bak.STAMP}}") & (F.col("backup_date").cast("string") == f"{taken:%Y-%m-%d}")
-        path, none = F.col("original_path").alias("path"), F.lit(None).cast("string")
-        saved = bak.read_catalog(spark, backup_table).filter(mine).select(path, file_name(path).alias("filename"), "content", none.alias("error"), "backup_path")
-        configs = saved.unionByName(configs.filter("error IS NOT NULL").withColumn("backup_path", none))
-        backup = F.col("backup_path")
-    done = sanitize(configs, builtin=builtin, custom=pack)
-    if not dry_run:
-        kept = ["path", "filename", "error", *(["backup_path"] if backup is not None else []), *RESULT_COLUMNS]
-        done.select(*kept, F.col("sanitized").alias("content")).write.parquet(f"{out}/texts")
-        done = spark.read.parquet(f"{out}/texts")
+    with nullcontext() if dry_run else scratch(spark):
+        configs = src.scan_configs(spark, root, patterns, recursive=recursive, include_empty=include_empty)
+        backup = None
+        if backup_table and not dry_run:
+            taken = now or datetime.now()
+            bak.append_backup(configs.filter("error IS NULL"), backup_table, backup_dir, taken)
+            # What was saved is what is sanitized, whatever happens to the folder meanwhile.
+            mine = (F.col("timestamp") == f"{taken:{bak.STAMP}}") & (F.col("backup_date").cast("string") == f"{taken:%Y-%m-%d}")
+            path, none = F.col("original_path").alias("path"), F.lit(None).cast("string")
+            saved = bak.read_catalog(spark, backup_table).filter(mine).select(path, file_name(path).alias("filename"), "content", none.alias("error"), "backup_path")
+            configs = saved.unionByName(configs.filter("error IS NOT NULL").withColumn("backup_path", none))
+            backup = F.col("backup_path")
+        done = sanitize(configs, builtin=builtin, custom=pack)
+        if not dry_run:
+            kept = ["path", "filename", "error", *(["backup_path"] if backup is not None else []), *RESULT_COLUMNS]
+            done.select(*kept, F.col("sanitized").alias("content")).write.parquet(f"{out}/texts")
+            done = spark.read.parquet(f"{out}/texts")
     rows = rep.results(done, backup=backup)
     return rows if requested is None else rep.with_errors(rows, src.missing_inputs(requested, done))
 
@@ -94,23 +97,24 @@ def sanitize_archive_folder(
     `<out>/archives`. Members are spread over the cluster after expansion, so one large
     archive does not keep its members in one task.
     """
-    opened = arc.expand_archives(src.scan_archives(spark, root))
-    members = opened.repartition("archive", "member")
-    done = arc.sanitize_members(members, builtin=builtin, custom=pack, select=lambda m: _selected(m, patterns))
-    kept = ["archive", "member", "size", "compressed_size", "encrypted", "error", "is_config", *RESULT_COLUMNS]
-    done.select(*kept, F.col("output").alias("content")).write.parquet(f"{out}/members")
-    written = spark.read.parquet(f"{out}/members")
-    if fmt == "folder":
-        when = generated_at or datetime.now().isoformat()
-        files = written.filter("is_config").withColumns({"path": F.col("member"), "filename": file_name(F.col("member"))})
-        for report in reports:
-            sinks.write_report(rep.report_lines(files, when, report), f"{out}/reports/{report}")
-    else:
-        packed = arc.repack_archives(written, fmt)
-        one = sanitized_name(F.col("archive"), extension=f".{fmt}")
-        each = sanitized_name(F.col("archive"), extension=F.concat(F.lit("_"), F.col("volume").cast("string"), F.lit(f".{fmt}")))
-        named = packed.withColumn("output_path", F.when(F.col("volumes") > 1, each).otherwise(one))
-        sinks.write_archives(named, f"{out}/archives")
+    with scratch(spark):
+        opened = arc.expand_archives(src.scan_archives(spark, root))
+        members = opened.repartition("archive", "member")
+        done = arc.sanitize_members(members, builtin=builtin, custom=pack, select=lambda m: _selected(m, patterns))
+        kept = ["archive", "member", "size", "compressed_size", "encrypted", "error", "is_config", *RESULT_COLUMNS]
+        done.select(*kept, F.col("output").alias("content")).write.parquet(f"{out}/members")
+        written = spark.read.parquet(f"{out}/members")
+        if fmt == "folder":
+            when = generated_at or datetime.now().isoformat()
+            files = written.filter("is_config").withColumns({"path": F.col("member"), "filename": file_name(F.col("member"))})
+            for report in reports:
+                sinks.write_report(rep.report_lines(files, when, report), f"{out}/reports/{report}")
+        else:
+            packed = arc.repack_archives(written, fmt)
+            one = sanitized_name(F.col("archive"), extension=f".{fmt}")
+            each = sanitized_name(F.col("archive"), extension=F.concat(F.lit("_"), F.col("volume").cast("string"), F.lit(f".{fmt}")))
+            named = packed.withColumn("output_path", F.when(F.col("volumes") > 1, each).otherwise(one))
+            sinks.write_archives(named, f"{out}/archives")
     return arc.archive_result(written)
 
 
@@ -119,11 +123,12 @@ def restore(
     date_prefix: str | None = None,
 ) -> DataFrame:
     """Write the latest snapshots of files (path) or of whole directories (directory) to `out`."""
-    catalog = bak.read_catalog(spark, backup_table)
-    if files is not None:
-        chosen = bak.restore_files(files, catalog, date_prefix)
-    else:
-        below = bak.restore_directory(directories, catalog).select("original_path").distinct()
-        chosen = bak.restore_files(below.withColumnRenamed("original_path", "path"), catalog)
-    chosen.write.parquet(out)
+    with scratch(spark):
+        catalog = bak.read_catalog(spark, backup_table)
+        if files is not None:
+            chosen = bak.restore_files(files, catalog, date_prefix)
+        else:
+            below = bak.restore_directory(directories, catalog).select("original_path").distinct()
+            chosen = bak.restore_files(below.withColumnRenamed("original_path", "path"), catalog)
+        chosen.write.parquet(out)
     return spark.read.parquet(out).select("path", "backup_path", "timestamp", "restored")

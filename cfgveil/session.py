@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +51,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what operators have written for themselves meanwhile.
+
+    For jobs that write their results inside: a DataFrame returned from here must not read
+    an operator's own tables any more.
+    """
+    token = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.get():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _SCRATCH.reset(token)
+
+
 def new_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

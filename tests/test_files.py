@@ -4,6 +4,7 @@ import json
 import re
 import zipfile
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,22 @@ def test_folder_job(spark, folder, tmp_path):
     assert (folder / "a.txt").read_bytes() == b"enable secret 5 X\r\nline\r"
 
 
+def test_jobs_leave_no_scratch_tables(spark, folder, archive_folder, tmp_path):
+    from cfgveil.session import shared_dir
+
+    def left():
+        return {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir() if not re.fullmatch(r"[0-9a-f-]{36}", p.name)}
+
+    before = left()
+    table = str(tmp_path / "backups")
+    jobs.sanitize_folder(spark, str(folder), str(tmp_path / "out"), backup_table=table).collect()
+    jobs.sanitize_archive_folder(spark, str(archive_folder), str(tmp_path / "reports"))
+    jobs.sanitize_archive_folder(spark, str(archive_folder), str(tmp_path / "packed"), fmt="zip").collect()
+    wanted = spark.createDataFrame([(f"file:{folder}",)], "directory string")
+    assert jobs.restore(spark, table, str(tmp_path / "back"), directories=wanted).count() > 0
+    assert left() == before
+
+
 def test_dry_run_writes_nothing(spark, folder, tmp_path):
     rows = jobs.sanitize_folder(spark, str(folder), str(tmp_path / "out"), backup_table=str(tmp_path / "bk"), dry_run=True)
     assert rows.filter("modified").count() == 2
