@@ -20,6 +20,7 @@ from cfgveil.functions.text import decode_text, file_name
 from cfgveil.operators.chain import pinned
 from cfgveil.operators.ranking import numbered
 from cfgveil.operators.sanitize import sanitize
+from cfgveil.session import join_lookup, materialized
 
 # The member functions below travel to the workers by value, so that these need not have
 # the package installed.
@@ -210,8 +211,9 @@ def repack_archives(
     """Members (archive, member, content[, size]) back into archives: archive, volume, volumes, members, content.
 
     An archive larger than `volume_bytes` is spread over several volumes, each a complete
-    archive of its own with whole members, so no task ever holds a whole large archive.
-    Only those large archives, few by their size, take part in the volume lookup.
+    archive of its own with whole members: a volume holds the members that begin in its
+    stretch of `volume_bytes`, in name order, so its size is bounded by that and one member.
+    Only the narrow sizes are added up, and only those large archives take part in the lookup.
     The members are read twice, for their sizes and for their bytes: pass a written table,
     not a long chain of work, and a `size` column, so that the first read skips the bytes.
     """
@@ -219,16 +221,15 @@ def repack_archives(
         raise ValueError(f"Unsupported archive format for creation: {fmt}")
     rows = members.filter(F.col("content").isNotNull()).select("archive", "member", F.col("content").cast("binary").alias("content"))
     size = F.col("size") if "size" in members.columns else F.octet_length("content")
-    large = (
-        members.groupBy("archive")
-        .agg(F.sum(size).alias("bytes"))
-        .filter(F.col("bytes") > volume_bytes)
-        .select("archive", F.ceil(F.col("bytes") * 2 / volume_bytes).cast("int").alias("volumes"))
-    )
-    placed = (
-        rows.join(large, "archive", "left")
-        .withColumn("volumes", F.coalesce("volumes", F.lit(1)))
-        .withColumn("volume", F.pmod(F.xxhash64("member"), F.col("volumes")).cast("int") + 1)
+    sizes = materialized(members.groupBy("archive", "member").agg(F.sum(F.coalesce(size, F.lit(0))).cast("bigint").alias("bytes")), "sizes")
+    large = sizes.groupBy("archive").agg(F.sum("bytes").alias("all")).filter(F.col("all") > volume_bytes).select("archive")
+    in_order = Window.partitionBy("archive").orderBy("member")
+    before = F.coalesce(F.sum("bytes").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretch = sizes.join(large, "archive", "left_semi").withColumn("stretch", F.floor(before / volume_bytes))
+    numbers = stretch.withColumn("volume", F.dense_rank().over(Window.partitionBy("archive").orderBy("stretch")))
+    places = numbers.select("archive", "member", "volume", F.max("volume").over(Window.partitionBy("archive")).alias("volumes"))
+    placed = join_lookup(rows, places, ["archive", "member"], "left").withColumns(
+        {"volume": F.coalesce("volume", F.lit(1)), "volumes": F.coalesce("volumes", F.lit(1))}
     )
     if not preserve_structure:
         placed = placed.withColumn("member", file_name(F.col("member")))
