@@ -9,7 +9,6 @@ as soon as every slot holds a value below the next rank: long texts after one or
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,8 +24,8 @@ from cfgveil.llm.words import Powers, U, hash_words, mix, shingles, spans
 
 # With 32 bands of 4 slots a pair of similarity 0.8 shares no band with a chance of 5e-8.
 SLOTS, BANDS = 128, 32
-# A bucket that is not connected yet has this many times as many centers on each turn.
-CENTERS = 8
+# A bucket that is not connected yet has this many centers, then as many times more on each turn.
+CENTERS = 64
 # Words of 64 bits of a set's parity bitmap.
 PARITY = 8
 
@@ -206,7 +205,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     shingles) are verified on the full sets: every member with the one member of its bucket
     that shares most buckets (a family's origin). The sets of buckets that this leaves
     unconnected are dealt anew, to buckets of their rarest shingles, which hold every link
-    among them; there a bucket is tested with 1, CENTERS, CENTERS^2... of its members, across
+    among them; there a bucket is tested with CENTERS, CENTERS^2... of its members, across
     components only, until it is connected or has been tested in full. So no link that any
     band proposes is missing from the components, a bucket of true near copies costs one pair
     for each member, and alike texts that stay unlinked meet only where they share rare shingles.
@@ -244,6 +243,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
         """Test the members with the centers of their buckets, and take up the links."""
         nonlocal links, links_path, tested, tested_path, groups
         pairs, pairs_path = stored(_across(members, centers, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            drop(spark, pairs_path)
+            return
         fresh, fresh_path = stored(_linked(pairs, sets, percent), "fresh")
         nothing_new = fresh.isEmpty()
         new_links, new_path = stored(links.union(fresh), "linked")
@@ -262,14 +264,14 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     rare = _shared_buckets(_rare_buckets(sets.join(rest.select("node", "set_a"), ["node", "set_a"], "left_semi"), percent))
     rare, rare_path = stored(rare.drop("m").join(rest, ["node", "set_a"]), "rare")
     used, used_path = stored(spark.createDataFrame([], "key long, node long, set_a long"), "used")
-    for turn in itertools.count():
+    largest = rare.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    tried = 1  # centers of a bucket so far
+    while tried < largest:
+        tried *= CENTERS
         state, state_path = stored(unjoined(rare), "unjoined")
         nearest = Window.partitionBy("key").orderBy(F.desc("weight"), "node", "set_a")
         free = state.join(used, ["key", "node", "set_a"], "left_anti").withColumn("nth", F.row_number().over(nearest))
-        centers, centers_path = stored(free.where(F.col("nth") <= CENTERS**turn).select("key", "set_a", *fields), "centers")
-        if centers.isEmpty():
-            drop(spark, state_path, centers_path)
-            break
+        centers, centers_path = stored(free.where(F.col("nth") <= tried).select("key", "set_a", *fields), "centers")
         connect(state, centers)
         new_used, new_used_path = stored(used.union(centers.select("key", "node", "set_a")), "used")
         drop(spark, state_path, centers_path, used_path)
