@@ -51,7 +51,8 @@ def sanitize_folder(
     writes nothing and returns the same results.
     """
     with nullcontext() if dry_run else scratch(spark):
-        configs = src.scan_configs(spark, root, patterns, recursive=recursive, include_empty=include_empty)
+        found = src.found_files(spark, root, patterns) if recursive else None
+        configs = src.scan_configs(spark, root, patterns, recursive=recursive, include_empty=include_empty, found=found)
         backup = None
         if backup_table and not dry_run:
             taken = now or datetime.now()
@@ -68,7 +69,11 @@ def sanitize_folder(
             done.select(*kept, F.col("sanitized").alias("content")).write.parquet(f"{out}/texts")
             done = spark.read.parquet(f"{out}/texts")
     rows = rep.results(done, backup=backup)
-    return rows if requested is None else rep.with_errors(rows, src.missing_inputs(requested, done))
+    if requested is None:
+        return rows
+    # A dry run has written nothing that could be read again: what was listed tells the paths without the rules.
+    known = done if found is None or not dry_run else found if include_empty else found.where("length > 0")
+    return rep.with_errors(rows, src.missing_inputs(requested, known))
 
 
 def _selected(member: Column, patterns: Sequence[str] | None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cfgveil.functions.text import decode_text, file_name
 from cfgveil.operators.archives import ARCHIVE_SUFFIXES, MAX_CELL
-from cfgveil.sources.stores import list_folder, reachable
+from cfgveil.sources.stores import dealt_files, is_folder, list_folder, reachable, read_bodies
 
 # The default file patterns.
 FILE_PATTERNS = ("*.txt", "*.conf", "*.config", "*.cfg")
@@ -82,6 +82,13 @@ def list_files(spark: SparkSession, root: str, patterns: Sequence[str] = FILE_PA
     return _binary(spark, root, patterns, recursive).select("path", file_name(F.col("path")).alias("filename"), "length")
 
 
+def found_files(spark: SparkSession, root: str, patterns: Sequence[str] = FILE_PATTERNS) -> DataFrame | None:
+    """(path, length) of the matching files below one folder, listed by the executors; None where these can't list."""
+    if not is_folder(spark, root):
+        return None
+    return list_folder(spark, root).where(file_name(F.col("path")).rlike(glob_pattern(patterns)))
+
+
 def scan_configs(
     spark: SparkSession,
     root: str,
@@ -91,18 +98,27 @@ def scan_configs(
     normalize_newlines: bool = True,
     include_empty: bool = True,
     manifest: DataFrame | None = None,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """path, filename, content, error of the matching configuration files, one row per file.
 
-    A file too long for one cell has null content and an error. Spark's readers skip files
-    of length zero; `include_empty` adds them, from the rows of length zero in a `manifest`
-    (path as the scan gives it, length; only matching files) or else from a listing made by
-    the executors (`list_folder`). Where they can't list (a glob for a root, a store that
-    only Spark reads) a manifest must be given.
+    A file too long for one cell has null content and an error. A folder that the executors
+    can reach is listed and read by them, however many files it holds; `found` is such a listing, if
+    it was made before (`found_files`). Else (a glob for a root, a store that only Spark reads,
+    one level alone) Spark lists on the driver. Its readers skip files of length zero;
+    `include_empty` adds them, from the rows of length zero in a `manifest` (path as the
+    scan gives it, length; only matching files), which must be given where the executors can't list.
     """
-    files, limit = _binary(spark, root, patterns, recursive), longest_file(spark)
+    limit = longest_file(spark)
     text = decode_text(F.col("content"), normalize_newlines=normalize_newlines)
     name, none = file_name(F.col("path")).alias("filename"), F.lit(None).cast("string")
+    if found is None and recursive and manifest is None:
+        found = found_files(spark, root, patterns)
+    if found is not None:
+        listed = dealt_files(found if include_empty else found.where("length > 0"))
+        error = F.when(F.col("content").isNull(), F.lit(TOO_LONG)).alias("error")
+        return read_bodies(listed, root, limit).select("path", name, text.alias("content"), error)
+    files = _binary(spark, root, patterns, recursive)
     # The filters stand on the relation itself: it must not open a file it cannot hold.
     read = files.filter(F.col("length") <= limit).select("path", name, text.alias("content"), none.alias("error"))
     long = files.filter(F.col("length") > limit).select("path", name, none.alias("content"), F.lit(TOO_LONG).alias("error"))

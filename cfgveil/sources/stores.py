@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cfgveil.session import materialized
 
@@ -20,6 +21,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ENTRY = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("length", pa.int64())])
 ENTRIES_AT_ONCE = 10_000
+BODY_BYTES = 32 << 20
+# A task reads up to so many files, or so many bytes of them.
+FILES_PER_TASK, BYTES_PER_TASK = 16_384, 64 << 20
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -53,16 +57,25 @@ def hidden(name: str) -> bool:
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The entries of each folder of `path`, hidden ones left out; a folder that has gone has none."""
-    for batch in batches:
-        for folder in batch.column("path").to_pylist():
+    names, folders, sizes = [], [], []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(folders, pa.bool_()), pa.array(sizes, pa.int64())], schema=ENTRY)
+
+    for given in batches:
+        for folder in given.column("path").to_pylist():
             store, inside = open_store(folder)
-            found = store.get_file_info(fs.FileSelector(inside, allow_not_found=True))
-            found = [f for f in found if not hidden(f.base_name) and f.type in (fs.FileType.File, fs.FileType.Directory)]
-            for k in range(0, len(found), ENTRIES_AT_ONCE):
-                part = found[k : k + ENTRIES_AT_ONCE]
-                names = [f"{folder.rstrip('/')}/{f.base_name}" for f in part]
-                folders = [f.type == fs.FileType.Directory for f in part]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(folders), pa.array([None if d else f.size for f, d in zip(part, folders, strict=True)], pa.int64())], schema=ENTRY)
+            for f in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
+                if hidden(f.base_name) or f.type not in (fs.FileType.File, fs.FileType.Directory):
+                    continue
+                names.append(f"{folder.rstrip('/')}/{f.base_name}")
+                folders.append(f.type == fs.FileType.Directory)
+                sizes.append(f.size if f.type == fs.FileType.File else None)
+                if len(names) >= ENTRIES_AT_ONCE:  # many small folders share a batch, a large one fills several
+                    yield batch()
+                    names, folders, sizes = [], [], []
+    if names:
+        yield batch()
 
 
 def list_folder(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:
@@ -84,18 +97,72 @@ def list_folder(spark: SparkSession, root: str, *, recursive: bool = True) -> Da
             return found
 
 
+def is_folder(spark: SparkSession, root: str) -> bool:
+    """Is this one folder that the executors can list?"""
+    if not reachable(spark, root):
+        return False
+    where = spark._jvm.org.apache.hadoop.fs.Path(qualified(spark, root))
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(where) and store.getFileStatus(where).isDirectory()
+
+
+def _read(root: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = open_store(root)
+        paths, bodies, held = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], ["path", "content"])
+
+        for given in batches:
+            for path, wanted in zip(given.column("path").to_pylist(), given.column("wanted").to_pylist(), strict=True):
+                body = None
+                if wanted:
+                    with store.open_input_file(inside.rstrip("/") + path.removeprefix(root.rstrip("/"))) as file:
+                        body = file.read()
+                if paths and held + len(body or b"") > BODY_BYTES or len(paths) >= ENTRIES_AT_ONCE:
+                    yield batch()
+                    paths, bodies, held = [], [], 0
+                paths.append(path)
+                bodies.append(body)
+                held += len(body or b"")
+        if paths:
+            yield batch()
+
+    return read
+
+
+def read_bodies(files: DataFrame, root: str, limit: int) -> DataFrame:
+    """(path, content) of the files (path, length) below `root`, read by the executors; null above `limit` bytes, unopened.
+
+    Files leave a worker in batches of bounded size, one file at least. The rows may be a stream.
+    """
+    wanted = files.select("path", (F.col("length") <= limit).alias("wanted"))
+    return wanted.mapInArrow(_read(qualified(files.sparkSession, root)), "path string, content binary")
+
+
+def dealt_files(files: DataFrame) -> DataFrame:
+    """The files (path, length) of a written table, dealt over as many tasks as their number and bytes ask for."""
+    size = files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).first()
+    tasks = max(-(-size["files"] // FILES_PER_TASK), -(-(size["bytes"] or 0) // BYTES_PER_TASK))
+    return files.repartition(max(tasks, files.sparkSession.sparkContext.defaultParallelism))
+
+
 def _written(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         store, inside = open_store(root)
         for batch in batches:
-            rows = []
+            rows, made = [], set()
             for name, body in zip(batch.column("name").to_pylist(), batch.column("body"), strict=True):
                 path = f"{inside.rstrip('/')}/{name}"
                 data = body.as_buffer() if body.is_valid else b""
-                part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
-                store.create_dir(path.rpartition("/")[0], recursive=True)
+                folder = path.rpartition("/")[0]
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with store.open_output_stream(part) as out:
                     out.write(data)
                 store.move(part, path)  # a repeated task replaces whole files

@@ -372,3 +372,38 @@ def test_rollup_reads_no_earlier_batch(spark, tmp_path):
     for name in ("5", ".5.crc"):  # the last batch's commit was lost: it runs again
         (check / "commits" / name).unlink()
     assert run() == want
+
+
+def test_folders_are_listed_and_read_by_the_executors(spark, tmp_path, monkeypatch):
+    """Spark's own reader would hold every path on the driver and open files in tasks of 32."""
+    monkeypatch.setattr(src, "_binary", lambda *_: pytest.fail("listed on the driver"))
+    for k in range(40):
+        (tmp_path / f"{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"{k % 3}" / f"r {k}.cfg").write_text(f"hostname {k}\n" if k else "")
+    got = {r.filename: (r.content, r.error) for r in src.scan_configs(spark, str(tmp_path)).collect()}
+    assert got == {f"r {k}.cfg": (f"hostname {k}\n" if k else "", None) for k in range(40)}
+    assert src.scan_configs(spark, str(tmp_path), include_empty=False).count() == 39
+    asked = spark.createDataFrame([(f"file:{tmp_path}/1/r 1.cfg",), ("/no/such.cfg",)], "path string")
+    rows = jobs.sanitize_folder(spark, str(tmp_path), str(tmp_path / "out"), requested=asked, dry_run=True)
+    assert [r.file for r in rows.where("error is not null").collect()] == ["/no/such.cfg"] and rows.count() == 41
+
+
+def test_a_drop_folder_is_one_source(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.cfg").write_text("hostname a\n")
+    query = (st.config_stream(spark, str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert len(query.lastProgress["sources"]) == 1
+    assert [r.content for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["hostname a\n"]
+
+
+def test_written_configs_are_files_of_their_own(spark, tmp_path):
+    from cfgveil.plans import fixtures as fx
+
+    rows = [(1, "a", 2), (1, "a", 2), (2, None, None)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    fx.written_configs(spark, str(tmp_path), str(tmp_path / "out"))
+    found = src.scan_configs(spark, str(tmp_path / "out")).select(F.regexp_extract("path", fx.WRITTEN_NAME, 1).alias("name"), "content").collect()
+    want = [r.content or "\n" for r in fx.configs(spark, str(tmp_path)).collect()]
+    assert sorted(r.name for r in found) == ["R-1.CFG", "R-1.CFG", "R-2.txt"] and sorted(r.content for r in found) == sorted(want)
