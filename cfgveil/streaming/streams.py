@@ -17,6 +17,7 @@ from cfgveil.functions.text import decode_text, file_name
 from cfgveil.operators.report import file_secrets, with_name
 from cfgveil.operators.sanitize import sanitize
 from cfgveil.sources.files import FILE_PATTERNS, TOO_LONG, glob_variants, longest_file
+from cfgveil.sources.stores import is_folder, read_bodies
 
 # The state function travels to the workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,6 +42,11 @@ def config_stream(spark: SparkSession, folder: str, patterns=FILE_PATTERNS, *, m
     files, limit = reader.load(folder), longest_file(spark)
     limit = limit if max_length is None else min(limit, max_length)
     name, none = file_name(F.col("path")).alias("filename"), F.lit(None).cast("string")
+    if is_folder(spark, folder):
+        # One source, whose files the executors open, dealt anew: Spark gives a task but 32 small files.
+        dealt = files.select("path", "length").repartition(4 * spark.sparkContext.defaultParallelism)
+        error = F.when(F.col("content").isNull(), F.lit(TOO_LONG)).alias("error")
+        return read_bodies(dealt, folder, limit).select("path", name, decode_text(F.col("content")).alias("content"), error)
     # The filters stand on the relation itself: it must not open a file it cannot hold.
     read = files.filter(F.col("length") <= limit).select("path", name, decode_text(F.col("content")).alias("content"), none.alias("error"))
     return read.unionByName(files.filter(F.col("length") > limit).select("path", name, none.alias("content"), F.lit(TOO_LONG).alias("error")))
