@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from cfgveil.functions.logs import redact_log
@@ -19,9 +13,6 @@ from cfgveil.operators.sanitize import sanitize
 from cfgveil.sources.files import FILE_PATTERNS, TOO_LONG, glob_variants, longest_file
 from cfgveil.sources.stores import is_folder, read_bodies
 
-# The state function travels to the workers by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -96,46 +87,59 @@ def run_with_errors(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataF
     return rows.where("not failed").drop("epoch", "failed"), rows.where("failed").drop("epoch", "failed")
 
 
-def _first_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What a batch adds to a label and file name, and whether these were never met before."""
-    n, new = sum(int(b["n"].sum()) for b in batches), not state.exists
-    if new:
-        state.update((True,))
-    yield pd.DataFrame({"label": [key[0]], "n": [n], "new": [int(new)]})
-
-
 def run_rollup(added: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Process what has arrived; returns total and number of distinct file names per label, as `secrets_by_type`.
 
-    Which file names a label has met is keyed state, so equal names of different folders or
-    batches count once and a batch costs what it brings: it adds its sums to the totals of
-    the epoch before, a row for each label, and writes them under its own epoch. A repeated
-    batch starts from the same state and the same totals. Nothing arrived: no rows. State
-    is held on the executors' disks where the session names the RocksDB state store.
+    Each batch is written once, as narrow rows below `checkpoint`; a second stream over these
+    holds in keyed state which file names a label has met (Spark's own deduplication, no call
+    per key), so equal names of different folders or batches count once and a batch costs what
+    it brings: it adds its sums to the totals of the epoch before, a row for each label, and
+    writes them under its own epoch. A repeated batch finds its rows and its new names
+    written and starts from the same totals. Nothing arrived: no rows. State is held on the
+    executors' disks where the session names the RocksDB state store.
     """
     spark = added.sparkSession
     schema = "label string, total_count bigint, affected_files bigint"
-    news = added.groupBy("label", "filename").applyInPandasWithState(_first_seen, "label string, n bigint, new bigint", "met boolean", "append", GroupStateTimeout.NoTimeout)
+    rows_schema, new_schema = "label string, filename string, n bigint", "epoch bigint, label string, new bigint"
+    rows, new = f"{checkpoint}/rows", f"{checkpoint}/new"
+
+    def met(batch: DataFrame, number: int) -> None:
+        batch.groupBy("epoch", "label").agg(F.count(F.lit(1)).alias("new")).coalesce(1).write.mode("overwrite").parquet(f"{new}/epoch={number}")
+        _drop(spark, new, [e for e in _epochs(spark, new) if e < number - 1])
 
     def write(batch: DataFrame, epoch: int) -> None:
+        here = f"{rows}/epoch={epoch}"
+        if epoch not in _epochs(spark, rows):
+            batch.select("label", "filename", "n").write.mode("overwrite").parquet(here)
+        _drop(spark, rows, [e for e in _epochs(spark, rows) if e < epoch])
+        arrived = spark.readStream.schema(f"{rows_schema}, epoch bigint").parquet(rows)
+        first = arrived.select("epoch", "label", "filename").dropDuplicates(["label", "filename"]).select("epoch", "label")
+        first.writeStream.foreachBatch(met).option("checkpointLocation", f"{checkpoint}/names").trigger(availableNow=True).start().awaitTermination()
+        sums = spark.read.schema(rows_schema).parquet(here).groupBy("label").agg(F.sum("n").alias("total_count"), F.lit(0).cast("bigint").alias("affected_files"))
+        for done in _epochs(spark, new):
+            names = spark.read.schema(new_schema).parquet(f"{new}/epoch={done}").where(F.col("epoch") == epoch)
+            sums = sums.unionByName(names.select("label", F.lit(0).cast("bigint").alias("total_count"), F.col("new").alias("affected_files")))
         old = [e for e in _epochs(spark, out) if e < epoch]
-        sums = batch.groupBy("label").agg(F.sum("n").alias("total_count"), F.sum("new").alias("affected_files"))
         if old:
             sums = sums.unionByName(spark.read.schema(schema).parquet(f"{out}/epoch={old[-1]}"))
         totals = sums.groupBy("label").agg(F.sum("total_count").alias("total_count"), F.sum("affected_files").alias("affected_files"))
         totals.coalesce(1).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        for gone in old[:-1]:  # the epoch before stays, for a repeat of this one
-            where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/epoch={gone}")
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _drop(spark, out, old[:-1])  # the epoch before stays, for a repeat of this one
 
-    query = news.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = added.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     done = _epochs(spark, out)
     return spark.read.schema(schema).parquet(f"{out}/epoch={done[-1]}") if done else spark.createDataFrame([], schema)
 
 
+def _drop(spark: SparkSession, out: str, epochs: list[int]) -> None:
+    for gone in epochs:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/epoch={gone}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _epochs(spark: SparkSession, out: str) -> list[int]:
-    """Epochs whose totals are whole, in order: two at most."""
+    """Epochs that are written whole, in order: two at most are kept."""
     where = spark._jvm.org.apache.hadoop.fs.Path(out)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     path = spark._jvm.org.apache.hadoop.fs.Path

@@ -407,3 +407,27 @@ def test_written_configs_are_files_of_their_own(spark, tmp_path):
     found = src.scan_configs(spark, str(tmp_path / "out")).select(F.regexp_extract("path", fx.WRITTEN_NAME, 1).alias("name"), "content").collect()
     want = [r.content or "\n" for r in fx.configs(spark, str(tmp_path)).collect()]
     assert sorted(r.name for r in found) == ["R-1.CFG", "R-1.CFG", "R-2.txt"] and sorted(r.content for r in found) == sorted(want)
+
+
+def test_rollup_calls_no_python_per_key_and_survives_lost_totals(spark, tmp_path, monkeypatch):
+    import shutil
+
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda *_, **__: pytest.fail("a Python call for each key"))
+    source, out, check = tmp_path / "drop", tmp_path / "out", tmp_path / "check"
+    source.mkdir()
+
+    def run():
+        stream = st.findings_rollup(st.sanitize_stream(st.config_stream(spark, str(source))))
+        return {r.label: (r.total_count, r.affected_files) for r in st.run_rollup(stream, str(out), str(check)).collect()}
+
+    for name in "ab":
+        (source / f"{name}.cfg").write_text("enable secret 5 A\n")
+        last = run()
+    assert last == {"Enable secrets": (2, 2)}
+    # Killed after the new names were kept, before the totals of that batch were written.
+    shutil.rmtree(out / "epoch=1")
+    for name in ("1", ".1.crc"):
+        (check / "commits" / name).unlink()
+    assert run() == last
