@@ -1,8 +1,9 @@
 """Which of many literal strings a text holds, and how often.
 
 Up to AUTOMATON_CHARS characters of literals are one Aho-Corasick automaton: a text is read
-once, in its place, whatever their number. Longer lists meet the corpus through the
-vocabulary of its blank-free tokens, by equality. Either way no join carries a text.
+once, in its place, whatever their number. Of longer lists the workers hold a bitmap of hashes:
+each text is read in its place, the places whose bytes the bitmap may know are cut out, and
+only these few strings meet the literals, by equality. Either way no join carries a text.
 """
 
 from __future__ import annotations
@@ -10,19 +11,27 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from cfgveil.session import join_lookup
+from cfgveil.session import join_lookup, materialized
 
 # The functions below travel to the workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Characters in one automaton; a worker holds some 50 bytes for each.
 AUTOMATON_CHARS = 2 << 20
-BLOCK = 256
+# Bits of the bitmap for each literal, the bits at most (64 MB), and how many of them a literal sets.
+BITS_EACH, MOST_BITS, TESTS = 32, 1 << 29, 4
+CHUNK_BITS = 1 << 16
+# A hash reads so many bytes of a literal at most, from both its ends.
+HASHED = 32
+PLACES_AT_ONCE = 1 << 20
 COUNTS = "array<struct<literal:int,n:bigint>>"
 
 
@@ -67,29 +76,16 @@ def literal_counts(df: DataFrame, literals: DataFrame, *, content: str = "conten
     """
     limit = AUTOMATON_CHARS if automaton_chars is None else automaton_chars
     words = literals.select("literal").where("length(literal) > 0").distinct()
-    blank = F.col("literal").rlike(r"\s")
-    sizes = words.groupBy(blank.alias("blank")).agg(F.sum(F.length("literal")).alias("chars")).collect()
-    chars = {r["blank"]: r["chars"] for r in sizes}
-    if sum(chars.values()) <= limit:
-        return _by_automata(df, words, sum(chars.values()), content, key, max(limit, 1))
-    found = _by_tokens(df, words.where(~blank), content, key)
-    if chars.get(True):  # a literal with blanks lies across tokens
-        found = found.unionByName(_by_automata(df, words.where(blank), chars[True], content, key, max(limit, 1)))
-    return found
-
-
-def _by_automata(df: DataFrame, words: DataFrame, chars: int, content: str, key: str, limit: int) -> DataFrame:
-    """One pass over the texts for each `limit` characters of literals; so many pass the driver at once."""
-    shards = -(-chars // limit)
-    out = None
-    for k in range(max(shards, 1)):
-        shard = words if shards <= 1 else words.where(F.pmod(F.xxhash64("literal"), F.lit(shards)) == k)
-        listed = sorted(r[0] for r in shard.collect())
-        rows = df.select(F.col(key), F.inline(counted_literals(F.col(content), listed)))
-        # The list is a constant of the plan, not a column of its rows.
-        part = rows.groupBy(key, "literal").agg(F.sum("n").alias("n")).withColumn("literal", F.get(_array(listed), F.col("literal")))
-        out = part if out is None else out.unionByName(part)
-    return out
+    chars = words.agg(F.sum(F.length("literal"))).first()[0] or 0
+    return _by_automaton(df, words, content, key) if chars <= limit else _by_windows(df, words, content, key)
+
+
+def _by_automaton(df: DataFrame, words: DataFrame, content: str, key: str) -> DataFrame:
+    """One pass over the texts; the literals pass the driver at once."""
+    listed = sorted(r[0] for r in words.collect())
+    rows = df.select(F.col(key), F.inline(counted_literals(F.col(content), listed)))
+    # The list is a constant of the plan, not a column of its rows.
+    return rows.groupBy(key, "literal").agg(F.sum("n").alias("n")).withColumn("literal", F.get(_array(listed), F.col("literal")))
 
 
 def _array(values: Sequence[str]) -> Column:
@@ -98,39 +94,101 @@ def _array(values: Sequence[str]) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
-def _by_tokens(df: DataFrame, words: DataFrame, content: str, key: str) -> DataFrame:
-    """Literals without blanks, any number of them.
+def slots(data: np.ndarray, at: np.ndarray, size: int, bits: int) -> Iterator[np.ndarray]:
+    """The bits that stand for the `size` bytes at each place, one array for each test."""
+    offsets = range(size) if size <= HASHED else [*range(HASHED // 2), *range(size - HASHED // 2, size)]
+    h = np.full(len(at), size, np.uint64)
+    for k in offsets:
+        h = (h ^ data[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    for k in range(TESTS):
+        yield (h + np.uint64(k) * step) & np.uint64(bits - 1)
+
+
+def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all strings, where each begins and the end); a null string is empty."""
+    plain = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = plain.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(plain) + 1, 8 * plain.offset)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), ends
+
+
+def _bitmap(words: DataFrame, bits: int) -> np.ndarray:
+    """Every literal's bits set: made by the executors in chunks, `bits / 8` bytes on the driver."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = utf8_bytes(batch.column(0))
+            sizes = np.diff(ends)
+            for size in np.unique(sizes).tolist():
+                for slot in slots(data, ends[:-1][sizes == size], size, bits):
+                    yield pa.RecordBatch.from_arrays([pa.array((slot // CHUNK_BITS).astype(np.int64)), pa.array((slot % CHUNK_BITS).astype(np.int32))], ["chunk", "bit"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        chunk = np.zeros(CHUNK_BITS, np.uint8)
+        chunk[table["bit"].to_numpy()] = 1
+        return pa.table({"chunk": table["chunk"][:1], "body": pa.array([np.packbits(chunk, bitorder="little").tobytes()], pa.binary())})
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in words.mapInArrow(places, "chunk bigint, bit int").groupBy("chunk").applyInArrow(packed, "chunk bigint, body binary").toLocalIterator():
+        at = row["chunk"] * (CHUNK_BITS // 8)
+        whole[at : at + CHUNK_BITS // 8] = np.frombuffer(row["body"], np.uint8)
+    return whole
+
+
+def _by_windows(df: DataFrame, words: DataFrame, content: str, key: str) -> DataFrame:
+    """Any number of literals of any kind, in one pass over the texts for each length they have.
 
-    Every occurrence lies in one token of the text. The distinct tokens are cut into
-    substrings of the lengths the literals have, these meet the literals by equality, and
-    the counts per token meet the texts' tokens. A long token goes by its digest and is cut
-    in overlapping windows.
+    Occurrences are sought in bytes, which for UTF-8 finds the same. A place is kept where its
+    first two bytes begin some literal and all bits of its window are set; what the bitmap
+    takes for a literal by chance finds none in the join. The rows that travel are what the texts hold.
     """
-    lengths = sorted(r[0] for r in words.select(F.length("literal")).distinct().collect())
-    if not lengths:
-        return df.select(F.col(key), F.lit("").alias("literal"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    width = max(BLOCK, lengths[-1])
-    tokens = df.select(F.col(key), F.explode(F.split(F.col(content), r"\s+")).alias("token")).where(F.length("token") >= lengths[0])
-    # Tokens hold no blanks, so one before a digest keeps the two apart.
-    name = F.when(F.length("token") > width, F.concat(F.lit(" "), F.sha2("token", 256))).otherwise(F.col("token"))
-    blocks = F.regexp_extract_all("token", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
-    windows = F.transform(
-        F.col("blocks"),
-        lambda b, i: F.struct((i * width).alias("off"), F.concat(b, F.coalesce(F.substring(F.get(F.col("blocks"), i + 1), 1, lengths[-1] - 1), F.lit(""))).alias("window")),
-    )
-    vocabulary = tokens.select(name.alias("name"), blocks.alias("blocks")).select("name", F.inline(windows)).distinct()
-    # Generators instead of nested lambdas: cutting stays in generated code and streams.
-    cuts = (
-        vocabulary.select("name", "off", "window", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("size"))
-        .where(F.length("window") >= F.col("size"))
-        .select("name", "off", "window", "size", F.explode(F.sequence(F.lit(1), F.least(F.lit(width), F.length("window") - F.col("size") + 1))).alias("at"))
-        .select("name", (F.col("off") + F.col("at")).alias("pos"), F.expr("substring(window, at, size)").alias("literal"))
-    )
-    ends = F.aggregate(
-        F.array_sort(F.collect_list("pos")),
-        F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")),
-        lambda a, p: F.when(p > a["end"], F.struct((p + F.length("literal") - 1).alias("end"), (a["n"] + 1).alias("n"))).otherwise(a),
-    )
-    holding = join_lookup(cuts, words, "literal").groupBy("name", "literal").agg(ends["n"].alias("n"))
-    met = join_lookup(tokens.select(key, name.alias("name")), holding, "name")
-    return met.groupBy(key, "literal").agg(F.sum("n").alias("n"))
+    fixed = materialized(words, "literals")
+    spark, raw = df.sparkSession, F.encode("literal", "UTF-8")
+    sizes = sorted(r[0] for r in fixed.select(F.octet_length("literal")).distinct().collect())
+    bits = CHUNK_BITS
+    while bits < min(fixed.count() * BITS_EACH, MOST_BITS):
+        bits *= 2
+    begins = np.zeros((256, 256), bool)  # by second and first byte
+    for r in fixed.select(F.substring(raw, 1, 2).alias("head")).distinct().collect():
+        begins[r["head"][1] if len(r["head"]) > 1 else slice(None), r["head"][0]] = True
+    sent = spark.sparkContext.broadcast((begins.reshape(-1), _bitmap(fixed, bits)))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, known = sent.value
+        for batch in batches:
+            data, ends = utf8_bytes(batch.column(1))
+            counts: dict[tuple[int, bytes], list[int]] = {}  # (row, literal): [end of the last one, how many]
+            last = int(ends[-1])
+            for a in range(int(ends[0]), last, PLACES_AT_ONCE):
+                b = min(a + PLACES_AT_ONCE, last)
+                head = data[a:b].astype(np.uint16)
+                follow = data[a + 1 : b + 1] if b < len(data) else np.append(data[a + 1 : b], np.uint8(0))
+                at = np.flatnonzero(first[head | follow.astype(np.uint16) << np.uint16(8)]) + a
+                row = np.searchsorted(ends, at, "right") - 1
+                room = ends[row + 1] - at
+                for size in sizes:
+                    fits = room >= size
+                    place, of = at[fits], row[fits]
+                    every = np.arange(len(place))
+                    for slot in slots(data, place, size, bits):
+                        slot = slot[every]
+                        every = every[(known[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    for p, r in zip(place[every].tolist(), of[every].tolist(), strict=True):
+                        told = counts.setdefault((r, data[p : p + size].tobytes()), [-1, 0])
+                        if p >= told[0]:
+                            told[0], told[1] = p + size, told[1] + 1
+            rows, names, numbers = [], [], []
+            for (r, name), (_, n) in counts.items():
+                try:
+                    names.append(name.decode())
+                except UnicodeDecodeError:  # cut within a character: no literal
+                    continue
+                rows.append(r)
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(numbers, pa.int64())], [key, "literal", "n"])
+
+    shape = StructType([StructField(key, df.schema[key].dataType), StructField("literal", StringType()), StructField("n", LongType())])
+    found = df.select(F.col(key), F.col(content)).mapInArrow(find, shape)
+    return join_lookup(found, fixed, "literal").groupBy(key, "literal").agg(F.sum("n").alias("n"))

@@ -182,3 +182,12 @@ def test_long_account_lists_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(acc, "INLINE_ACCOUNTS", 512)
     many = {r.path: r.sanitized for r in sanitize(df, personal=names, service=["admin"]).collect()}
     assert "bob" not in many[0] and "user0699x" not in many[0] and "user0600x" not in many[1] and 'q"uo' not in many[2] and many[3] == "" and many[4] is None
+
+
+def test_only_what_texts_hold_travels(texts, spark):
+    """Long lists: no text is exploded into tokens or substrings, blanks and windows across places included."""
+    rows = {"/a": "x " * (occ.PLACES_AT_ONCE // 2 - 1) + "ab cd" * 3 + "é", "/b": "é ab", "/c": "cd"}
+    listed = spark.createDataFrame([("ab cd",), ("é",), ("b cda",), ("q" * 50,)], "literal string")
+    found = occ.literal_counts(texts(rows), listed, automaton_chars=0)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.path, r.literal): r.n for r in found.collect()} == {("/a", "ab cd"): 3, ("/a", "é"): 1, ("/a", "b cda"): 2, ("/b", "é"): 1}
