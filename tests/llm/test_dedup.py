@@ -9,7 +9,7 @@ import pytest
 
 from cfgveil.llm.components import components
 from cfgveil.llm.line_dedup import PerfectHash, dedup_lines
-from cfgveil.llm.near_dup import _rare_buckets, near_duplicates, parities, superminhash, without_near_duplicates
+from cfgveil.llm.near_dup import _meeting, _rare_buckets, near_duplicates, parities, superminhash, without_near_duplicates
 from cfgveil.llm.suffix_dedup import remove_repeats, separated, sort_suffixes
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -196,6 +196,34 @@ def test_rare_buckets_hold_every_link(spark):
         assert len(linked) > 8 and all(keys[a] & keys[b] for a, b in linked)
 
 
+def _met(spark, sets, percent=80):
+    """Times that each pair passes the bound of its places in the buckets of rare shingles."""
+    df = spark.createDataFrame([(i, 0, sorted(s)) for i, s in enumerate(sets)], "node long, set_a long, body array<long>")
+    buckets, met = defaultdict(list), Counter()
+    placed = _rare_buckets(df, percent).withColumnRenamed("most", "s").join(df.selectExpr("node", "size(body) as n"), "node")
+    for r in _meeting(placed, percent).collect():
+        buckets[r.key].append((r.node, r.n, r.s))
+    for rows in buckets.values():
+        met.update((a, b) for a, n, s in rows for b, n2, s2 in rows if a > b and 100 * min(s, s2) >= percent * (n + n2 - min(s, s2)))
+    return met
+
+
+def test_places_bound_what_sets_share(spark):
+    rnd = random.Random(4)
+    sets = [{rnd.randint(0, 60) for _ in range(rnd.randint(1, 30))} for _ in range(60)]
+    for _ in range(90):
+        base = rnd.choice(sets)
+        sets.append((base - set(rnd.sample(sorted(base), len(base) // 10))) | {rnd.randint(0, 90) for _ in range(rnd.randint(0, 2))})
+    for percent in (80, 65):
+        met = _met(spark, sets, percent)
+        linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        assert len(linked) > 50 and all(met[pair] for pair in linked)
+    # Members of a family share too little for a link; each has 13 shingles in common with either neighbour first.
+    family = [set(range(200)) - set(rnd.sample(range(200), 26)) | {1000 + 13 * i + k for k in range(13)} | {1000 + 13 * ((i + 1) % 60) + k for k in range(13)} for i in range(60)]
+    assert all(100 * len(a & b) < 80 * len(a | b) for i, a in enumerate(family) for b in family[:i])
+    assert {(a - b) % 60 for a, b in _met(spark, family)} <= {1, 59}
+
+
 def test_families_of_unlinked_texts_stay_cheap(spark):
     """Twice the members of a family of alike but unlinked texts have about twice the meetings, not four times."""
     def meetings(n):
