@@ -12,6 +12,8 @@ from cfgveil.session import join_lookup, materialized
 
 # Fixed value: the format of a snapshot's timestamp. Its strings sort by time.
 STAMP = "%Y%m%d_%H%M%S"
+# Bytes of stored contents that a task sorts when many are restored at once.
+RESTORED_BYTES = 32 << 20
 CATALOG = ["backup_path", "original_path", "timestamp", "file_hash", "compressed", "size"]
 LATEST = ["backup_path", "timestamp", "file_hash", "compressed", "size"]
 
@@ -65,7 +67,8 @@ def restore_files(requested: DataFrame, backups: DataFrame, date_prefix: str | N
 
     The snapshot is chosen on the narrow catalog columns. Contents are then picked from
     the table through a size-checked lookup, by partition date where the table has one, so
-    restoring a few files neither shuffles nor fully reads the stored contents.
+    restoring a few files neither shuffles nor fully reads the stored contents. Many are
+    sorted in parts of RESTORED_BYTES by the catalog's sizes, however few the session's partitions.
     """
     wanted = requested.select(F.col(path).alias("original_path")).distinct()
     mine = latest_backup(backups.join(wanted, "original_path", "left_semi"), date_prefix)
@@ -82,7 +85,8 @@ def restore_files(requested: DataFrame, backups: DataFrame, date_prefix: str | N
         hits = hits.withColumn("backup_date", F.to_date(F.substring("timestamp", 1, 8), "yyyyMMdd"))
         stored = backups.select("backup_path", F.col("backup_date").cast("date").alias("backup_date"), "content")
     columns = ["path", "backup_path", "timestamp", "restored", "content"]
-    restored = join_lookup(stored, hits, keys).select(*columns)
+    total = backups.agg(F.sum("size")).first()[0] if "size" in backups.columns else None
+    restored = join_lookup(stored, hits, keys, parts=-(-(total or 0) // RESTORED_BYTES)).select(*columns)
     missing = found.filter("not restored").withColumn("content", F.lit(None).cast(backups.schema["content"].dataType))
     return restored.unionByName(missing.select(*columns))
 

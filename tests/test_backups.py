@@ -112,3 +112,18 @@ def test_restore_directory_against_brute_force(spark):
         assert sorted((r.directory, r.original_path, r.timestamp) for r in got) == want
     assert bak.restore_directory(spark.createDataFrame([], "directory string"), catalog).collect() == []
     assert bak.restore_directory(spark.createDataFrame([("/",)], "directory string"), catalog.limit(0)).collect() == []
+
+
+def test_contents_are_sorted_in_small_parts(spark, tmp_path, monkeypatch):
+    """A task's share of the contents is bounded by their bytes, not by the session's number of partitions."""
+    monkeypatch.setattr("cfgveil.session.BROADCAST_BYTES", 0)  # as if many were restored
+    table = str(tmp_path / "backups")
+    rows = spark.createDataFrame([(f"/c/f{i}.conf", f"{i} " + "x" * 1000) for i in range(60)], "path string, content string")
+    bak.append_backup(rows, table, "/b", NOW)
+    catalog = bak.read_catalog(spark, table)
+    whole = sorted(map(tuple, bak.restore_files(rows, catalog).collect()))
+    monkeypatch.setattr(bak, "RESTORED_BYTES", 1500)
+    parts = bak.restore_files(rows, catalog)
+    assert sorted(map(tuple, parts.collect())) == whole and [r[4] for r in whole] == [r[1] for r in sorted(map(tuple, rows.collect()))]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count(", 41)") >= 2
