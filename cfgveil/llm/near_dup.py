@@ -133,7 +133,7 @@ def _alone(sets: DataFrame) -> DataFrame:
 
 
 def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, set_a, most): buckets of the rarest shingles of each set, any two of `sets` that are linked in one at least.
+    """(key, node, set_a, n, most): buckets of the rarest shingles of each set, any two of `sets` that are linked in one at least.
 
     Of n shingles two linked sets share `percent` of either's. In one order for all sets, by
     rising frequency, the first n - ceil(n * percent / 100) + 1 of each thus have one in common.
@@ -148,13 +148,13 @@ def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
     mine = Window.partitionBy("node", "set_a")
     known = each.join(often, F.col("key") == F.col("of")).withColumns({"nth": F.row_number().over(mine.orderBy("m", "key")), "known": F.count(F.lit(1)).over(mine)})
     place = F.col("n") - F.col("known") + F.col("nth")
-    return known.where(place <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "node", "set_a", (F.col("n") - place + 1).alias("most"))
+    return known.where(place <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "node", "set_a", "n", (F.col("n") - place + 1).alias("most"))
 
 
 def _meeting(members: DataFrame, percent: int) -> DataFrame:
     """The rows of `members` that have another in their bucket, of a size that they and it may meet the similarity with."""
-    # 100 * s >= percent * (n + other - s): `percent` times the largest other set.
-    reach = (100 + percent) * F.col("s") - percent * F.col("n")
+    # 100 * most >= percent * (n + other - most): `percent` times the largest other set.
+    reach = (100 + percent) * F.col("most") - percent * F.col("n")
     bounds = members.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max(reach).alias("widest")).where("m > 1")
     met = members.join(bounds, F.col("key") == F.col("of")).where((percent * F.col("least") <= reach) & (percent * F.col("n") <= F.col("widest")))
     return met.drop("of", "m", "least", "widest")
@@ -274,10 +274,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     connect(state, state.groupBy("key").agg(first.alias("c")).select("key", "c.*"))
     drop(spark, state_path)
     rest, rest_path = stored(unjoined(weighed).select("node", "set_a", "n", "s", "weight", "bits").distinct(), "rest")
-    placed = _rare_buckets(sets.join(rest.select("node", "set_a"), ["node", "set_a"], "left_semi"), percent).join(rest, ["node", "set_a"])
+    placed, placed_path = stored(_rare_buckets(sets.join(rest.select("node", "set_a"), ["node", "set_a"], "left_semi"), percent), "placed")
     # The bound of the place holds within the bucket; a link passes it in the first one that its sets share.
-    placed, placed_path = stored(placed.withColumn("s", F.least("s", "most")).drop("most"), "placed")
-    rare, rare_path = stored(_meeting(placed, percent), "rare")
+    rare = _meeting(placed, percent).drop("n").join(rest, ["node", "set_a"]).withColumn("s", F.least("s", "most"))
+    rare, rare_path = stored(rare.drop("most"), "rare")
     drop(spark, placed_path)
     used, used_path = stored(spark.createDataFrame([], "key long, node long, set_a long"), "used")
     largest = rare.groupBy("key").count().agg(F.max("count")).first()[0] or 0

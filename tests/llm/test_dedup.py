@@ -200,9 +200,8 @@ def _met(spark, sets, percent=80):
     """Times that each pair passes the bound of its places in the buckets of rare shingles."""
     df = spark.createDataFrame([(i, 0, sorted(s)) for i, s in enumerate(sets)], "node long, set_a long, body array<long>")
     buckets, met = defaultdict(list), Counter()
-    placed = _rare_buckets(df, percent).withColumnRenamed("most", "s").join(df.selectExpr("node", "size(body) as n"), "node")
-    for r in _meeting(placed, percent).collect():
-        buckets[r.key].append((r.node, r.n, r.s))
+    for r in _meeting(_rare_buckets(df, percent), percent).collect():
+        buckets[r.key].append((r.node, r.n, r.most))
     for rows in buckets.values():
         met.update((a, b) for a, n, s in rows for b, n2, s2 in rows if a > b and 100 * min(s, s2) >= percent * (n + n2 - min(s, s2)))
     return met
