@@ -26,6 +26,8 @@ from cfgveil.llm.words import Powers, U, hash_words, mix, shingles, spans
 SLOTS, BANDS = 128, 32
 # A bucket that is not connected yet has this many centers, then as many times more on each turn.
 CENTERS = 64
+# So many members of a bucket at most that have not met each other are tested in full.
+FEW = 8
 # Words of 64 bits of a set's parity bitmap.
 PARITY = 8
 
@@ -215,13 +217,14 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
     Equal sets become one node first, with partial aggregation, so copies are never paired.
     Band buckets then propose links; those that pass exact bounds (parity bitmaps, shared
     shingles) are verified on the full sets: every member with the one member of its bucket
-    that shares most buckets (a family's origin). The sets of buckets that this leaves
-    unconnected are dealt anew, to buckets of their rarest shingles, which hold every link
-    among them; there a bucket is tested with CENTERS, CENTERS^2... of its members, across
-    components only, until it is connected or has been tested in full; a pair passes where
-    what both sets hold from the bucket's shingle on is enough for a link. So no link that any
-    band proposes is missing from the components, a bucket of true near copies costs one pair
-    for each member, and alike texts that stay unlinked meet only where they share rare shingles.
+    that shares most buckets (a family's origin). Where this leaves the others of a bucket
+    unconnected, up to FEW of them are tested with each other; the sets of buckets with more
+    are dealt anew, to buckets of their rarest shingles, which hold every link among them;
+    there a bucket is tested with CENTERS, CENTERS^2... of its members, across components
+    only, until it is connected or has been tested in full; a pair passes where what both
+    sets hold from the bucket's shingle on is enough for a link. So no link that any band
+    proposes is missing from the components, a bucket of true near copies costs one pair for
+    each member, and alike texts that stay unlinked meet only where they share rare shingles.
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -270,10 +273,17 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", *, sh
 
     fields = ["node", "n", "s", "bits", "component"]
     state, state_path = stored(unjoined(weighed), "unjoined")
-    first = F.max_by(F.struct(*fields), F.struct("weight", (-F.col("node")).alias("least")))  # pre-aggregated: a bucket of any size
-    connect(state, state.groupBy("key").agg(first.alias("c")).select("key", "c.*"))
-    drop(spark, state_path)
-    rest, rest_path = stored(unjoined(weighed).select("node", "set_a", "n", "s", "weight", "bits").distinct(), "rest")
+    first = F.max_by(F.struct("set_a", *fields), F.struct("weight", (-F.col("node")).alias("least")))  # pre-aggregated: a bucket of any size
+    centers, centers_path = stored(state.groupBy("key").agg(first.alias("c")).select("key", "c.*"), "centers")
+    connect(state, centers)
+    # A center has met its whole bucket, so only pairs of the others are open.
+    open_, open_path = stored(_shared_buckets(unjoined(weighed.join(centers.select("key", "node", "set_a"), ["key", "node", "set_a"], "left_anti"))), "open")
+    drop(spark, state_path, centers_path)
+    few = open_.where(F.col("m") <= FEW)
+    connect(few, few)
+    wide = unjoined(open_.where(F.col("m") > FEW).drop("component"))
+    rest, rest_path = stored(wide.select("node", "set_a", "n", "s", "weight", "bits").distinct(), "rest")
+    drop(spark, open_path)
     placed, placed_path = stored(_rare_buckets(sets.join(rest.select("node", "set_a"), ["node", "set_a"], "left_semi"), percent), "placed")
     # The bound of the place holds within the bucket; a link passes it in the first one that its sets share.
     rare = _meeting(placed, percent).drop("n").join(rest, ["node", "set_a"]).withColumn("s", F.least("s", "most"))

@@ -7,6 +7,7 @@ from itertools import pairwise
 import numpy as np
 import pytest
 
+from cfgveil.llm import near_dup
 from cfgveil.llm.components import components
 from cfgveil.llm.line_dedup import PerfectHash, dedup_lines
 from cfgveil.llm.near_dup import _meeting, _rare_buckets, near_duplicates, parities, superminhash, without_near_duplicates
@@ -235,6 +236,22 @@ def test_families_of_unlinked_texts_stay_cheap(spark):
     assert meetings(400) < 3 * meetings(200)
 
 
+def test_buckets_met_in_full_are_not_dealt_anew(spark, monkeypatch):
+    """Alike texts that stay unlinked (120 of 160 shingles) have all met in their small buckets; links among those that were no center are found there."""
+    dealt = []
+    monkeypatch.setattr(near_dup, "_rare_buckets", lambda sets, percent, f=near_dup._rare_buckets: (dealt.append(sets.count()), f(sets, percent))[1])
+    rows, links = [], {}
+    for k in range(12):
+        common = " ".join(f"w{k}x{i}" for i in range(123))
+        ends = [" ".join(f"e{k}x{m}x{i}" for i in range(20)) for m in range(4)]
+        near = ends[3].rsplit(" ", 1)[0] + " other"
+        rows += [(10 * k + m, f"{common} {end}") for m, end in enumerate([*ends, near][: 2 + k % 4])]
+        links |= {10 * k + 4: 10 * k + 3} if k % 4 == 3 else {}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_duplicates(df, shingle=4).collect()} == {i: links.get(i, i) for i, _ in rows}
+    assert dealt == [0]
+
+
 def test_near_repeated_ids(spark):
     """Rows that share an id are one node, whichever of their texts also occur under smaller ids."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
