@@ -277,6 +277,62 @@ def test_language_model(spark, edges, empty):
     assert pitman_yor.score(empty).collect() == []
 
 
+LAYOUTS = [{}, {"block_bytes": 1 << 16, "shard_bytes": 1 << 15, "book_words": 40}, {"book_words": 0}]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_language_model_against_restaurants_counted_whole(spark, layout):
+    """No pair of words occurs twice in training, so each customer has a table and all tables are known."""
+    rnd = random.Random(5)
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    seen, rows = set(), []
+    for i in range(4000):
+        words = [""]
+        while len(words) < 11:
+            w = "" if len(words) == 10 else f"{rnd.randint(0, 11999)}qq"
+            if is_held(i) or (words[-1], w) not in seen:
+                words.append(w)
+                seen |= set() if is_held(i) else {(words[-2], w)}
+            elif len(words) == 10:  # another word has to be the last
+                seen.discard((words[-2], words.pop()))
+        rows.append((i, " ".join(words[1:-1])))
+    taught = [[*t.split(), ""] for i, t in rows if not is_held(i)]
+    count = Counter(w for t in taught for w in t)
+    assert len(seen) == sum(count.values()) and max(v for w, v in count.items() if w) * 2000 < len(seen)
+    base = (10 + 0.6 * len(count)) / (len(count) + 1)
+    follows = lambda c, w: (0.25 * ((c, w) in seen) + (1 + 0.75 * count[c]) * (max(count[w] - 0.6, 0) + base) / (10 + len(seen))) / (1 + count[c])
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **layout).collect()}
+    off = []
+    for i, t in rows:
+        words = ["", *t.split(), ""]
+        off.append(got[i] - sum(math.log10(follows(c, w)) for c, w in itertools.pairwise(words)))
+    assert max(map(abs, off)) < 0.3 and abs(sum(off)) < 0.02 * len(off)  # the parent's own tables are drawn
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_rare_words_have_restaurants_of_their_own(spark, layout):
+    """6000 words of one ending, each three times among 39 000 tokens and always before the same word."""
+    taught = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10]
+    out = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0][:40]
+    couples = [f"x{k}qq y{k}" for k in range(6000)]
+    texts = {i: couples[j * 6 : j * 6 + 6] for i, j in zip(taught, [*range(1000)] * 3, strict=False)}
+    shuffled = random.Random(3).sample(couples, len(couples))
+    texts |= {i: shuffled[j * 6 : j * 6 + 6] for j, i in enumerate(out)}
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    got = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **layout).collect()}
+    count = Counter(w for i, t in rows if i in set(taught) for w in [*t.split(), ""])
+    total = sum(count.values())
+    for i, text in rows:
+        base = sum(math.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in [*text.split(), ""])
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in out, 13, 13, total) and abs(r.base_score - base) < 1e-6
+    # Three customers at one to three tables and strength 1: a probability from 0.18 to 0.57 for the second
+    # word of a couple, whatever came before it; the first words and the end have 1e-6 at least.
+    for i in out:
+        firsts = 6 * math.log10(3 / total)  # as in the unigram counts
+        assert got[i].score > 6 * math.log10(0.18) + firsts - 7 * 1.5, (got[i], firsts)
+    assert len(got) == len(rows)
+
 def test_shards(spark, edges, empty):
     for df, n in ((edges, 3), (spark.createDataFrame([(i % 50 if i < 900 else 7, "t" * (i % 37)) for i in range(3000)], "doc_id long, text string").repartition(5), 40)):
         rows = balanced_shards(df, n).collect()
