@@ -333,6 +333,62 @@ def test_rare_words_have_restaurants_of_their_own(spark, layout):
         assert got[i].score > 6 * math.log10(0.18) + firsts - 7 * 1.5, (got[i], firsts)
     assert len(got) == len(rows)
 
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_longer_contexts_against_restaurants_counted_whole(spark, layout):
+    """No pair of words occurs twice in training, so each customer of a couple's and of a word's restaurant has a table."""
+    rnd = random.Random(6)
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    seen, rows, taught = set(), [], []
+    while len(rows) < 3000:
+        words = ["", *(f"{rnd.randint(0, 9999)}qq" for _ in range(9)), ""]
+        pairs = {*itertools.pairwise(words)}
+        if is_held(len(rows)) and taught:  # the first half of a text that was taught
+            words = [*taught[rnd.randrange(len(taught))][:6], *words[6:]]
+        elif len(pairs) < 10 or pairs & seen:  # nothing may start or end twice, and no pair come again
+            words = None
+        else:
+            seen |= {p for p in pairs}
+            taught.append(words)
+        if words:
+            rows.append((len(rows), " ".join(words[1:-1])))
+    count = Counter(w for t in taught for w in t[1:])
+    couples = Counter(x for t in taught for x in itertools.pairwise(["", *t[:-1]]))
+    triples = Counter(x for t in taught for x in zip(["", *t], t, t[1:], strict=False))
+    assert max(triples.values()) == 1 and couples["", ""] == len(taught)
+    base = (10 + 0.6 * len(count)) / (len(count) + 1)
+    parent = lambda w: (max(count[w] - 0.6, 0) + base) / (10 + len(seen))
+    short = lambda c, w: (0.25 * ((c, w) in seen) + (1 + 0.75 * count[c]) * parent(w)) / (1 + count[c])
+    follows = lambda u, c, w: (0.25 * triples[u, c, w] + (1 + 0.75 * couples[u, c]) * short(c, w)) / (1 + couples[u, c])
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in pitman_yor.score(given, order=3, **layout).collect()}
+    off = []
+    for i, t in rows:
+        words = ["", "", *t.split(), ""]
+        off.append(got[i] - sum(math.log10(follows(*x)) for x in zip(words, words[1:], words[2:], strict=False)))
+    assert max(map(abs, off)) < 0.4 and abs(sum(off)) < 0.02 * len(off)  # the parent's own tables are drawn
+
+
+def test_the_words_before_the_last_tell_the_next(spark, edges, empty, tmp_path):
+    """After `mid` comes what belongs to the word before it: one context word says no more than a coin."""
+    rnd = random.Random(4)
+    given = {False: [], True: []}
+    for i in range(1500):
+        ks = [rnd.randrange(8) for _ in range(10)]
+        wrong = i % 2 and zlib.crc32(str(i).encode()) % 10 == 0
+        given[bool(wrong)].append((i, " ".join(f"a{k} mid z{(k + 1) % 8 if wrong else k}" for k in ks)))
+    spark.createDataFrame(given[False] + given[True], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op7_pitman_yor"](spark, str(tmp_path)).collect()}
+    right = [got[i].score for i, _ in given[False] if got[i].held_out]
+    wrong = [got[i].score for i, _ in given[True]]
+    assert len(got) == 1500 and min(right) > max(wrong) + 10  # ten such places a text
+    # Per place one of eight is open after the pair and nothing within it.
+    assert min(right) > 1.3 * 10 * math.log10(1 / 8) and len(wrong) > 50
+    edge = pitman_yor.score(edges, order=3).collect()
+    assert len(edge) == edges.count() and all(r.n_tokens >= 1 and r.score < 0 for r in edge)
+    assert pitman_yor.score(empty, order=3).collect() == []
+
+
 def test_shards(spark, edges, empty):
     for df, n in ((edges, 3), (spark.createDataFrame([(i % 50 if i < 900 else 7, "t" * (i % 37)) for i in range(3000)], "doc_id long, text string").repartition(5), 40)):
         rows = balanced_shards(df, n).collect()
