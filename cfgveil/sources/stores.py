@@ -64,13 +64,10 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for given in batches:
         for folder in given.column("path").to_pylist():
-            store, inside = open_store(folder)
-            for f in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
-                if hidden(f.base_name) or f.type not in (fs.FileType.File, fs.FileType.Directory):
-                    continue
-                names.append(f"{folder.rstrip('/')}/{f.base_name}")
-                folders.append(f.type == fs.FileType.Directory)
-                sizes.append(f.size if f.type == fs.FileType.File else None)
+            for path, is_folder, size in _inside(folder):
+                names.append(path)
+                folders.append(is_folder)
+                sizes.append(size)
                 if len(names) >= ENTRIES_AT_ONCE:  # many small folders share a batch, a large one fills several
                     yield batch()
                     names, folders, sizes = [], [], []
@@ -78,6 +75,65 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _inside(folder: str) -> Iterator[tuple[str, bool, int | None]]:
+    """(path, is a folder, length) of the entries of one folder, hidden ones left out; a folder that has gone has none."""
+    store, inside = open_store(folder)
+    for f in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
+        if not hidden(f.base_name) and f.type in (fs.FileType.File, fs.FileType.Directory):
+            yield f"{folder.rstrip('/')}/{f.base_name}", f.type == fs.FileType.Directory, f.size if f.type == fs.FileType.File else None
+
+
+def _below(dealing: bool):
+    """Rows (path, folder, length): files as they are, folders replaced by the files below them.
+
+    `dealing`: only down to where a folder branches; the folders there stay as rows, to be dealt out.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind.type) for k, kind in enumerate(ENTRY)], schema=ENTRY)
+
+        for given in batches:
+            for path, folder, length in zip(*(given.column(k).to_pylist() for k in range(3)), strict=True):
+                pending = [path] if folder else []
+                rows += [] if folder else [(path, folder, length)]
+                while pending and not (dealing and len(pending) > 1):
+                    for entry in _inside(pending.pop()):
+                        if entry[1]:
+                            pending.append(entry[0])
+                        else:
+                            rows.append(entry)
+                        if len(rows) >= ENTRIES_AT_ONCE:
+                            yield batch(rows)
+                            rows = []
+                rows += [(p, True, None) for p in pending]
+                if len(rows) >= ENTRIES_AT_ONCE:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    return walk
+
+
+def arriving_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of the files below one folder, as a stream: each path once.
+
+    A trigger is one tick, on which the executors list the folder: one task down to where it branches, others these
+    branches, dealt out twice. Which paths were met before is Spark's
+    deduplication, in keyed state on the executors. Nothing of a file passes the driver. A batch that runs again after a
+    failure lists again: its rows must replace those of the first attempt, as the `run_` functions' do.
+    """
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", "1").option("numPartitions", "1").load()
+    entry = "path string, folder boolean, length bigint"
+    top = ticks.select(F.lit(qualified(spark, root)).alias("path"), F.lit(True).alias("folder"), F.lit(None).cast("bigint").alias("length"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    branches = top.mapInArrow(_below(True), entry).repartition(tasks).mapInArrow(_below(True), entry).repartition(tasks)
+    return branches.mapInArrow(_below(False), entry).select("path", "length").dropDuplicates(["path"])
+
+
 def list_folder(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:
     """(path, length) of every file below `root`, those of length zero included.
 
@@ -153,21 +209,26 @@ def _written(root: str):
         import uuid
 
         store, inside = open_store(root)
-        for batch in batches:
-            rows, made = [], set()
-            for name, body in zip(batch.column("name").to_pylist(), batch.column("body"), strict=True):
-                path = f"{inside.rstrip('/')}/{name}"
-                data = body.as_buffer() if body.is_valid else b""
-                folder = path.rpartition("/")[0]
-                part = f"{folder}/.{uuid.uuid4().hex}"
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with store.open_output_stream(part) as out:
-                    out.write(data)
-                store.move(part, path)  # a repeated task replaces whole files
-                rows.append((f"{root.rstrip('/')}/{name}", len(data)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], ["path", "length"])
+        own = f"{inside.rstrip('/')}/.{uuid.uuid4().hex}"  # tasks that make files in one folder would wait for each other
+        made = set()
+        try:
+            for batch in batches:
+                rows = []
+                for name, body in zip(batch.column("name").to_pylist(), batch.column("body"), strict=True):
+                    path = f"{inside.rstrip('/')}/{name}"
+                    data = body.as_buffer() if body.is_valid else b""
+                    folder = path.rpartition("/")[0]
+                    for needed in {own, folder} - made:
+                        store.create_dir(needed, recursive=True)
+                        made.add(needed)
+                    with store.open_output_stream(f"{own}/part") as out:
+                        out.write(data)
+                    store.move(f"{own}/part", path)  # a repeated task replaces whole files
+                    rows.append((f"{root.rstrip('/')}/{name}", len(data)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["path", "length"])
+        finally:
+            if own in made:
+                store.delete_dir(own)
 
     return write
 

@@ -431,3 +431,56 @@ def test_rollup_calls_no_python_per_key_and_survives_lost_totals(spark, tmp_path
     for name in ("1", ".1.crc"):
         (check / "commits" / name).unlink()
     assert run() == last
+
+
+def test_a_drop_folder_is_listed_by_the_executors(spark, tmp_path):
+    """Spark's file source would hold every path on the driver, and list each of them again."""
+    root = tmp_path / "drop"
+    want = set()
+    for k, folder in enumerate((".", "x", "x/one/way/down", "x/one/way/down/p", "x/one/way/down/q", "y", "y/a", "y/b/c", ".hidden", "_later")):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        for name in (f"r {k}.cfg", f"r{k}.TXT", f"r{k}.log", f"_r{k}.cfg", f".r{k}.cfg"):
+            (root / folder / name).write_text(f"hostname {folder}/{name}\n")
+            if name[0] == "r" and not name.endswith(".log") and folder[0] not in "_" and folder != ".hidden":
+                want.add(f"hostname {folder}/{name}\n")
+    seen = []
+
+    def run():
+        query = (st.config_stream(spark, str(root)).writeStream.foreachBatch(lambda batch, _: seen.append(sorted(r.content for r in batch.collect())))
+                 .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        assert all("File" not in s["description"] for s in query.lastProgress["sources"])
+
+    run()
+    (root / "y" / "a" / "late.cfg").write_text("late\n")
+    (root / "y" / "a" / "r 6.cfg").write_text("changed, not new\n")
+    run()
+    run()
+    assert seen == [sorted(want), ["late\n"], []]
+
+
+def test_a_table_of_a_stream_keeps_a_repeated_batch_once(spark, tmp_path):
+    source, out, check = tmp_path / "drop", str(tmp_path / "out"), tmp_path / "check"
+    source.mkdir()
+
+    def run():
+        stream = st.config_stream(spark, str(source)).select(F.col("filename").alias("epoch"), "content")
+        return sorted(r.epoch for r in st.run_to_table(stream, out, str(check)).collect())
+
+    (source / "a.cfg").write_text("a\n")
+    assert run() == ["a.cfg"]
+    (source / "b.cfg").write_text("b\n")
+    assert run() == ["a.cfg", "b.cfg"]
+    for name in ("1", ".1.crc"):  # killed before the batch was noted; meanwhile a file arrives
+        (check / "commits" / name).unlink()
+    (source / "c.cfg").write_text("c\n")
+    assert run() == run() == ["a.cfg", "b.cfg", "c.cfg"]
+
+
+def test_writing_files_leaves_nothing_else(spark, tmp_path):
+    from cfgveil.sources.stores import write_bodies
+
+    df = spark.createDataFrame([(f"{k % 3}/r{k}.cfg", bytearray(b"x")) for k in range(30)], "name string, body binary").repartition(4)
+    assert write_bodies(df, str(tmp_path / "out")).count() == 30
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["0", "1", "2"]
+    assert len([*(tmp_path / "out").rglob("*.cfg")]) == len([p for p in (tmp_path / "out").rglob("*") if p.is_file()]) == 30
