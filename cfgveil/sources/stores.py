@@ -118,8 +118,8 @@ def _below(dealing: bool):
     return walk
 
 
-def arriving_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of the files below one folder, as a stream: each path once.
+def arriving_files(spark: SparkSession, root: str, names: str) -> DataFrame:
+    """(path, length) of the files below one folder whose names match a Java pattern, as a stream: each path once.
 
     A trigger is one tick, on which the executors list the folder: one task down to where it branches, others these
     branches, dealt out twice. Which paths were met before is Spark's
@@ -131,7 +131,8 @@ def arriving_files(spark: SparkSession, root: str) -> DataFrame:
     top = ticks.select(F.lit(qualified(spark, root)).alias("path"), F.lit(True).alias("folder"), F.lit(None).cast("bigint").alias("length"))
     tasks = 4 * spark.sparkContext.defaultParallelism
     branches = top.mapInArrow(_below(True), entry).repartition(tasks).mapInArrow(_below(True), entry).repartition(tasks)
-    return branches.mapInArrow(_below(False), entry).select("path", "length").dropDuplicates(["path"])
+    files = branches.mapInArrow(_below(False), entry).select("path", "length")
+    return files.where(F.element_at(F.split("path", "/"), -1).rlike(names)).dropDuplicates(["path"])
 
 
 def list_folder(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:

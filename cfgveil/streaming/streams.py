@@ -29,8 +29,8 @@ def config_stream(spark: SparkSession, folder: str, patterns=FILE_PATTERNS, *, m
     name, none = file_name(F.col("path")).alias("filename"), F.lit(None).cast("string")
     here = is_folder(spark, folder)
     if here and not files_per_batch:
-        files = arriving_files(spark, folder).where(file_name(F.col("path")).rlike(glob_pattern(patterns)))
-        return _read_whole(files, folder, limit)
+        # As Spark's file source, which meets files of length zero and gives no rows for them.
+        return _read_whole(arriving_files(spark, folder, glob_pattern(patterns)).where("length > 0"), folder, limit)
     reader = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)

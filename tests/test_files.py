@@ -443,6 +443,7 @@ def test_a_drop_folder_is_listed_by_the_executors(spark, tmp_path):
             (root / folder / name).write_text(f"hostname {folder}/{name}\n")
             if name[0] == "r" and not name.endswith(".log") and folder[0] not in "_" and folder != ".hidden":
                 want.add(f"hostname {folder}/{name}\n")
+    (root / "y" / "empty.cfg").write_text("")
     seen = []
 
     def run():
